@@ -1,27 +1,38 @@
-"""The registered queries of the numbered operators."""
+"""The registered queries of the numbered operators: each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_rotation, license_scan, quality_rules, sentencepiece_codec, warc_zstd
+from . import chat_rotation, decontaminate, language_id, license_scan, pii_bootstrap, quality_rules, sentencepiece_codec, simhash, suffix_dedup, warc_zstd
 from .common import table
 
 
-def _documents(f, *more):
-    return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"), *more)
+def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.op6(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def queries() -> dict:
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_license_scans": _documents(license_scan.op1),
-        "op3_chat_rotation": lambda spark, sf_dir: chat_rotation.op3(table(spark, sf_dir, "conversations")),
+        "op1_license_scans": _over("documents", license_scan.op1),
+        "op2_language_id": _over("documents", language_id.op2),
+        "op3_chat_rotation": _over("conversations", chat_rotation.op3),
+        "op4_pii": _over("documents", pii_bootstrap.op4),
+        "op5_suffix_dedup": _over("documents", suffix_dedup.op5),
         "op6_sentencepiece": op6_sentencepiece,
-        "op7_quality_rules": _documents(quality_rules.op7),
-        "op10_warc": lambda spark, sf_dir: warc_zstd.op10(table(spark, sf_dir, "pages")),
+        "op7_quality_rules": _over("documents", quality_rules.op7),
+        "op8_simhash": _over("documents", simhash.op8),
+        "op9_decontamination": op9_decontamination,
+        "op10_warc": _over("pages", warc_zstd.op10),
     }
