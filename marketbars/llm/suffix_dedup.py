@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import keep
 
 LEAST, GRAM = 200, 32
-CHUNK, CROWD = 1 << 20, 2 << 20
+CHUNK, CROWD = 1 << 19, 3 << 18
 BLOCK = 1 << 20
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SHIFT = np.uint64(29)
