@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep
 
@@ -47,7 +48,8 @@ WORD = re.compile(r"\S+")
 CUES = (":", "=", "#")
 
 SPAN = "struct<kind:int,start:int,end:int>"
-MENTION = "struct<kind:int,start:int,end:int,base:boolean,value:string,patterns:array<string>>"
+_INT = T.IntegerType()
+MENTION = T.ArrayType(T.StructType([*(T.StructField(k, _INT) for k in ("kind", "start", "end")), T.StructField("base", T.BooleanType()), T.StructField("value", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))]))
 
 
 def luhn(digits: str) -> bool:
@@ -97,7 +99,7 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def mentions(text: str) -> list[tuple]:
-    """Rows of MENTION: base spans, and loose mentions that overlap none of them."""
+    """Tuples like MENTION: base spans, and loose mentions that overlap none of them."""
     base = base_spans(text)
     rows = [(k, s, e, True) for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
@@ -116,23 +118,23 @@ def mentions(text: str) -> list[tuple]:
     return [(k, s, e, b, text[s:e].lower(), _patterns(text, s, e)) for k, s, e, b in rows]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
-    names = ("kind", "start", "end", "base", "value", "patterns")
-    digit = re.compile(r"[0-9@]|[\[(]at[\])]")
-    for b in batches:
-        at = b.schema.get_field_index("text")
-        found = []
-        for t in b.column(at):
-            s = t.as_py()
-            found.append([dict(zip(names, m, strict=True)) for m in mentions(s)] if s and digit.search(s) else [])
-        yield pa.record_batch([*b.columns, pa.array(found, kind)], [*b.schema.names, "mentions"])
+MENTIONS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
+MAY_HOLD = re.compile(r"[0-9@]|[\[(]at[\])]")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs and mentions (array of MENTION)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_scan, f"{schema}, mentions array<{MENTION}>")
+    names = ("kind", "start", "end", "base", "value", "patterns")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for t in b.column(b.schema.get_field_index(text)):
+                s = t.as_py()
+                found.append([dict(zip(names, m, strict=True)) for m in mentions(s)] if s and MAY_HOLD.search(s) else [])
+            yield pa.record_batch([*b.columns, pa.array(found, MENTIONS)], [*b.schema.names, "mentions"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("mentions", MENTION)]))
 
 
 def _wilson(pos: Column, n: Column, z: float = Z) -> Column:
@@ -163,43 +165,48 @@ def discovered(found: DataFrame, good: DataFrame) -> DataFrame:
     return hits.groupBy("rid").agg(F.collect_set("s").alias("extra"))
 
 
-def find_entities(docs: DataFrame, **settings) -> DataFrame:
-    """The columns of docs, base and spans (arrays of SPAN, in order). A copy of docs with its mentions is written on the way."""
-    clash = {"rid", "mentions", "extra", "base", "spans"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns with names of its own: {sorted(clash)}")
-    found = keep(scan(docs).withColumn("rid", F.monotonically_increasing_id()), "pii_found")
+def _ordered(a: Column) -> Column:
+    """Spans by start, then kind."""
+    sorted_ = F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    return F.transform(sorted_, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def find_entities(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """The columns of docs, then base and spans (arrays of SPAN, in order). A copy of docs with its mentions is written on the way."""
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # names of its own can't clash with these
+    found = keep(scan(docs.toDF(*inner), inner[names.index(text)]).withColumn("rid", F.monotonically_increasing_id()), "pii_found")
     extra = discovered(found, accepted_patterns(found, **settings))
-    order = lambda a: F.transform(F.array_sort(F.transform(a, lambda s: F.struct(s["start"], s["kind"], s["end"]))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    base = F.transform(F.filter("mentions", lambda m: m["base"]), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    both = found.join(extra, "rid", "left").select(*docs.columns, base.alias("base"), F.coalesce("extra", F.array().cast(f"array<{SPAN}>")).alias("extra"))
-    return both.select(*docs.columns, order(F.col("base")).alias("base"), order(F.concat("base", "extra")).alias("spans"))
+    base = F.filter("mentions", lambda m: m["base"])
+    more = F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))
+    base = F.transform(base, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    return found.join(extra, "rid", "left").select(*inner, _ordered(base).alias("base"), _ordered(F.concat(base, more)).alias("spans")).toDF(*names, "base", "spans")
+
+
+def mask(text: str, spans: list[dict]) -> str:
+    """text with each span (in order) replaced by its kind; overlapping spans go as one."""
+    parts, done = [], 0
+    for x in spans:
+        if x["start"] >= done:
+            parts += [text[done : x["start"]], f"<{KINDS[x['kind']].upper()}>"]
+        done = max(done, x["end"])
+    return "".join(parts) + text[done:]
 
 
 def redact(docs: DataFrame, **settings) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; n_chars follows where there is such a column."""
+    names, k = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, out = b.schema.get_field_index("text"), []
-            for t, spans in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                s, spans = t.as_py(), spans.as_py()
-                if s and spans:
-                    parts, done = [], 0
-                    for x in spans:
-                        if x["end"] > done:  # an overlap of two kinds goes as one
-                            parts += [s[done : max(done, x["start"])], f"<{KINDS[x['kind']].upper()}>" if x["start"] >= done else ""]
-                            done = x["end"]
-                    s = "".join(parts) + s[done:]
-                out.append(s)
-            cols = [*b.columns[:-1]]
-            cols[at] = pa.array(out, pa.string())
-            yield pa.record_batch(cols, b.schema.names[:-1])
-
-    marked = find_entities(docs, **settings).select(*docs.columns, "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = marked.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+            cols = list(b.columns[:-1])
+            cols[k] = pa.array([t.as_py() and mask(t.as_py(), s.as_py() or []) for t, s in zip(b.column(k), b.column(len(cols)), strict=True)], pa.string())
+            yield pa.record_batch(cols, names)
+
+    marked = find_entities(docs, **settings)
+    inner = [f"c{i}" for i in range(len(names))]
+    out = marked.toDF(*inner, "base", "spans").select(*inner, "spans").mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if names.count("n_chars") == 1 else out
 
 
 def _joined(c: str) -> Column:
@@ -211,9 +218,9 @@ def op4(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     found = keep(scan(rows).drop("text").withColumn("rid", F.monotonically_increasing_id()), "pii_found")
     extra = discovered(found, accepted_patterns(found))
-    base = F.transform(F.filter("mentions", lambda m: m["base"]), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
-    more = F.transform(F.coalesce("extra", F.array().cast(f"array<{SPAN}>")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    both = found.join(extra, "rid", "left").select("doc_id", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, more)).alias("spans"))
+    base = F.transform(F.filter("mentions", lambda m: m["base"]), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    more = F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))
+    both = found.join(extra, "rid", "left").select("doc_id", _ordered(base).alias("base"), _ordered(F.concat(base, more)).alias("spans"))
     kinds = F.transform("base", lambda s: s["kind"])
     number = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return both.select("doc_id", *number, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))

@@ -191,12 +191,15 @@ def deduplicate(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFr
 
     A copy of docs with a row number is written first, so that rows are told apart even where ids repeat or are null.
     """
-    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("_row").alias("row"))
-    fps = fingerprints(rows.select(F.col("_row").alias("doc_id"), "text"), width)
-    fps = keep(fps.withColumnRenamed("doc_id", "_row").join(rows.select("_row", rank.alias("doc_id")), "_row").select("doc_id", "fp"), "fingerprints")
-    stay = group(fps, radius).where("doc_id = component_id").select(F.col("doc_id.row").alias("_row"))
-    return rows.join(keep(stay, "stay"), "_row", "left_semi").select(*docs.columns)
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # names of its own can't clash with these
+    doc_id, text = inner[names.index("doc_id")], inner[names.index("text")]
+    rows = keep(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rank = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id"), "row")
+    fps = fingerprints(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), width).withColumnRenamed("doc_id", "row")
+    fps = keep(fps.join(rows.select("row", rank.alias("doc_id")), "row").select("doc_id", "fp"), "fingerprints")
+    stay = group(fps, radius).where("doc_id = component_id").select(F.col("doc_id.row").alias("row"))
+    return rows.join(keep(stay, "stay"), "row", "left_semi").select(*inner).toDF(*names)
 
 
 def op8(docs: DataFrame) -> DataFrame:
