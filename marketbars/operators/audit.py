@@ -211,3 +211,11 @@ def alerts(quality: DataFrame, recent: DataFrame, ages: DataFrame | None = None)
         limit = F.when(F.col("kind") == "health", 5.0).otherwise(10.0)
         out = out.unionByName(ages.where(F.col("minutes").isNull() | (F.col("minutes") > limit)).select(F.concat(F.when(F.col("minutes").isNull(), "NO ").otherwise("STALE "), F.upper("kind")).alias("kind"), F.lit("lake").alias("subject"), F.col("minutes").cast("double").alias("value")))
     return out
+
+
+def file_count_matrix(inventory: DataFrame, dim: DataFrame, days: list[str]) -> DataFrame:
+    """Per configured series: number of files of each day of the list (MISS if none) and how many days miss."""
+    counts = inventory.withColumn("d", F.col("day").cast("string")).groupBy(*KEY).pivot("d", days).agg(n_rows())
+    rows = dim.select(*KEY).distinct().join(counts, list(KEY), "left")
+    missing = reduce(lambda a, b: a + b, [F.col(f"`{d}`").isNull().cast("long") for d in days])
+    return rows.select(*KEY, *[F.coalesce(F.col(f"`{d}`").cast("string"), F.lit("MISS")).alias(d) for d in days], missing.alias("missing"))

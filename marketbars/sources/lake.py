@@ -8,7 +8,6 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import path_parts
 from ..operators.bars import with_source_default
@@ -119,10 +118,14 @@ def parquet_footer_check(inventory: DataFrame) -> DataFrame:
 
 
 def read_tolerant(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Bars of all files that can be read, with column path; the schema is that of bars. Missing and corrupt files are skipped."""
-    fields = T.StructType([T.StructField(f.name, f.dataType) for f in BARS_SCHEMA])
-    df = spark.read.schema(fields).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").parquet(*([paths] if isinstance(paths, str) else paths))
-    return df.withColumn("path", F.col("_metadata.file_path"))
+    """Bars of all files that can be read, with column path. Missing and corrupt files are skipped.
+
+    The series comes from the data or else from the path, so that both layouts can be read.
+    """
+    df = spark.read.schema(BARS_SCHEMA).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").parquet(*([paths] if isinstance(paths, str) else paths))
+    df = df.withColumn("path", F.col("_metadata.file_path"))
+    parts = path_parts("path")
+    return df.withColumns({k: F.coalesce(F.col(k), parts[k]) for k in KEY})
 
 
 def unreadable(inventory: DataFrame, bars_with_path: DataFrame) -> DataFrame:
