@@ -136,10 +136,13 @@ def macd(df: DataFrame, col: str = "close", fast: int = 12, slow: int = 26, sign
     return own_rows(_macd(rows, col, fast, slow, signal, rn))
 
 
-def all_indicators(bars: DataFrame) -> DataFrame:
-    """Bars with rsi, MACD, bands, averages, and the values of the row before that signals look at, all in one pass over blocks."""
+def all_indicators(bars: DataFrame, numbered: bool = False) -> DataFrame:
+    """Bars with rsi, MACD, bands, averages, and the values of the row before that signals look at, all in one pass over blocks.
+
+    numbered: the rows have their number rn already.
+    """
     overlap = _macd_overlap(12, 26, 9) + 1
-    rows = over_blocks(with_row_number(bars), overlap, "rn", block_rows(overlap, _alpha(9)))
+    rows = over_blocks(bars if numbered else with_row_number(bars), overlap, "rn", block_rows(overlap, _alpha(9)))
     rows = _macd(_rsi(rows, "close", 14, "rsi", "rn"), "close", 12, 26, 9, "rn")
     last = lambda c: F.lag(c).over(over())
     columns = {f"sma{n}": sma("close", n) for n in (20, 50, 200)} | bollinger("close") | {"prev_hist": last("macd_hist"), "prev_fast": last("ema_fast"), "prev_slow": last("ema_slow")}

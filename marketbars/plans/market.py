@@ -34,17 +34,33 @@ def bars_sample(bars: DataFrame, n: int = 5) -> DataFrame:
     return B.newest(bars, n).groupBy(*KEY).agg(F.sort_array(F.collect_list(row)).alias("bars_sample"))
 
 
+def last_bars(bars: DataFrame, n: int, complete: bool = True, day: int = 288) -> DataFrame:
+    """The last n bars of each series with what documents need of them, from one exchange.
+
+    Adds rn (from 1), n_rows, current_volume, avg_volume (of the last 20 live bars, 1 if none), volume_ratio and
+    open_24h (open of the first of the last `day` bars). A series has at most n rows here, so plain windows will do.
+    """
+    down = W.partitionBy(*KEY).orderBy(F.desc("window_start"))
+    up, all_ = W.partitionBy(*KEY).orderBy("window_start"), W.partitionBy(*KEY)
+    rows = bars.withColumn("_r", F.row_number().over(down)).where(F.col("_r") <= n + complete)
+    if complete:  # the last bar may still be growing; it goes unless it is the only one
+        rows = rows.withColumn("_n", F.count(F.lit(1)).over(all_)).where("_r > 1 OR _n = 1").drop("_n")
+    rows = rows.withColumn("_r", F.row_number().over(down)).withColumn("_live", F.sum(F.col("is_live").cast("int")).over(down))
+    rows = rows.withColumns({
+        "rn": F.row_number().over(up).cast("long"), "n_rows": F.count(F.lit(1)).over(all_), "current_volume": F.max(F.when(F.col("_r") == 1, F.col("volume_base"))).over(all_),
+        "avg_volume": F.coalesce(F.avg(F.when(F.col("is_live") & (F.col("_live") <= 20), F.col("volume_base"))).over(all_), F.lit(1.0)),
+        "open_24h": F.first(F.when(F.col("_r") <= day, F.col("open")), ignorenulls=True).over(up.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
+    })
+    return rows.withColumn("volume_ratio", F.when(F.col("avg_volume") > 0, F.col("current_volume") / F.col("avg_volume")).otherwise(1.0)).drop("_r", "_live")
+
+
 def indicators(bars: DataFrame, tf: int, limit: int = 500, complete: bool = True) -> DataFrame:
     """One row per series: the indicators of its last complete bar, with signals, votes and regime. bars are of any shorter timeframe."""
-    limit = max(limit, 200)
-    resampled = B.resample_bars(bars, tf)
-    rows = B.newest(B.complete_bars(resampled) if complete else resampled, limit)
-    last = F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("rn")))
-    now = I.all_indicators(rows).withColumn("_last", last).where("_last = 1").join(I.volume_ratio(rows), list(KEY))
-    return describe(now)
+    rows = last_bars(B.resample_bars(bars, tf), max(limit, 200), complete)
+    return describe(I.all_indicators(rows, numbered=True).where("rn = n_rows"))
 
 
-def describe(now: DataFrame) -> DataFrame:
+def describe(now: DataFrame, *more: str) -> DataFrame:
     price = F.col("close")
     num = lambda c, other: F.coalesce(F.col(c), other if isinstance(other, Column) else F.lit(other))
     pos = S.bb_position(price, "bb_upper", "bb_lower")
@@ -62,7 +78,7 @@ def describe(now: DataFrame) -> DataFrame:
         R(num("ema_fast", price), 2).alias("ema12"), R(num("ema_slow", price), 2).alias("ema26"), S.ema_signal("ema_fast", "ema_slow", "prev_fast", "prev_slow", price).alias("ema_signal"),
         R("vwap", 2).alias("vwap"), S.price_vs_vwap(price, "vwap").alias("price_vs_vwap"), S.vwap_signal(price, "vwap").alias("vwap_signal"),
         R("current_volume", 4).alias("current_volume"), R("avg_volume", 4).alias("avg_volume"), R("volume_ratio", 2).alias("volume_ratio"), S.volume_signal("volume_ratio").alias("volume_signal"),
-        "bullish", "total", S.regime_label(F.col("bullish"), F.col("total")).alias("regime"), S.regime_confidence(F.col("bullish"), F.col("total")).alias("confidence"),
+        "bullish", "total", S.regime_label(F.col("bullish"), F.col("total")).alias("regime"), S.regime_confidence(F.col("bullish"), F.col("total")).alias("confidence"), *more,
     )
 
 
@@ -94,11 +110,8 @@ def snapshot(bars: DataFrame, tf: int, derivatives: DataFrame | None = None, lim
 
 def scan(bars: DataFrame, exchange: str, sort: str = "momentum", limit: int = 10, tf: int = 300, n: int = 100) -> DataFrame:
     """Series of an exchange ranked by a score of their last n bars; scores use the rounded values."""
-    resampled = B.newest(B.complete_bars(B.resample_bars(bars.where(F.col("exchange") == exchange), tf)), n)
-    first = B.newest(resampled, 288).groupBy(*KEY).agg(F.min_by("open", "window_start").alias("open_24h"))
-    last = F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("rn")))
-    now = I.all_indicators(resampled).withColumn("_last", last).where("_last = 1 AND rn >= 14").join(I.volume_ratio(resampled), list(KEY))
-    d = describe(now).join(first, list(KEY))
+    rows = last_bars(B.resample_bars(bars.where(F.col("exchange") == exchange), tf), n)
+    d = describe(I.all_indicators(rows, numbered=True).where("rn = n_rows AND rn >= 14"), "open_24h")
     c = F.col
     score = S.scan_score(sort, c("rsi"), c("macd_hist"), c("price"), c("sma20"), c("volume_ratio"), c("bb_upper"), c("bb_lower"), c("bb_middle"))
     rows = d.select("symbol", R(score, 4).alias("score"), R("price", 2).alias("price"), R(X.safe_ratio((c("price") - c("open_24h")) * 100.0, c("open_24h"), 0.0), 4).alias("change_24h_pct"), "rsi", "macd_direction", "volume_ratio", "bb_position", "regime")
