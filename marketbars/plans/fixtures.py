@@ -18,6 +18,8 @@ INTERVALS = {"alpha": 900, "beta": 3600, "gamma": 3600}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Its times have no zone and count as UTC, so the session has to, too."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
