@@ -15,7 +15,6 @@ not looked at; texts are searched whole, in time linear in their length.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -180,7 +179,10 @@ def find_entities(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     base = F.filter("mentions", lambda m: m["base"])
     more = F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))
     base = F.transform(base, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    return found.join(extra, "rid", "left").select(*inner, _ordered(base).alias("base"), _ordered(F.concat(base, more)).alias("spans")).toDF(*names, "base", "spans")
+    # only texts with a loose mention can get a span by the method; the others take no part in the join
+    loose = F.exists("mentions", lambda m: ~m["base"])
+    plain = found.where(~loose).withColumn("extra", F.lit(None).cast(f"array<{SPAN}>"))
+    return plain.unionByName(found.where(loose).join(extra, "rid", "left")).select(*inner, _ordered(base).alias("base"), _ordered(F.concat(base, more)).alias("spans")).toDF(*names, "base", "spans")
 
 
 def mask(text: str, spans: list[dict]) -> str:

@@ -52,15 +52,16 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys (as longs) and fp (the fingerprint as a signed long)."""
+    names = [*keys, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(len(keys))], np.uint64).view(np.int64)
+            yield pa.record_batch([*b.columns[:-1], pa.array(fp, pa.int64())], names)
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*[docs[k].cast("long") for k in keys], "text").mapInArrow(run, ", ".join(f"{k} long" for k in names))
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -195,11 +196,11 @@ def deduplicate(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFr
     inner = [f"c{i}" for i in range(len(names))]  # names of its own can't clash with these
     doc_id, text = inner[names.index("doc_id")], inner[names.index("text")]
     rows = keep(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "rows")
-    rank = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id"), "row")
-    fps = fingerprints(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), width).withColumnRenamed("doc_id", "row")
-    fps = keep(fps.join(rows.select("row", rank.alias("doc_id")), "row").select("doc_id", "fp"), "fingerprints")
-    stay = group(fps, radius).where("doc_id = component_id").select(F.col("doc_id.row").alias("row"))
-    return rows.join(keep(stay, "stay"), "row", "left_semi").select(*inner).toDF(*names)
+    fps = fingerprints(rows.select("row", F.col(doc_id).alias("id"), F.col(text).alias("text")), width, ("row", "id"))
+    fps = keep(fps.select(F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("doc_id"), "fp"), "fingerprints")
+    stay = keep(group(fps, radius).where("doc_id = component_id").select(F.col("doc_id.row").alias("row")), "stay")
+    # the same join at every size, so that small tables tell what large ones need
+    return rows.join(stay.hint("merge"), "row", "left_semi").select(*inner).toDF(*names)
 
 
 def op8(docs: DataFrame) -> DataFrame:
