@@ -32,6 +32,8 @@ from .common import components, keep
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 BUCKET = 4096
+#: For deduplicate(): fingerprints of a text; texts and words of a block of candidates.
+SEEDS, BLOCK_ROWS, BLOCK_WORDS = 4, 1024, 4_000_000
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -153,11 +155,18 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) links between distinct fingerprints (column fp) whose components are those of all links within the radius."""
-    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in covering_masks(radius)]))
-    rows = fps.select("fp", tables.alias("t", "key")).repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-    found = keep(rows.select("t", "key", "fp").mapInArrow(_link_buckets(radius, bucket), "a long, b long").distinct(), "links")
+def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, reach: int | None = None) -> DataFrame:
+    """(a, b) links between distinct fingerprints (column fp) whose components are those of all links within the radius.
+
+    With a column seed, only fingerprints of one seed meet. With `reach`, links of up to so many bits are taken where a
+    bucket shows them, besides all those within the radius.
+    """
+    masks = covering_masks(radius)
+    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks]))
+    first = F.col("seed") * len(masks) if "seed" in fps.columns else F.lit(0)
+    rows = fps.select("fp", first.alias("first"), tables.alias("t", "key")).select((F.col("first") + F.col("t")).alias("t"), "key", "fp")
+    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    found = keep(rows.mapInArrow(_link_buckets(reach or radius, bucket), "a long, b long").distinct(), "links")
     crowd = found.where("b IS NULL").select(F.col("a").alias("fp"))
     if crowd.limit(1).count() == 0:
         return found
@@ -187,20 +196,135 @@ def simhash_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) ->
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
+def word_marks(text: str | None, seeds: int) -> tuple[bytes, int, list[int]]:
+    """Digest of the word sequence, number of words, and one fingerprint of the distinct words for each seed."""
+    words = (text or "").encode().lower().split()
+    distinct = set(words)
+    out = []
+    for seed in range(seeds):
+        h = np.fromiter((xxhash.xxh64_intdigest(w, SEED + seed) for w in distinct), np.uint64, len(distinct))
+        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(distinct), bitorder="little").view(np.int64)[0]))
+    return xxhash.xxh3_128_digest(b" ".join(words)), len(words), out
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingles as sorted hashes; fewer than `width` words are one shingle, no word is the empty one."""
+    words = (text or "").encode().lower().split()
+    k = min(width, len(words))
+    n = len(words) - k + 1
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(n)), np.uint64, n))
+
+
+def similar(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(id, smallest id) for the components of all pairs of sets with a Jaccard similarity of `similarity` or more.
+
+    Breadth first: a visited set meets only those not visited yet, through the lists of sets that hold each element.
+    """
+    order = sorted(range(len(ids)), key=lambda i: ids[i])
+    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
+    size = np.array([len(x) for x in sets], np.int64)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), size)
+    by = np.argsort(element, kind="stable")
+    lists, holders = np.concatenate([[0], np.cumsum(np.bincount(element))]), holder[by]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    left, out = np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        todo = [root] if left[root] else []
+        left[root] = False
+        while todo and left.any():
+            x = todo.pop()
+            mine = element[begin[x] : begin[x + 1]]
+            start, n = lists[mine], lists[mine + 1] - lists[mine]
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(holders[at], minlength=len(sets))
+            near = np.flatnonzero(left & (both >= similarity * (size[x] + size - both)))
+            left[near] = False
+            out += [(ids[y], ids[root]) for y in near]
+            todo += near.tolist()
+    return out
+
+
+def candidate_groups(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Rows (row, fps) -> row, label for those whose fingerprints link to others under some seed, directly or through others."""
+    at = keep(nodes.select("row", F.posexplode("fps").alias("seed", "fp")), "seeds")
+    # a bucket also tells pairs beyond the radius: what lies within twice of it is taken along
+    found = keep(links(at.select("seed", "fp").distinct(), radius, bucket, 2 * radius), "near")
+    shared = at.groupBy("seed", "fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    known = found.select(F.explode(F.array("a", "b")).alias("fp")).union(shared).distinct()
+    active = keep(at.join(known, "fp", "left_semi").select("row", "fp"), "active")
+    hubs = active.groupBy("row").agg(F.min("fp").alias("hub"))
+    own = active.join(hubs, "row").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    labels = components(found.union(own))
+    return hubs.join(labels.withColumnRenamed("node", "hub"), "hub").select("row", "label")
+
+
+def _verified(members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Rows (row, label, blocks, text) -> links (a, b) of rows whose shingle sets are similar, by pairs of blocks of a label."""
+    names = ["row", "label", "blocks", "shingles"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):  # a batch for each text: sets of long texts do not pile up
+                found = shingle_set(b.column(3)[i].as_py(), width).tobytes()
+                yield pa.record_batch([*(c.slice(i, 1) for c in b.columns[:3]), pa.array([found], pa.binary())], names)
+
+    def check(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        found = similar(t.column("row").to_pylist(), sets, similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    rows = members.select("row", "label", "blocks", "text").mapInArrow(cut, "row long, label long, blocks int, shingles binary")
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    pairs = rows.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "shingles")
+    return pairs.groupBy("label", "low", "high").applyInArrow(check, "a long, b long")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, seeds: int = SEEDS, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each group: the smallest doc_id stays, ids that are null only if there is no other.
 
+    Copies with equal words are folded first. Candidates come from covering tables over `seeds` fingerprints of the
+    distinct words: an edit that spoils `width` shingles spoils one word, so texts as similar as asked for lie much
+    closer in words. The check is exact: a link is a Jaccard similarity of distinct shingles of `similarity` or more.
+    It goes by groups of candidates; groups beyond BLOCK_ROWS texts or BLOCK_WORDS words are cut in blocks, and each
+    pair of blocks is a task of its own, so that no task holds a whole group.
+
     A copy of docs with a row number is written first, so that rows are told apart even where ids repeat or are null.
+    Texts without words and null texts are copies of each other; a text of fewer than `width` words is one shingle.
     """
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]  # names of its own can't clash with these
     doc_id, text = inner[names.index("doc_id")], inner[names.index("text")]
     rows = keep(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "rows")
-    fps = fingerprints(rows.select("row", F.col(doc_id).alias("id"), F.col(text).alias("text")), width, ("row", "id"))
-    fps = keep(fps.select(F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("doc_id"), "fp"), "fingerprints")
-    stay = keep(group(fps, radius).where("doc_id = component_id").select(F.col("doc_id.row").alias("row")), "stay")
-    # the same join at every size, so that small tables tell what large ones need
-    return rows.join(stay.hint("merge"), "row", "left_semi").select(*inner).toDF(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [word_marks(t.as_py(), seeds) for t in b.column(2)]
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)] if found else []
+            if columns:
+                yield pa.record_batch([b.column(0), b.column(1), *columns], ["row", "id", "digest", "words", "fps"])
+
+    marks = rows.select("row", F.col(doc_id).cast("long").alias("id"), text).mapInArrow(run, "row long, id long, digest binary, words long, fps array<long>")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    nodes = marks.groupBy("digest").agg(first, F.min("words").alias("words"), F.min("fps").alias("fps"))
+    nodes = keep(nodes.select(F.col("first.row").alias("row"), "first", "words", "fps"), "nodes")
+
+    groups = keep(candidate_groups(nodes, radius).join(nodes.select("row", "words"), "row"), "groups")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("words") / BLOCK_WORDS)).cast("int").alias("blocks")
+    sizes = groups.groupBy("label").agg(F.count("*").alias("n"), blocks).where("n > 1")
+    members = groups.join(sizes, "label").select("row", "label", "blocks")
+    tags = keep(nodes.select("row").join(members, "row", "left"), "tags")
+    # the same joins at every size, so that small tables tell what large ones need; texts are exchanged once
+    tagged = keep(rows.join(tags.hint("merge"), "row"), "tagged")
+    grouped = tagged.where("label IS NOT NULL")
+    same = components(keep(_verified(grouped.select("row", "label", "blocks", F.col(text).alias("text")), width, similarity), "similar"))
+    named = keep(same.withColumnRenamed("node", "row").join(nodes.select("row", "first"), "row"), "named")
+    best = named.groupBy("label").agg(F.min("first").alias("best"))
+    gone = named.join(best, "label").where("first <> best").select("row")
+    out = tagged.where("label IS NULL").select(*inner).union(grouped.join(gone.hint("merge"), "row", "left_anti").select(*inner))
+    return out.toDF(*names)
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -140,16 +140,55 @@ def test_covering_masks_guarantee():
         assert any(not diff & (m % 2**64) for m in masks)
 
 
-def test_deduplicate_keeps_one_of_each_group(docs, empty):
-    rows = corpus()
-    label = components([brute_fingerprint(t, 5) for _, t, *_ in rows])
-    best = {}
-    for k, ((i, *_), x) in enumerate(zip(rows, label, strict=True)):
-        best[x] = min(best.get(x, (True, 0, k)), (i is None, i or 0, k))
+def brute_similar(texts: list[str | None]) -> list[int]:
+    """Component labels: texts link at a Jaccard similarity of 0.8 or more of their distinct five-word shingles."""
+    sets = []
+    for t in texts:
+        w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and 10 * len(x & sets[j]) >= 8 * len(x | sets[j]):
+                label = [label[j] if v == label[i] else v for v in label]
+    return label
+
+
+def edited(seed: int) -> list[tuple]:
+    """Families of texts with few and many edited words, and a chain in which neighbours alone are similar."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    texts = []
+    for family in range(12):
+        base = [word() for _ in range(rnd.choice([40, 80, 200]))]
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 6, 15):
+            new = list(base)
+            for at in rnd.sample(range(len(new)), edits):
+                new[at] = word()
+            texts.append(" ".join(new))
+            if family == 0:
+                base = new
+    return [(1000 + i, t, None, None, None) for i, t in enumerate(texts)]
+
+
+def test_deduplicate_keeps_one_of_each_group(spark, docs, empty, monkeypatch):
+    def expected(rows: list[tuple]) -> list[tuple]:
+        best = {}
+        for k, ((i, *_), x) in enumerate(zip(rows, brute_similar([r[1] for r in rows]), strict=True)):
+            best[x] = min(best.get(x, (True, 0, k)), (i is None, i or 0, k))
+        return [rows[k][:2] for *_, k in best.values()]
+
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
-    same([(r.doc_id, r.text) for r in kept.collect()], [rows[k][:2] for *_, k in best.values()])
+    same([(r.doc_id, r.text) for r in kept.collect()], expected(corpus()))
     assert simhash.deduplicate(empty).collect() == []
+    rows = edited(1) + edited(2)
+    df = spark.createDataFrame(rows, DOCS)
+    same([(r.doc_id, r.text) for r in simhash.deduplicate(df).collect()], expected(rows))
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 2)  # groups over several blocks
+    same([(r.doc_id, r.text) for r in simhash.deduplicate(df).collect()], expected(rows))
 
 
 def brute_strip(texts: list[str | None], least: int) -> list[tuple]:
