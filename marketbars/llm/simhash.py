@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep
+from .common import components, drop_dir, keep, new_dir
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 BUCKET = 4096
@@ -161,11 +161,14 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, reach: int
     With a column seed, only fingerprints of one seed meet. With `reach`, links of up to so many bits are taken where a
     bucket shows them, besides all those within the radius.
     """
-    masks = covering_masks(radius)
-    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks]))
-    first = F.col("seed") * len(masks) if "seed" in fps.columns else F.lit(0)
-    rows = fps.select("fp", first.alias("first"), tables.alias("t", "key")).select((F.col("first") + F.col("t")).alias("t"), "key", "fp")
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius)])
+    tables = 2 ** (radius + 1) - 1
+    t = F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))
+    first = F.col("seed") * tables if "seed" in fps.columns else F.lit(0)
+    key = F.col("fp").bitwiseAND(F.element_at(masks, F.pmod("t", F.lit(tables)) + 1))
+    # dealt by the kept bits, which are not sent: they follow from t and fp
+    rows = fps.select("fp", first.alias("first"), t.alias("t")).select((F.col("first") + F.col("t")).alias("t"), "fp").repartition("t", key)
+    rows = rows.select("t", key.alias("key"), "fp").sortWithinPartitions("t", "key", "fp")
     found = keep(rows.mapInArrow(_link_buckets(reach or radius, bucket), "a long, b long").distinct(), "links")
     crowd = found.where("b IS NULL").select(F.col("a").alias("fp"))
     if crowd.limit(1).count() == 0:
@@ -297,7 +300,8 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, seeds:
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]  # names of its own can't clash with these
     doc_id, text = inner[names.index("doc_id")], inner[names.index("text")]
-    rows = keep(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows_at = new_dir(docs.sparkSession, "rows")
+    rows = keep(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "rows", rows_at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,6 +322,7 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, seeds:
     tags = keep(nodes.select("row").join(members, "row", "left"), "tags")
     # the same joins at every size, so that small tables tell what large ones need; texts are exchanged once
     tagged = keep(rows.join(tags.hint("merge"), "row"), "tagged")
+    drop_dir(docs.sparkSession, rows_at)  # all that is read from here on is written anew
     grouped = tagged.where("label IS NOT NULL")
     same = components(keep(_verified(grouped.select("row", "label", "blocks", F.col(text).alias("text")), width, similarity), "similar"))
     named = keep(same.withColumnRenamed("node", "row").join(nodes.select("row", "first"), "row"), "named")
