@@ -34,6 +34,8 @@ WIDTH, RADIUS, SEED = 4, 4, 42
 BUCKET = 4096
 #: For deduplicate(): fingerprints of a text; texts and words of a block of candidates.
 SEEDS, BLOCK_ROWS, BLOCK_WORDS = 4, 1024, 4_000_000
+#: Of the exact candidates: one text in SAMPLE is counted for shingles to put last, those seen HOT_LEAST times there, HOT_MOST of them at most.
+SAMPLE, HOT_LEAST, HOT_MOST = 16, 4, 200_000
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -285,12 +287,134 @@ def _verified(members: DataFrame, width: int, similarity: float) -> DataFrame:
     return pairs.groupBy("label", "low", "high").applyInArrow(check, "a long, b long")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, seeds: int = SEEDS, radius: int = RADIUS) -> DataFrame:
+def hot_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles (sorted) and about how many texts hold them, by a sample: they set the cost, no pair depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 64):
+                yield pa.record_batch([pa.array(np.concatenate([shingle_set(t.as_py(), width) for t in b.column(0)[at : at + 64]]).view(np.int64))], ["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
+    top = some.groupBy("h").count().where(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "h").limit(HOT_MOST).collect()
+    found = sorted((r[0] % 2**64, r[1] * SAMPLE) for r in top)
+    return np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def _prefix_size(size, similarity: float):
+    return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+
+
+def prefixes(texts: DataFrame, width: int, similarity: float, hot: np.ndarray, counts: np.ndarray, block: int = BLOCK_ROWS) -> DataFrame:
+    """Rows (row, label, text) -> key, row, label, size, side: the first shingles of each text in the order (hot, hash).
+
+    Two sets with a Jaccard of `similarity` share one of their first size - ceil(similarity * size) + 1 elements in any
+    common order. A hot shingle's texts are dealt in blocks, and each pair of blocks has a key; side tells the block.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((hot, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, counts = shared.value
+        for b in batches:
+            out, n = [], 0
+            for i in range(len(b)):
+                row, label = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                h = shingle_set(b.column(2)[i].as_py(), width)
+                size = len(h)
+                times = np.ones(size, np.int64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    is_hot = hot[at] == h
+                    h = np.concatenate([h[~is_hot], h[is_hot]])
+                    times = np.concatenate([times[~is_hot], counts[at[is_hot]] // block + 1])
+                k = int(_prefix_size(size, similarity))
+                h, times = h[:k], times[:k]
+                keys, sides = [h[times == 1]], [np.full(int((times == 1).sum()), 2, np.int8)]
+                for x, blocks in zip(h[times > 1], times[times > 1], strict=True):
+                    own = np.uint64(xxhash.xxh64_intdigest(row.to_bytes(8, "little", signed=True), SEED) % int(blocks))
+                    other = np.arange(int(blocks), dtype=np.uint64)
+                    low, high = np.minimum(other, own), np.maximum(other, own)
+                    keys.append(x ^ (low * np.uint64(0x9E3779B97F4A7C15)) ^ ((high + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)))
+                    sides.append(np.where(low == high, 2, own == high).astype(np.int8))
+                key = np.concatenate(keys).view(np.int64)
+                out.append((key, np.full(len(key), row), np.full(len(key), ~row if label is None else label), np.full(len(key), size, np.int32), np.concatenate(sides)))
+                n += len(key)
+                if n > SHINGLES_AT_ONCE or i + 1 == len(b):
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "row", "label", "size", "side"])
+                    out, n = [], 0
+
+    return texts.select("row", "label", "text").mapInArrow(run, "key long, row long, label long, size int, side byte")
+
+
+def _pairs(similarity: float):
+    """Rows of prefixes() sorted by key -> a, b, need: pairs of a key with other labels and fitting sizes; `need` shared prefix shingles are due."""
+
+    def found(row: np.ndarray, label: np.ndarray, size: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
+        out = []
+        step = max(1, (1 << 22) // len(row))
+        for s in range(0, len(row), step):
+            x = slice(s, s + step)
+            ok = (label[x, None] != label) & (row[x, None] < row) & ((side[x, None] != side) | (side == 2))
+            ok &= np.minimum(size[x, None], size) >= similarity * np.maximum(size[x, None], size) - 1e-9
+            i, j = np.nonzero(ok)
+            i = i + s
+            rest = np.maximum(size[i] - _prefix_size(size[i], similarity), size[j] - _prefix_size(size[j], similarity))
+            need = np.ceil(similarity * (size[i] + size[j]) / (1 + similarity) - 1e-9).astype(np.int64) - rest
+            out.append(np.stack([row[i], row[j], np.maximum(need, 1)]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 5
+        for b in _with_end(batches):
+            if b is not None:
+                held = [np.concatenate([old, new.to_numpy(zero_copy_only=False).astype(np.int64)]) for old, new in zip(held, b.columns, strict=True)]
+            key = held[0]
+            if not len(key):
+                continue
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+            if b is not None:  # the last key may go on
+                starts, ends = starts[:-1], ends[:-1]
+            out = []
+            if len(starts):
+                label = held[2][: ends[-1]]
+                mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+                for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                    out += found(*[c[s:e] for c in held[1:]])
+            if b is not None and len(cut):
+                held = [c[cut[-1] :] for c in held]
+            for part in out:
+                for k in range(0, part.shape[1], 1 << 16):
+                    yield pa.record_batch([pa.array(c[k : k + (1 << 16)]) for c in part], ["a", "b", "need"])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Rows (row, label, text) -> (a, b): all pairs of different labels (null is like no other) that can have a Jaccard of `similarity`.
+
+    Beyond sharing one prefix shingle: all they share lies in both prefixes, or in the rest of that whose prefix ends first.
+    """
+    rows = prefixes(texts, width, similarity, *hot_shingles(texts, width))
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    pairs = rows.mapInArrow(_pairs(similarity), "a long, b long, need long")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+
+
+def _members(groups: DataFrame) -> DataFrame:
+    """Rows (row, label, words) -> row, label, blocks for the labels of more than one row."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("words") / BLOCK_WORDS)).cast("int").alias("blocks")
+    sizes = groups.groupBy("label").agg(F.count("*").alias("n"), blocks).where("n > 1")
+    return groups.join(sizes, "label").select("row", "label", "blocks")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, seeds: int = SEEDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """docs with one document of each group: the smallest doc_id stays, ids that are null only if there is no other.
 
     Copies with equal words are folded first. Candidates come from covering tables over `seeds` fingerprints of the
-    distinct words: an edit that spoils `width` shingles spoils one word, so texts as similar as asked for lie much
-    closer in words. The check is exact: a link is a Jaccard similarity of distinct shingles of `similarity` or more.
+    distinct words (an edit that spoils `width` shingles spoils one word), which group large sets of copies cheaply but
+    guarantee bits, not a Jaccard; so pairs of different groups come from a prefix join on shingles, which misses none.
+    The check is exact: a link is a Jaccard similarity of distinct shingles of `similarity` or more.
     It goes by groups of candidates; groups beyond BLOCK_ROWS texts or BLOCK_WORDS words are cut in blocks, and each
     pair of blocks is a task of its own, so that no task holds a whole group.
 
@@ -315,20 +439,26 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, seeds:
     nodes = marks.groupBy("digest").agg(first, F.min("words").alias("words"), F.min("fps").alias("fps"))
     nodes = keep(nodes.select(F.col("first.row").alias("row"), "first", "words", "fps"), "nodes")
 
-    groups = keep(candidate_groups(nodes, radius).join(nodes.select("row", "words"), "row"), "groups")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("words") / BLOCK_WORDS)).cast("int").alias("blocks")
-    sizes = groups.groupBy("label").agg(F.count("*").alias("n"), blocks).where("n > 1")
-    members = groups.join(sizes, "label").select("row", "label", "blocks")
+    groups = keep(candidate_groups(nodes, radius, bucket).join(nodes.select("row", "words"), "row"), "groups")
+    members = _members(groups)
     tags = keep(nodes.select("row").join(members, "row", "left"), "tags")
     # the same joins at every size, so that small tables tell what large ones need; texts are exchanged once
     tagged = keep(rows.join(tags.hint("merge"), "row"), "tagged")
     drop_dir(docs.sparkSession, rows_at)  # all that is read from here on is written anew
     grouped = tagged.where("label IS NOT NULL")
-    same = components(keep(_verified(grouped.select("row", "label", "blocks", F.col(text).alias("text")), width, similarity), "similar"))
+    similar_rows = lambda rows: _verified(rows.select("row", "label", "blocks", F.col(text).alias("text")), width, similarity)
+    first_links = keep(similar_rows(grouped), "similar")
+    # all pairs inside a label have been checked; what is similar across labels is found by shingles
+    pairs = keep(prefix_pairs(tagged.select("row", "label", F.col(text).alias("text")), width, similarity), "pairs")
+    across = components(pairs).withColumnRenamed("node", "row").join(nodes.select("row", "words"), "row")
+    across = keep(_members(keep(across, "across")), "across_members")
+    more = keep(similar_rows(tagged.drop("label", "blocks").join(across, "row")), "similar")
+    same = components(first_links.union(more))
     named = keep(same.withColumnRenamed("node", "row").join(nodes.select("row", "first"), "row"), "named")
     best = named.groupBy("label").agg(F.min("first").alias("best"))
-    gone = named.join(best, "label").where("first <> best").select("row")
-    out = tagged.where("label IS NULL").select(*inner).union(grouped.join(gone.hint("merge"), "row", "left_anti").select(*inner))
+    gone = keep(named.join(best, "label").where("first <> best").select("row"), "gone")
+    alone = keep(gone.join(members.select("row").hint("merge"), "row", "left_anti"), "alone")
+    out = tagged.where("label IS NULL").join(alone, "row", "left_anti").select(*inner).union(grouped.join(gone.hint("merge"), "row", "left_anti").select(*inner))
     return out.toDF(*names)
 
 

@@ -191,6 +191,34 @@ def test_deduplicate_keeps_one_of_each_group(spark, docs, empty, monkeypatch):
     same([(r.doc_id, r.text) for r in simhash.deduplicate(df).collect()], expected(rows))
 
 
+def block_edited() -> list[tuple]:
+    """Pairs at a Jaccard of 0.79 to 0.95: a tail added, a tail cut, a block in the middle replaced."""
+    rnd = random.Random(11)
+    words = lambda n: ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(n)]
+    texts = []
+    for j in (0.79, 0.8, 0.81, 0.82, 0.84, 0.87, 0.91, 0.95):
+        for n in (60, 150, 400):
+            a, b, c = words(n), words(n), words(n)
+            added, cut, middle = round(n * (1 / j - 1)), round(n * (1 - j)), round(n * (1 - j) / (1 + j))
+            texts += [a, a + words(added), b, b[: n - cut], c, c[: n // 3] + words(middle) + c[n // 3 + middle :]]
+    return [(1000 + i, " ".join(t), None, None, None) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("bucket", [2, 4096])
+def test_deduplicate_finds_block_edits(spark, bucket, monkeypatch):
+    rows = block_edited()
+    label = brute_similar([r[1] for r in rows])
+    assert len(rows) // 2 < len(set(label)) < 3 * len(rows) // 4  # most pairs, not all
+    df = spark.createDataFrame(rows, DOCS)
+    expected = sorted(rows[label.index(x)][0] for x in set(label))
+    assert sorted(r.doc_id for r in simhash.deduplicate(df, bucket=bucket).collect()) == expected
+    monkeypatch.setattr(simhash, "SAMPLE", 1)  # shingles of two texts are hot, each in several blocks
+    monkeypatch.setattr(simhash, "HOT_LEAST", 2)
+    pairs = simhash.prefixes
+    monkeypatch.setattr(simhash, "prefixes", lambda *args: pairs(*args, block=1))
+    assert sorted(r.doc_id for r in simhash.deduplicate(df, bucket=bucket).collect()) == expected
+
+
 def brute_strip(texts: list[str | None], least: int) -> list[tuple]:
     data = [(t or "").encode() for t in texts]
     n = Counter(d[i : i + least] for d in data for i in range(len(d) - least + 1))
