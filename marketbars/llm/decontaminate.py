@@ -5,7 +5,9 @@ typed placeholders, other words are lower-cased, punctuation goes. Windows of `w
 of them words, are hashed and joined with the benchmark's windows. A matched window counts if its slots are consistent:
 equal values of the item stand for equal values in the document, so a question asked again with other numbers and
 names is caught, a chance likeness of templates isn't. A document leaks an item when the counted windows cover
-`share` of the item or a run of `run` of its tokens, and the slots agree over all of them.
+`share` of the item or a run of `run` of its tokens, and the slots agree over all of them. This is asked of each
+occurrence: the windows at one offset of document and item, those at neighbouring offsets (words were put in or left
+out), and all of the document (pieces of an item far apart); so a copy and its variants don't hide each other.
 
 The benchmark's distinct window hashes are sent to the tasks as a filter if there are at most `known_most` of them
 (8 bytes each, so the bound is proven); beyond that the join itself does all the work. An item of fewer than `width`
@@ -26,10 +28,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import keep
 
-WIDTH, LEAST, SHARE, RUN = 8, 3, 0.5, 13
+WIDTH, LEAST, SHARE, RUN, STEP = 8, 3, 0.5, 13, 8
 KNOWN_MOST = 2_000_000
 CACHE = 300_000
 BLOCK = 1 << 22
@@ -151,7 +154,7 @@ def _covered(starts: Column, width: Column) -> Column:
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, known_most: int = KNOWN_MOST) -> DataFrame:
-    """Rows (rid, id, text) of both sides -> rid, doc_id, item_id, n_windows, coverage, longest_run, n_slots, verbatim."""
+    """Rows (rid, id, text) of both sides -> rid, doc_id, item_id, n_windows, coverage, longest_run, n_slots, verbatim: a row for each occurrence."""
     bench = keep(windows(items, [width], own_width=True).dropDuplicates(["rid", "h", "pos"]), "bench_windows")
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # at most `width` of them
     hashes = bench.select("h").distinct()
@@ -161,14 +164,22 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
     schema = "rid long, doc_id long, item_id long, n_windows long, coverage double, longest_run int, n_slots int, verbatim boolean"
     if not widths:
         return docs.sparkSession.createDataFrame([], schema)
-    ours = windows(docs, widths, known).select("rid", F.col("id").alias("doc_id"), "h", F.col("slots").alias("theirs"))
+    ours = windows(docs, widths, known).select("rid", F.col("id").alias("doc_id"), "h", F.col("pos").alias("place"), F.col("slots").alias("theirs"))
     theirs = bench.select("h", F.col("rid").alias("item_rid"), F.col("id").alias("item_id"), "pos", "width", "n_tokens", "slots")
     hits = ours.join(theirs, "h").where(F.size("slots") == F.size("theirs"))
     pairs = F.array_distinct(F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     hits = hits.withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct("slots")))
-    by = hits.groupBy("rid", "doc_id", "item_rid", "item_id").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.max("width").alias("width"), F.max("n_tokens").alias("n_tokens"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    # occurrences: one offset, offsets with no wider step than a fraction of the item, the whole document
+    key = ["rid", "doc_id", "item_rid", "item_id"]
+    order = W.partitionBy(*key).orderBy("offset")
+    hits = hits.withColumn("offset", F.col("place") - F.col("pos"))
+    hits = hits.withColumn("step", (F.col("offset") - F.lag("offset").over(order) > F.greatest(F.lit(2), F.col("n_tokens") / STEP)).cast("int"))
+    hits = hits.withColumn("band", F.coalesce(F.sum("step").over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
+    occurrence = F.array(F.struct(F.lit(0).alias("kind"), F.col("offset").cast("long").alias("n")), F.struct(F.lit(1).alias("kind"), F.col("band").cast("long").alias("n")), F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("n")))
+    hits = hits.withColumn("occurrence", F.explode(occurrence))
+    by = hits.groupBy(*key, "occurrence").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.max("width").alias("width"), F.max("n_tokens").alias("n_tokens"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     by = by.withColumn("c", _covered(F.col("at"), F.col("width")))
-    # over all windows, each value of the item keeps to one value in most of its slots
+    # over the windows of an occurrence, each value of the item keeps to one value in most of its slots
     firm = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
     by = by.select("rid", "doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), F.round(F.col("c.n") / F.col("n_tokens"), 4).alias("coverage"), F.col("c.best").alias("longest_run"), "n_tokens",
                    F.size("pairs").alias("n_slots"), firm.alias("n_values"), (F.size(F.filter("pairs", lambda p: p["a"] != p["b"])) == 0).alias("verbatim"))

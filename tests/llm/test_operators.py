@@ -332,6 +332,19 @@ def test_decontamination(spark, docs, empty):
     assert not {400, 401, 402} & {r.doc_id for r in left.collect()} and left.count() >= len(corpus()) + 1
 
 
+def test_decontamination_by_occurrence(spark):
+    """A copy and variants of it in one text, or variants alone, don't hide each other; nor does a stray window."""
+    again = lambda a, b, c, d: PASSAGE.replace("Anna", a).replace("3 apples", f"{b} apples").replace("5 pears", f"{c} pears").replace("8 dollars", f"{d} dollars")
+    variants = [again("Bertram", 7, 9, 16), again("Carla", 11, 4, 23), again("Dora", 2, 6, 31)]
+    filler = " Then other things were said by the people who had come along. "
+    stray = " ".join(again("Emil", 40, 41, 42).split()[:12])
+    texts = [filler.join([PASSAGE, variants[0]]), filler.join(variants), filler.join([variants[0], stray]), filler.join([stray, PASSAGE, variants[1], variants[2]]), " ".join(variants), filler * 3]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.op9(rows, spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")).collect()}
+    assert set(got) == {0, 1, 2, 3, 4}
+    assert got[0].verbatim and got[3].verbatim and not got[1].verbatim
+
+
 def test_decontamination_without_the_filter(spark):
     """Beyond the bound of the broadcast filter the join gives the same."""
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
