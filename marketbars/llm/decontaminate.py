@@ -198,6 +198,10 @@ def op9(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that leak an item; needs distinct, non-null doc_id to drop by (others stay)."""
-    bad = keep(op9(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that leak an item. A copy with a row number is written first, so rows with null or repeated ids are told apart."""
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # names of its own can't clash with the row number
+    rows = keep(docs.toDF(*inner).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    texts = rows.select("rid", F.col(inner[names.index("doc_id")]).cast("long").alias("id"), F.col(inner[names.index("text")]).alias("text"))
+    bad = keep(leaks(texts, _rows(items, "item_id")).select("rid").distinct(), "leaks")
+    return rows.join(bad, "rid", "left_anti").select(*inner).toDF(*names)

@@ -345,6 +345,14 @@ def test_decontamination_by_occurrence(spark):
     assert got[0].verbatim and got[3].verbatim and not got[1].verbatim
 
 
+def test_decontaminate_drops_rows_not_ids(spark):
+    """A leaking row goes even with a null id; a clean row stays even if a leaking one has its id."""
+    clean = "a row that says nothing of the kind and may stay"
+    rows = spark.createDataFrame([(None, PASSAGE, 1), (None, clean, 2), (5, PASSAGE, 3), (5, clean, 4), (6, None, 5)], "doc_id long, text string, rid long")
+    left = decontaminate.decontaminate(rows, spark.createDataFrame([(1, PASSAGE)], "item_id long, text string"))
+    assert left.columns == rows.columns and sorted(r.rid for r in left.collect()) == [2, 4, 5]
+
+
 def test_decontamination_without_the_filter(spark):
     """Beyond the bound of the broadcast filter the join gives the same."""
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
