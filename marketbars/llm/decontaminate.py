@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, names (title-case words inside a sentence; a run of them is one) and units turn into
-typed placeholders, other words are lower-cased, punctuation goes. Windows of `width` template tokens, at least half
-of them words, are hashed and joined with the benchmark's windows. A matched window counts if its slots are consistent:
+typed placeholders, other words are lower-cased, punctuation goes. A title-case word that begins a sentence can be a
+word or a name: both readings are indexed. Scripts without blanks give a token for each character. Windows of `width`
+template tokens are hashed and joined with the benchmark's windows; those with words in less than half of the places,
+where a template can't decide, by their values, so that they match exact copies only. A matched window counts if its slots are consistent:
 equal values of the item stand for equal values in the document, so a question asked again with other numbers and
 names is caught, a chance likeness of templates isn't. A document leaks an item when the counted windows cover
 `share` of the item or a run of `run` of its tokens, and the slots agree over all of them. This is asked of each
@@ -11,7 +13,8 @@ out), and all of the document (pieces of an item far apart); so a copy and its v
 
 The benchmark's distinct window hashes are sent to the tasks as a filter if there are at most `known_most` of them
 (8 bytes each, so the bound is proven); beyond that the join itself does all the work. An item of fewer than `width`
-tokens (three at least) is one window of its own length; shorter items can't be told from chance and match nothing.
+tokens is one window of its own length; one of fewer than three matches by its values, and only where it stands as a
+sentence or line of its own.
 
 Cases: null and empty texts match nothing; repeated rows each count as a document of their own, and equal (doc_id,
 item_id) pairs are then folded to their best; null ids are kept; an empty table on either side gives an empty result;
@@ -37,25 +40,32 @@ KNOWN_MOST = 2_000_000
 CACHE = 300_000
 BLOCK = 1 << 22
 
-TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[%$€£¥°]|[.!?\n]+")
+#: Scripts without blanks between words: Thai to Burmese, Khmer, kana and Chinese characters.
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+TOKEN = re.compile(rf"[0-9]+(?:[.,][0-9]+)*|(?:(?![{UNSPACED}])[^\W\d_])+|(?=[{UNSPACED}])[^\W\d_]|[%$€£¥°]|[.!?\n。！？]+")
+SEPARATORS = ".!?\n。！？"
 #: Words and signs that follow or precede amounts.
 UNITS = frozenset("% $ € £ ¥ ° mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr mph kmh usd eur gbp dollars euros pounds cents meters metres kilometers kilometres miles inches feet grams kilograms seconds minutes hours days weeks months years".split())
 NUM, NAME, UNIT, SEP = 2, 4, 6, 0  # even codes under 8; words are odd-shifted above
 
 
+def _word(low: str) -> int:
+    return (xxhash.xxh64_intdigest(low.encode(), 1) >> 4 | 8) << 1
+
+
 class _Codes(dict):
     """token -> code * 2 + (title case)."""
 
     def __missing__(self, t: str) -> int:
         low = t.lower()
-        if t[0] in ".!?\n":
+        if t[0] in SEPARATORS:
             c = SEP
         elif t[0].isdecimal():
             c = NUM
         elif low in UNITS and not t[:1].isupper():
             c = UNIT
         else:
-            c = (xxhash.xxh64_intdigest(low.encode(), 1) >> 4 | 8) << 1
+            c = _word(low)
             if t[0].isupper() and t != t.upper():
                 c |= 1
         if len(self) > CACHE:
@@ -64,51 +74,79 @@ class _Codes(dict):
         return c
 
 
-def template(text: str, codes: _Codes) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Template codes, the place of each in the token list, and the token list."""
+def readings(text: str, codes: _Codes) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Tokens, the sentence of each, which are title-case and begin one, and template codes with their places in the
+    token list: with those taken as words and, if there are any, with those taken as names."""
     tokens = TOKEN.findall(text)
     c = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
-    title = (c & 1 == 1) & (c > 8)
-    first = np.concatenate([[True], c[:-1] == SEP])[: len(c)]
-    c = np.where(title & ~first, NAME, c & ~1)
-    stay = c != SEP
-    stay[1:] &= ~((c[1:] == NAME) & (c[:-1] == NAME))
-    at = np.flatnonzero(stay)
-    return c[at], at, tokens
+    title, plain, sep = (c & 1 == 1) & (c > 8), c & ~1, c == SEP
+    first = np.concatenate([[True], sep[:-1]])[: len(c)]
+    out = []
+    for names in (title & ~first, title) if (title & first).any() else (title & ~first,):
+        r = np.where(names, NAME, plain)
+        stay = ~sep
+        stay[1:] &= ~((r[1:] == NAME) & (r[:-1] == NAME))
+        at = np.flatnonzero(stay)
+        out.append((r[at], at))
+    return tokens, np.cumsum(sep), title & first, out
 
 
-def window_hashes(c: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each window of which at least half are words."""
-    n = len(c) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _mixed(c: np.ndarray, starts: np.ndarray | None, width: int, seed: int) -> np.ndarray:
+    """Hashes of the windows at the starts, of all if there are none given."""
     u = c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = np.full(n, width, np.uint64)
+    n = len(c) - width + 1
+    h = np.full(n if starts is None else len(starts), seed, np.uint64)
     for k in range(width):
-        h = (h ^ u[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (u[k : k + n] if starts is None else u[starts + k])) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-    words = np.concatenate([[0], np.cumsum(c > 8)])
-    good = np.flatnonzero(2 * (words[width:] - words[:-width]) >= width)
-    return h[good].view(np.int64), good
+    return h.view(np.int64)
+
+
+def window_hashes(c: np.ndarray, at: np.ndarray, tokens: list[str], sentence: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each window: of its template, or of its values if less than half are words; 0 if it can't match."""
+    n = len(c) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    if width < LEAST:
+        s = sentence[at]
+        own = s[: n] == s[width - 1 :]
+        own[1:] &= s[: n - 1] != s[1:n]
+        own[:-1] &= s[width - 1 : -1] != s[width:]
+        h, weak = np.zeros(n, np.int64), np.flatnonzero(own)
+    else:
+        h = _mixed(c, None, width, width)
+        words = np.concatenate([[0], np.cumsum(c > 8)])
+        weak = np.flatnonzero(2 * (words[width:] - words[:-width]) < width)
+    if len(weak):
+        lit, used = c.copy(), np.zeros(len(c) + 1, np.int64)
+        np.add.at(used, weak, 1)
+        np.add.at(used, weak + width, -1)
+        for i in np.flatnonzero((np.cumsum(used)[:-1] > 0) & (c < 8)).tolist():
+            lit[i] = _word(_value(c, at, tokens, i))
+        h[weak] = _mixed(lit, weak, width, width | 256)
+    return h
+
+
+def _value(c: np.ndarray, at: np.ndarray, tokens: list[str], i: int) -> str:
+    if c[i] != NAME:
+        return tokens[at[i]].lower()
+    end = at[i + 1] if i + 1 < len(at) else len(tokens)
+    return " ".join(t for t in tokens[at[i] : end] if t[0] not in SEPARATORS).lower()
 
 
 def _slots(c: np.ndarray, at: np.ndarray, tokens: list[str], start: int, width: int) -> list[str]:
-    out = []
-    for i in range(start, start + width):
-        if c[i] < 8:
-            end = at[i + 1] if i + 1 < len(at) else len(tokens)
-            value = " ".join(t for t in tokens[at[i] : end] if t[0] not in ".!?\n") if c[i] == NAME else tokens[at[i]]
-            out.append(value.lower())
-    return out
+    return [_value(c, at, tokens, i) for i in range(start, start + width) if c[i] < 8]
 
 
-WINDOW = "h long, pos int, width int, n_tokens int, slots array<string>"
+WINDOW = "h long, reading int, pos int, place int, width int, n_tokens int, slots array<string>"
 
 
 def windows(rows: DataFrame, widths: list[int], known: np.ndarray | None = None, own_width: bool = False) -> DataFrame:
     """(rid, id, text) -> rid, id and WINDOW: the windows of the widths, or of known hashes only.
 
-    own_width: the text's template is taken as one window where it is shorter than the largest width.
+    own_width: each reading of the text is listed in full, and is one window where it is shorter than the largest width.
+    Otherwise a window is listed in the reading with names only if that changes it. pos counts in the first reading,
+    place in the one with names; with own_width pos counts in the row's reading.
     """
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast(known) if known is not None else None
@@ -120,22 +158,33 @@ def windows(rows: DataFrame, widths: list[int], known: np.ndarray | None = None,
                 text = b.column(2)[r].as_py()
                 if not text:
                     continue
-                c, at, tokens = template(text, codes)
+                tokens, sentence, begins, both = readings(text, codes)
                 out = []
-                for w in ([min(max(widths), len(c))] if own_width else widths):
-                    if w < LEAST:
-                        continue
-                    h, pos = window_hashes(c, w)
-                    if known is not None and len(h):
-                        hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                        h, pos = h[hit], pos[hit]
-                    out += [(x, p, w, len(c), _slots(c, at, tokens, p, w)) for x, p in zip(h.tolist(), pos.tolist(), strict=True)]
+                for reading, (c, at) in enumerate(both):
+                    for w in [min(max(widths), len(c))] if own_width else widths:
+                        if w < 1:
+                            continue
+                        h = window_hashes(c, at, tokens, sentence, w)
+                        take = h != 0
+                        if reading and not own_width:
+                            changed = np.concatenate([[0], np.cumsum(begins[at])])
+                            take &= changed[w:][: len(h)] > changed[: len(h)]
+                        pos = np.flatnonzero(take)
+                        h = h[pos]
+                        if known is not None and len(h):
+                            hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                            h, pos = h[hit], pos[hit]
+                        if not len(h):
+                            continue
+                        first = pos if own_width else np.searchsorted(both[0][1], at[pos], "right") - 1
+                        named = np.searchsorted(both[-1][1], at[pos], "right") - 1
+                        out += [(x, reading, f, g, w, len(c), _slots(c, at, tokens, p, w)) for x, p, f, g in zip(h.tolist(), pos.tolist(), first.tolist(), named.tolist(), strict=True)]
                 for k in range(0, len(out), 4096):
                     part = out[k : k + 4096]
                     n = len(part)
                     yield pa.record_batch(
-                        [pa.repeat(b.column(0)[r], n), pa.repeat(b.column(1)[r], n), *(pa.array([x[i] for x in part], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))))],
-                        ["rid", "id", "h", "pos", "width", "n_tokens", "slots"],
+                        [pa.repeat(b.column(0)[r], n), pa.repeat(b.column(1)[r], n), *(pa.array([x[i] for x in part], t) for i, t in enumerate((pa.int64(), *[pa.int32()] * 5, pa.list_(pa.string()))))],
+                        ["rid", "id", "h", "reading", "pos", "place", "width", "n_tokens", "slots"],
                     )
 
     return rows.mapInArrow(run, f"rid long, id long, {WINDOW}")
@@ -155,7 +204,7 @@ def _covered(starts: Column, width: Column) -> Column:
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, known_most: int = KNOWN_MOST) -> DataFrame:
     """Rows (rid, id, text) of both sides -> rid, doc_id, item_id, n_windows, coverage, longest_run, n_slots, verbatim: a row for each occurrence."""
-    bench = keep(windows(items, [width], own_width=True).dropDuplicates(["rid", "h", "pos"]), "bench_windows")
+    bench = keep(windows(items, [width], own_width=True).dropDuplicates(["rid", "reading", "h", "pos"]), "bench_windows")
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # at most `width` of them
     hashes = bench.select("h").distinct()
     known = None
@@ -164,15 +213,15 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
     schema = "rid long, doc_id long, item_id long, n_windows long, coverage double, longest_run int, n_slots int, verbatim boolean"
     if not widths:
         return docs.sparkSession.createDataFrame([], schema)
-    ours = windows(docs, widths, known).select("rid", F.col("id").alias("doc_id"), "h", F.col("pos").alias("place"), F.col("slots").alias("theirs"))
-    theirs = bench.select("h", F.col("rid").alias("item_rid"), F.col("id").alias("item_id"), "pos", "width", "n_tokens", "slots")
+    ours = windows(docs, widths, known).select("rid", F.col("id").alias("doc_id"), "h", F.col("pos").alias("first"), F.col("place").alias("named"), F.col("slots").alias("theirs"))
+    theirs = bench.select("h", F.col("rid").alias("item_rid"), F.col("id").alias("item_id"), "reading", "pos", "width", "n_tokens", "slots")
     hits = ours.join(theirs, "h").where(F.size("slots") == F.size("theirs"))
     pairs = F.array_distinct(F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     hits = hits.withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct("slots")))
     # occurrences: one offset, offsets with no wider step than a fraction of the item, the whole document
-    key = ["rid", "doc_id", "item_rid", "item_id"]
+    key = ["rid", "doc_id", "item_rid", "item_id", "reading"]
     order = W.partitionBy(*key).orderBy("offset")
-    hits = hits.withColumn("offset", F.col("place") - F.col("pos"))
+    hits = hits.withColumn("offset", F.when(F.col("reading") == 0, F.col("first")).otherwise(F.col("named")) - F.col("pos"))
     hits = hits.withColumn("step", (F.col("offset") - F.lag("offset").over(order) > F.greatest(F.lit(2), F.col("n_tokens") / STEP)).cast("int"))
     hits = hits.withColumn("band", F.coalesce(F.sum("step").over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
     occurrence = F.array(F.struct(F.lit(0).alias("kind"), F.col("offset").cast("long").alias("n")), F.struct(F.lit(1).alias("kind"), F.col("band").cast("long").alias("n")), F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("n")))

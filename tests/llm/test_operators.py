@@ -345,6 +345,19 @@ def test_decontamination_by_occurrence(spark):
     assert got[0].verbatim and got[3].verbatim and not got[1].verbatim
 
 
+DENSE = ["What is 348 + 129 - 57?", "Compute 12 + 7 * 3 - 4 / 2 and 18 - 6 * 2.", "Tom has 5 apples. Tom gives 2 apples to Ann. Ann eats 1 apple. How many apples are left?", "3, 1, 4, 1, 5, 9, 2, 6, 5, 3", "Boiling point?", "東京タワーの高さは何メートルですか。"]
+
+
+def test_decontamination_of_dense_named_and_short_items(spark):
+    items = spark.createDataFrame(list(enumerate(DENSE)), "item_id long, text string")
+    exact = [(i, f"Some words came before it.\n{t}\nOthers came after it.") for i, t in enumerate(DENSE)]
+    named = [(20, "They ask: Ruth has 7 apples. Ruth gives 3 apples to Bob. Bob eats 2 apple. How many apples are left? Nobody knew.")]
+    other = [(30, "What is 349 + 129 - 57?"), (31, "Compute 12 + 8 * 3 - 4 / 2 and 19 - 6 * 2."), (32, "The boiling point of it is known."), (33, "京都の天気は今日もとても良いです。"), (34, "3, 1, 4, 7, 5, 9, 2, 8, 5, 3")]
+    rows = spark.createDataFrame(exact + named + other, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op9(rows, items).collect()}
+    assert got == {(i, i) for i in range(len(DENSE))} | {(20, 2)}
+
+
 def test_decontaminate_drops_rows_not_ids(spark):
     """A leaking row goes even with a null id; a clean row stays even if a leaking one has its id."""
     clean = "a row that says nothing of the kind and may stay"
