@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.trades import event_trades
-from .bars import sink, stream_bars
+from .bars import stream_bars
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -26,26 +27,21 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bars_of_stream(spark: SparkSession, events_path: str, interval: int) -> DataFrame:
-    """Bars of an events table taken as a stream, written by the append sink and read back.
+    """Bars of an events table taken as a stream: the last state of each window that the stream emitted in update mode.
 
-    Append mode emits a window when the watermark has passed it. A second stream of one late marker per series would be
-    needed to close the last windows of live data; here those are taken from the batch form of the same rows.
+    Nothing is added to what the stream emits; rows that it loses (late beyond the watermark) are missing here, too.
     """
-    from ..operators.bars import trades_to_bars
     from ..sources.lake import COLUMNS
 
     at = work_dir(spark)
-    trades = event_trades(table_stream(spark, events_path))
-    q = sink(stream_bars(trades, {}, interval), f"{at}/bars", f"{at}/state", every=None).start()
+    bars = stream_bars(event_trades(table_stream(spark, events_path)), {}, interval).select(*COLUMNS)
+    spark.createDataFrame([], bars.schema).write.parquet(f"{at}/bars/batch=-1")
+    write = lambda part, k: part.write.mode("overwrite").parquet(f"{at}/bars/batch={k}")
+    q = bars.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    batch = trades_to_bars(event_trades(spark.read.parquet(events_path)), interval).select(*COLUMNS)
-    try:
-        done = spark.read.parquet(f"{at}/bars").select(*COLUMNS)
-    except Exception as e:
-        if "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return batch
     keys = ["window_start", "exchange", "symbol"]
-    return done.unionByName(batch.join(done.select(*keys), keys, "left_anti")).withColumn("exchange", F.col("exchange").cast("string"))
+    states = spark.read.schema(StructType([*bars.schema, StructField("batch", LongType())])).parquet(f"{at}/bars")
+    last = F.max_by(F.struct(*[c for c in COLUMNS if c not in keys]), "batch").alias("last")
+    return states.groupBy(*keys).agg(last).select(*keys, "last.*").select(*COLUMNS)

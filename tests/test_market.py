@@ -206,6 +206,18 @@ def test_debounced_requests(spark):
     assert values(got, "from_ts", "to_ts", "exchanges", "n_events") == sorted((g[0][1], g[-1][1], sorted({e for e, _ in g}), len(g)) for g in expected)
 
 
+def test_bars_of_stream_are_the_streams_own(spark, monkeypatch):
+    """What the stream doesn't emit isn't filled in from elsewhere."""
+    from marketbars.streaming import runs
+
+    events, full = "/root/testdata/sf0.001/events.parquet", runs.stream_bars
+    whole = runs.bars_of_stream(spark, events, 3600)
+    exchange = whole.first()["exchange"]
+    monkeypatch.setattr(runs, "stream_bars", lambda trades, *args: full(trades.where(F.col("exchange") != exchange), *args))
+    less = runs.bars_of_stream(spark, events, 3600)
+    assert 0 < less.count() < whole.count() and less.where(F.col("exchange") == exchange).count() == 0
+
+
 def test_pages_and_plans(spark, make):
     ranges = spark.createDataFrame([("e", "s", 0, 650), ("e", "t", 5, 5)], "exchange string, symbol string, start_s long, end_s long")
     assert values(P.plan_pages(ranges, 1, 300), "from_s", "to_s") == [(0, 300), (300, 600), (600, 650)]
