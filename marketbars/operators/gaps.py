@@ -124,10 +124,16 @@ def disconnect_gaps(events: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 
 def debounced(events: DataFrame, seconds: int = 5) -> DataFrame:
-    """Back-fill requests: exchanges whose events lie within `seconds` of each other go together."""
-    t = F.unix_micros("ts") / 1e6
-    w = W.partitionBy("day").orderBy("ts", "exchange")
-    rows = events.withColumn("day", F.to_date("ts")).withColumn("t", t)
-    new = F.when(F.col("t") - F.lag("t").over(w) <= seconds, 0).otherwise(1)
-    rows = rows.withColumn("new", new).withColumn("k", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy("day", "k").agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.sort_array(F.collect_set("exchange")).alias("exchanges"), F.count(F.lit(1)).alias("n_events")).drop("k", "day")
+    """Back-fill requests: exchanges whose events lie within `seconds` of each other go together, over midnight too.
+
+    Order is taken inside each day; the last event of earlier days and the number of requests begun are one row a day.
+    Events without a time are left out.
+    """
+    order = W.partitionBy("day").orderBy("ts", "exchange")
+    before = W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    rows = events.withColumn("day", F.to_date("ts")).withColumn("t", F.unix_micros("ts") / 1e6)
+    ends = rows.groupBy("day").agg(F.max("t").alias("end")).select("day", F.max("end").over(before).alias("earlier"))
+    rows = rows.join(ends, "day").withColumn("new", F.when(F.col("t") - F.coalesce(F.lag("t").over(order), "earlier") <= seconds, 0).otherwise(1))
+    begun = rows.groupBy("day").agg(F.sum("new").alias("n")).select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begun"))
+    rows = rows.join(begun, "day").withColumn("k", F.col("begun") + F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.groupBy("k").agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.sort_array(F.collect_set("exchange")).alias("exchanges"), F.count(F.lit(1)).alias("n_events")).drop("k")

@@ -206,6 +206,13 @@ def test_debounced_requests(spark):
     assert values(got, "from_ts", "to_ts", "exchanges", "n_events") == sorted((g[0][1], g[-1][1], sorted({e for e, _ in g}), len(g)) for g in expected)
 
 
+def test_debounced_over_midnight(spark):
+    day = 86400
+    events = [("a", at(day - 2)), ("b", at(day + 3)), ("c", at(day + 20)), ("a", at(3 * day - 9)), ("b", at(3 * day))]
+    got = G.debounced(spark.createDataFrame(events, "exchange string, ts timestamp"), 5)
+    assert values(got, "from_ts", "to_ts", "exchanges", "n_events") == [(at(day - 2), at(day + 3), ["a", "b"], 2), (at(day + 20), at(day + 20), ["c"], 1), (at(3 * day - 9), at(3 * day - 9), ["a"], 1), (at(3 * day), at(3 * day), ["b"], 1)]
+
+
 def test_bars_of_stream_are_the_streams_own(spark, monkeypatch):
     """What the stream doesn't emit isn't filled in from elsewhere."""
     from marketbars.streaming import runs
