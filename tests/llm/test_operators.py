@@ -308,6 +308,92 @@ def test_pii_bootstrap_finds_unseen_identifiers(spark):
     assert clean[0].text == "text 0 please call me at: <PHONE> today"
 
 
+def brute_bootstrap(texts: list[str], rounds: int = 4, support: int = 5, bar: float = 0.7, doubt: float = 0.25, z: float = 1.64) -> set[tuple]:
+    """(kind, value) of what the patterns vouch for, by plain loops over sets."""
+    found = [pii_bootstrap.mentions(t or "") for t in texts]
+    fill, seeds, loose, base = {}, {}, {}, set()
+    for named, others in found:
+        for k, _, _, b, seed, v, patterns in named:
+            base |= {(k, v)} if b else set()
+            for p in patterns:
+                fill.setdefault(p, set()).add((k, v))
+                seeds.setdefault((p, k), set()).update([v] if seed else [])
+        for v, patterns in others:
+            for h in patterns:
+                fill.setdefault(h, set()).add(("other", v))
+    for named, _ in found:
+        for k, _, _, b, seed, v, patterns in named:
+            if not b:
+                loose.setdefault((k, v), set()).update(patterns)
+    trusted = twins = {x for x in loose if x in base}
+    for _ in range(rounds):
+        good = set()
+        for p, k in seeds:
+            pos = len(seeds[p, k] | {v for kk, v in trusted if kk == k and (k, v) in fill[p]})
+            own = sum(kk == k for kk, _ in fill[p])
+            n = pos + len(fill[p]) - own + len(fill.get(pii_bootstrap._hash(p), ())) + doubt * (own - pos)
+            low = (pos / n + z * z / (2 * n) - z * ((pos / n) * (1 - pos / n) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+            good |= {(p, k)} if pos >= support and low >= bar else set()
+        new = twins | {(k, v) for (k, v), patterns in loose.items() if any((p, k) in good for p in patterns)}
+        if new == trusted:
+            break
+        trusted = new
+    return trusted
+
+
+def planted() -> tuple[list[str], dict[int, tuple[int, int]]]:
+    """Texts with true identifiers in telling contexts, and others that lack what their kind demands (with their places); no noise that helps."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8)))
+    phone = lambda: f"{rnd.randint(200, 989)} 555 {rnd.randint(1000, 9999)}"
+    key = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    cues = {"phone": [("call me at:", "+1 "), ("my mobile number is", "+1 ")], "secret": [('api_key = "', ""), ("password:", "")]}
+    texts, hidden = [], {}
+    for kind, some in cues.items():
+        for cue, plus in some:
+            for i in range(30):
+                unseen = i % 3 == 2
+                value = (phone() if kind == "phone" else "Zq7-" + key(12)) if unseen else plus + phone() if kind == "phone" else "a1" + key(38)
+                head = f"{word()} {word()} {cue} "
+                if unseen:
+                    hidden[len(texts)] = (len(head), len(head) + len(value))
+                texts.append(f"{head}{value} {word()}")
+    return texts, hidden
+
+
+def test_pii_bootstrap_recall_and_false_spans(spark):
+    texts, hidden = planted()
+    clean = [f"the order {i} of 2019-03-{10 + i} had {i * 37} parts, lot A{i}77B{i}9, see page {300 + i}" for i in range(40)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts + clean)], DOCS)
+    rows = pii_bootstrap.op4(df).collect()
+    found = {(r.doc_id, tuple(map(int, x.split(":")[1:]))) for r in rows for x in r.spans.split(",") if x}
+    caught = [i for i, x in hidden.items() if (i, x) in found]
+    assert len(hidden) == 40 and len(caught) >= 0.9 * len(hidden)
+    assert not [r for r in rows if r.doc_id >= len(texts) and r.spans]
+
+
+def test_pii_bootstrap_equals_loops(spark):
+    texts, _ = planted()
+    rnd = random.Random(9)
+    mixed = ["".join(rnd.choice(["call me at: ", "the ", "+1 212 555 7788", "212 555 7788", "555 123 4567", "17 ", "password: ", "b" * 3 + "0123456789abcdef" * 2, "x9y8z7w6", " and ", "a@b.co", "a [at] b [dot] co", "1.2.3.4 "]) for _ in range(12)) for _ in range(120)]
+    everything = [*texts, *mixed, *ODD, None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(everything)], "doc_id long, text string")
+    found = pii_bootstrap.keep(pii_bootstrap.scan(df).drop("text"), "found")
+    for settings in ({}, {"support": 2, "bar": 0.4}, {"support": 1, "bar": 0.2, "rounds": 6}):
+        expected = brute_bootstrap(everything, **settings)
+        got = {(r.kind, r.value) for r in pii_bootstrap.bootstrap(found, **settings)[1].collect()}
+        assert got == expected and expected
+    assert pii_bootstrap.bootstrap(found.limit(0))[0].collect() == []
+
+
+def test_pii_trusted_value_is_found_wherever_it_stands(spark):
+    rows = [(i, f"text {i} please call me at: +1 212 555 {1000 + i} today") for i in range(20)]
+    rows += [(99, "so call me at: 212 555 7788 now"), (100, "it was 212-555-7788, they said"), (101, "order 212 555 9999 of them"), (102, "known as (212) 555 1003"), (103, "1 212 555 1003 again")]
+    spans = {r.doc_id: r.spans for r in pii_bootstrap.op4(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[99] == "phone:15:27" and spans[100] == "phone:7:19" and spans[101] == ""
+    assert spans[103] == "phone:0:14"  # the digits of a base value
+
+
 def test_redact_keeps_rows_and_columns(docs, empty):
     out = pii_bootstrap.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
