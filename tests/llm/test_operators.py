@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -411,11 +412,11 @@ def test_decontamination(spark, docs, empty):
     rows = [*corpus(), (400, "Some words. " + PASSAGE + " and more.", None, None, None), (401, "They ask: " + again + ".", None, None, None), (402, "In short. One short question of seven plain words, and so on", None, None, None),
             (403, " ".join(PASSAGE.split()[:9]) + " is another thing altogether that nobody asks here", None, None, None), (404, mixed, None, None, None)]
     got = {(r.doc_id, r.item_id): r for r in decontaminate.op9(spark.createDataFrame(rows, DOCS), items).collect()}
-    assert set(got) >= {(400, 1), (401, 1), (402, 5)} and not {k for k in got if k[0] not in (400, 401, 402, 404)}
+    assert set(got) >= {(400, 1), (401, 1), (402, 5)} and not {k for k in got if k[0] not in (400, 401, 402)}
     assert got[400, 1].verbatim and not got[401, 1].verbatim
     assert decontaminate.op9(empty, items).collect() == [] and decontaminate.op9(docs, items.limit(0)).collect() == []
     left = decontaminate.decontaminate(spark.createDataFrame(rows, DOCS), items)
-    assert not {400, 401, 402} & {r.doc_id for r in left.collect()} and left.count() >= len(corpus()) + 1
+    assert not {400, 401, 402} & {r.doc_id for r in left.collect()} and left.count() == len(corpus()) + 2
 
 
 def test_decontamination_by_occurrence(spark):
@@ -444,6 +445,131 @@ def test_decontamination_of_dense_named_and_short_items(spark):
     assert got == {(i, i) for i in range(len(DENSE))} | {(20, 2)}
 
 
+def brute_views(text: str) -> list[list[tuple]]:
+    """Both readings of a text as lists of (template, value, sentence, place of the first token)."""
+    D = decontaminate
+    tokens = [(m[0], m.start()) for m in re.finditer(D.TOKEN, text)]
+    out = []
+    for names_begin in (False, True):
+        view, sentence, first, after_name = [], 0, True, False
+        for i, (x, _) in enumerate(tokens):
+            low = x.lower()
+            if x[0] in D.SEPARATORS:
+                sentence, first, after_name = sentence + 1, True, False
+                continue
+            title = x[0].isupper() and x != x.upper()
+            if x[0].isdecimal():
+                kind = "<num>"
+            elif low in D.UNITS and not x[0].isupper():
+                kind = "<unit>"
+            else:
+                kind = "<name>" if title and (names_begin or not first) else low
+            if kind == "<name>" and after_name:
+                view[-1][1] += " " + low
+            else:
+                view.append([kind, low, sentence, i])
+            after_name = kind == "<name>" and not first
+            first = False
+        out.append([tuple(v) for v in view])
+    starts = {i for i, (x, _) in enumerate(tokens) if x[0].isupper() and x != x.upper() and (i == 0 or tokens[i - 1][0][0] in D.SEPARATORS)}
+    return out if starts else out[:1]
+
+
+def brute_windows(view: list[tuple], w: int) -> dict[int, tuple]:
+    """Place of a window -> what must be equal."""
+    out = {}
+    for i in range(len(view) - w + 1):
+        part = view[i : i + w]
+        slots = sum(v[0].startswith("<") for v in part)
+        if w < 3:
+            own = part[0][2] == part[-1][2] and (i == 0 or view[i - 1][2] != part[0][2]) and (i + w == len(view) or view[i + w][2] != part[0][2])
+            if own:
+                out[i] = ("values", *(v[1] for v in part))
+        else:
+            out[i] = ("values", *(v[1] for v in part)) if 2 * (w - slots) < w else ("template", *(v[0] for v in part))
+    return out
+
+
+def brute_leaks(docs: list[str], items: list[str], width: int = 8, share: float = 0.5, run: int = 13, step: int = 8) -> set[tuple]:
+    found = set()
+    for n, item in enumerate(items):
+        for reading, view in enumerate(brute_views(item or "")):
+            w = min(width, len(view))
+            ours = brute_windows(view, w) if w else {}
+            for d, text in enumerate(docs):
+                hits = []
+                views = brute_views(text or "")
+                for k, theirs in enumerate(views):
+                    for i, x in brute_windows(theirs, w).items() if w else ():
+                        if k and theirs[i : i + w] == [v for v in views[0] if theirs[i][3] <= v[3] <= theirs[i + w - 1][3]]:
+                            continue  # listed in the first reading
+                        base = views[0] if reading == 0 else views[-1]
+                        place = max(j for j, v in enumerate(base) if v[3] <= theirs[i][3])
+                        for j, y in ours.items():
+                            pairs = {(a[1], b[1]) for a, b in zip(view[j : j + w], theirs[i : i + w], strict=True) if a[0].startswith("<")}
+                            if x == y and sum(v[0].startswith("<") for v in view[j : j + w]) == sum(v[0].startswith("<") for v in theirs[i : i + w]):
+                                hits.append((place - j, j, pairs))
+                one = lambda p: len({a for a, _ in p}) == len({b for _, b in p}) == len(p)
+                hits = sorted((h for h in hits if one(h[2])), key=lambda h: h[:2])
+                groups, band, last = {}, 0, None
+                for o, j, pairs in hits:
+                    band += last is not None and o - last > max(2, len(view) / step)
+                    last = o
+                    for key in (("offset", o), ("band", band), ("all",)):
+                        groups.setdefault(key, []).append((j, pairs))
+                for members in groups.values():
+                    covered = {p for j, _ in members for p in range(j, j + w)}
+                    longest = max(len(list(g)) for _, g in itertools.groupby(sorted(covered), key=lambda p, c=itertools.count(): p - next(c)))
+                    if one(set().union(*(p for _, p in members))) and (round(len(covered) / len(view), 4) >= share or longest >= run):
+                        found.add((d, n))
+    return found
+
+
+def test_decontamination_equals_loops(spark):
+    """Items, exact and re-parameterised copies, broken ones, pieces, and mixtures of them, by plain loops over windows."""
+    rnd = random.Random(21)
+    names, plain = ["Anna", "Bert", "Carla", "Dora Lee", "Emil"], "the shop sells old red apples to people near station and they carry them home every day while it rains".split()
+
+    def sentence(form: list, fill: dict) -> str:
+        return " ".join(fill.get(x, x) for x in form)
+
+    forms, items, docs = [], [], []
+    for _ in range(6):
+        form = [rnd.choice([*plain, *plain, "{n0}", "{n1}", "{a0}", "{a1}", "kg"]) for _ in range(rnd.randint(2, 30))]
+        form[rnd.randrange(len(form))] = rnd.choice(["The", "Anna", "12"])
+        forms.append(form)
+        items.append(sentence(form, {"{n0}": "Anna", "{n1}": "Bert", "{a0}": "12", "{a1}": "7"}) + rnd.choice([".", "?", ". How many are left?"]))
+    items += DENSE[:4] + [PASSAGE, None, ""]
+    for i in range(90):
+        bits = []
+        for _ in range(rnd.randint(1, 3)):
+            fill = {"{n0}": rnd.choice(names), "{n1}": rnd.choice(names), "{a0}": str(rnd.randint(1, 9)), "{a1}": str(rnd.randint(1, 9))}
+            bit = rnd.choice([sentence(rnd.choice(forms), fill), rnd.choice(items) or "", PASSAGE.replace("Anna", rnd.choice(names)), " ".join(rnd.choice(plain) for _ in range(9))])
+            words = bit.split(" ")
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                words.insert(rnd.randrange(len(words) + 1), rnd.choice([*plain, *names, "5", "."]))
+            bits.append(" ".join(words[: rnd.choice([None, None, 12])]))
+        docs.append(rnd.choice([". ", " ", "\n"]).join(bits))
+    docs += [None, ""]
+    expected = brute_leaks(docs, items)
+    rows, table = (spark.createDataFrame(list(enumerate(x)), f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id")))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.op9(rows, table).collect()} == expected
+    assert 20 < len(expected) < 0.9 * len(docs) * len(items)
+    args = decontaminate._rows(rows, "doc_id"), decontaminate._rows(table, "item_id")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(*args, known_most=0, sent_most=0).collect()} == expected
+
+
+def test_decontamination_slots_are_one_to_one(spark):
+    """One value of the item stands for one of the document, and the other way round; nothing less is let through."""
+    form = "When {} met the old man by the river {} gave {} coins to the boy and kept {} coins in a small box for the next day"
+    item = form.format("Anna", "she", 12, 5).replace("she", "Anna")
+    make = lambda a, b, c, d: form.format(a, b, c, d)
+    texts = [make("Zoe", "Zoe", 3, 4), make("Zoe", "Bertram", 12, 5), make("Zoe", "Zoe", 4, 4), make("Anna", "Anna", 12, 5), make("Anna", "Anna", 12, 12)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.verbatim for r in decontaminate.op9(rows, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {0: False, 3: True}
+
+
 def test_decontaminate_drops_rows_not_ids(spark):
     """A leaking row goes even with a null id; a clean row stays even if a leaking one has its id."""
     clean = "a row that says nothing of the kind and may stay"
