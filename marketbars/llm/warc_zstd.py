@@ -1,8 +1,10 @@
 """WARC archives in Zstandard: a dictionary in the leading skippable frame, one frame per record.
 
-write_archives() has each task write archives of bounded size to a folder that all executors share; a file gets its
-final name only when whole, so a task that runs again replaces it. read_archives() takes the files by Spark's binary
-reader, loads the dictionary from the skippable frame, decodes frame by frame and checks headers, lengths and digests.
+write_archives() has each task write archives of bounded size to a folder that all executors share. Names hold the
+task's attempt, and a table of those that Spark committed lies beside the archives: what a lost, repeated or speculative
+attempt left is never read. read_archives() takes the archives of that table or, in a folder without one, all files by
+Spark's binary reader; it loads the dictionary from the skippable frame, decodes frame by frame and checks headers,
+lengths and digests.
 
 Of records with equal payloads of at least `least_bytes` bytes, that with the smallest page_id is a response and the
 others are revisits without a payload. Digests that over `1/HOT` of the pages share are matched by a broadcast of at
@@ -16,9 +18,9 @@ empty result; other columns than page_id, url and html are not looked at.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +33,8 @@ from .common import keep, new_dir
 LEAST_BYTES = 100
 HOT = 200
 ARCHIVE_BYTES = 8 << 20
+#: Tasks that read a list of archives, at most.
+TASKS = 20_000
 DICT_SAMPLES, DICT_BYTES = 200, 16 << 10
 DICT_MAGIC, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 DATE = "2024-01-01T00:00:00Z"
@@ -108,25 +112,26 @@ class Archive:
         return b"".join(self.out)
 
 
-def write_archives(records: DataFrame, path: str) -> DataFrame:
-    """Write the records of plan_records() under path (a URI); returns one row per archive, when it is asked for."""
+#: The table of the archives that belong to a folder.
+LIST = "_archives"
+
 
+def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        task, k, n, archive, done = TaskContext.get(), 0, 0, Archive(), []
+        task, n, archive, done = TaskContext.get(), 0, Archive(), []
+        mine = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:12]}"
 
         def flush() -> None:
-            nonlocal k, n, archive
-            name = f"{root}/part-{task.partitionId():05d}-{k:04d}.warc.zst"
-            mine = f"{root}/.{task.partitionId()}-{k}-{task.taskAttemptId()}-{os.getpid()}"
-            with store.open_output_stream(mine) as f:
+            nonlocal n, archive
+            name = f"{mine}-{len(done):04d}.warc.zst"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as f:  # the frames are ours, whatever the name says
                 f.write(archive.bytes())
-            store.move(mine, name)
             done.append((name, n))
-            k, n, archive = k + 1, 0, Archive()
+            n, archive = 0, Archive()
 
         for b in batches:
             for row in zip(*(b.column(x) for x in ("page_id", "url", "digest", "n_bytes", "refers_to", "payload")), strict=True):
@@ -138,7 +143,13 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
             flush()
         yield pa.record_batch([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["name", "n_records"])
 
-    return records.select("page_id", "url", "digest", "n_bytes", "refers_to", "payload").mapInArrow(run, "name string, n_records long")
+    return run
+
+
+def write_archives(records: DataFrame, path: str) -> DataFrame:
+    """Write the records of plan_records() under path (a URI) and return the list of archives: name, n_records."""
+    rows = records.select("page_id", "url", "digest", "n_bytes", "refers_to", "payload")
+    return keep(rows.mapInArrow(_write(path), "name string, n_records long"), "archives", f"{path.rstrip('/')}/{LIST}")
 
 
 def _frames(data: memoryview) -> Iterator[bytes]:
@@ -189,29 +200,42 @@ def parse_record(data: bytes) -> tuple:
     return page(h.get("warc-record-id")), n, digest, kind, page(h.get("warc-refers-to")), h.get("warc-target-uri"), "; ".join(errors) or None
 
 
+def _parsed(archives: Iterator[memoryview]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("error", pa.string())])
+    for data in archives:
+        rows = []
+        try:
+            for x in _frames(data):
+                rows.append(parse_record(x))
+        except Exception as e:  # a damaged archive: what stands before the damage is kept, the damage is told
+            rows.append((None, None, None, None, None, None, f"damaged archive: {e}"))
+        yield pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the .warc.zst files under path; a file that can't be decoded further ends in an error row."""
+    """One row per record of the archives under path; a file that can't be decoded further ends in an error row."""
+    path = path.rstrip("/")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{LIST}")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
+        return files.mapInArrow(lambda batches: _parsed(memoryview(x.as_buffer()) for b in batches for x in b.column(0)), COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("error", pa.string())])
-        for b in batches:
-            for k in range(b.num_rows):
-                rows = []
-                try:
-                    for data in _frames(memoryview(b.column(0)[k].as_buffer())):
-                        rows.append(parse_record(data))
-                except Exception as e:  # a damaged archive: what stands before the damage is kept, the damage is told
-                    rows.append((None, None, None, None, None, None, f"damaged archive: {e}"))
-                yield pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+
+        def content(name: str) -> memoryview:
+            with store.open_input_file(f"{root}/{name}") as f:
+                return memoryview(f.read())
+
+        yield from _parsed(content(name) for b in batches for name in b.column(0).to_pylist())
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
-    return files.mapInArrow(run, COLUMNS)
+    names = spark.read.schema("name string").parquet(f"{path}/{LIST}")
+    return names.repartition(max(1, min(names.count(), TASKS))).mapInArrow(run, COLUMNS)
 
 
 def op10(pages: DataFrame, path: str | None = None) -> DataFrame:
-    spark = pages.sparkSession
-    path = path or new_dir(spark, "warc")
-    done = write_archives(plan_records(pages), path).agg(F.sum("n_records")).first()
-    if not done[0]:
-        return spark.createDataFrame([], COLUMNS).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    path = path or new_dir(pages.sparkSession, "warc")
+    write_archives(plan_records(pages), path)
+    return read_archives(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")

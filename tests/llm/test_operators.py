@@ -661,7 +661,7 @@ def test_warc_archives_are_bounded_and_damage_is_told(spark, tmp_path, monkeypat
     monkeypatch.setattr(warc_zstd, "DICT_SAMPLES", 8)
     path = f"file://{tmp_path}/w"
     df = spark.createDataFrame(pages_of(), "page_id long, url string, html string").coalesce(1)
-    warc_zstd.write_archives(warc_zstd.plan_records(df), path).collect()
+    warc_zstd.write_archives(warc_zstd.plan_records(df), path)
     name = next((tmp_path / "w").glob("*.warc.zst"))
     data = name.read_bytes()
     assert data[:4] == b"\x5d\x2a\x4d\x18"
@@ -675,3 +675,22 @@ def test_warc_archives_are_bounded_and_damage_is_told(spark, tmp_path, monkeypat
     bad = warc_zstd.record(1, "u", "0" * 64, 2, None, b"x").replace(b"WARC-Date", b"WARC-Day")
     assert warc_zstd.parse_record(bad)[-1] == "no warc-date; wrong payload length; wrong digest"
     assert "wrong length" in warc_zstd.parse_record(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")[-1]
+
+
+def test_warc_reads_only_what_the_job_committed(spark, tmp_path, monkeypatch):
+    """A partition that runs twice, its rows in another order and in archives of other sizes, gives each record once."""
+    path = f"file://{tmp_path}/w"
+    df = warc_zstd.plan_records(spark.createDataFrame(pages_of(), "page_id long, url string, html string")).select("page_id", "url", "digest", "n_bytes", "refers_to", "payload")
+    monkeypatch.setattr(warc_zstd, "ARCHIVE_BYTES", 2000)
+    first = df.orderBy("digest").coalesce(1).mapInArrow(warc_zstd._write(path), "name string, n_records long").collect()  # an attempt that Spark gave up
+    monkeypatch.setattr(warc_zstd, "ARCHIVE_BYTES", 8 << 20)
+    done = warc_zstd.write_archives(df.orderBy(df["digest"].desc()).coalesce(1), path).collect()
+    assert not {r.name for r in first} & {r.name for r in done} and sum(r.n_records for r in done) == len(pages_of())
+    assert len(list((tmp_path / "w").glob("*.warc.zst"))) == len(first) + len(done)
+    rows = warc_zstd.read_archives(spark, path).collect()
+    same([r.page_id for r in rows], [p[0] for p in pages_of()])
+    assert all(r.error is None for r in rows)
+    (tmp_path / "other").mkdir()
+    for r in done:  # a folder without a list is read whole
+        (tmp_path / "other" / r.name).write_bytes((tmp_path / "w" / r.name).read_bytes())
+    assert warc_zstd.read_archives(spark, f"file://{tmp_path}/other").count() == len(pages_of())
