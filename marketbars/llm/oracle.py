@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat_rotation import PART_TURNS
-from .license_scan import THRESHOLD, bounds, template_bigrams
+from .license_scan import TEMPLATES
 from .quality_rules import BASE, RULES, STOP_WORDS, SYMBOLS, WINDOW
 from .warc_zstd import LEAST_BYTES
 
@@ -17,14 +17,18 @@ def _list(xs) -> str:
 
 
 def op1_sql() -> str:
-    rows = ", ".join(f"({_text(k)}, {len(b)}, {lo}, {hi}, {_list(b)})" for k, b in template_bigrams().items() for lo, hi in [bounds(len(b), THRESHOLD)])
-    return rf"""WITH tm(id, n, lo, hi, b) AS (VALUES {rows}),
-    d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t FROM documents),
-    u AS (SELECT doc_id, unnest(list_distinct([t] || string_split_regex(t, '\n *\n') || string_split(t, chr(10)))) AS u FROM d),
-    w AS (SELECT doc_id, string_split(trim(regexp_replace(u, '[ \n]+', ' ', 'g'), ' '), ' ') AS w FROM u),
-    g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
-    s AS (SELECT doc_id, id, 2.0 * len(list_intersect(g, b)) / (len(g) + n) AS dice FROM g JOIN tm ON len(g) BETWEEN lo AND hi)
-    SELECT doc_id, id AS license_id, round(max(dice), 6) AS dice, count(*) AS n_units FROM s WHERE dice >= {THRESHOLD} GROUP BY 1, 2"""
+    texts = ", ".join(f"({_text(k)}, {_text(t)})" for k, t in TEMPLATES.items())
+    return rf"""WITH tm(id, text) AS (VALUES {texts}),
+    tw AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM tm),
+    tb AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM tw)),
+    ts AS (SELECT id, len(w) AS words, w[1] || ' ' || w[2] AS first, (SELECT count(*) FROM tb WHERE tb.id = tw.id) AS n FROM tw),
+    d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+    g AS (SELECT rid, doc_id, i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) > 1)),
+    h AS (SELECT rid, id, i, g FROM g JOIN tb USING (g)),
+    s AS (SELECT h.rid, h.id, h.i, words, n FROM h JOIN ts USING (id) LEFT JOIN h p ON p.rid = h.rid AND p.id = h.id AND p.i = h.i - 1 WHERE p.i IS NULL OR h.g = first),
+    x AS (SELECT s.rid, s.id, s.i, any_value(doc_id) AS doc_id, 2.0 * count(DISTINCT tb.g) / (count(DISTINCT g.g) + any_value(n)) AS dice
+      FROM s JOIN g ON g.rid = s.rid AND g.i BETWEEN s.i AND s.i + words - 2 LEFT JOIN tb ON tb.id = s.id AND tb.g = g.g GROUP BY 1, 2, 3)
+    SELECT doc_id, id AS license_id, round(max(dice), 6) AS dice, count(*) AS n_windows FROM x WHERE dice >= 0.8 GROUP BY 1, 2"""
 
 
 def op3_sql() -> str:

@@ -586,12 +586,38 @@ def test_decontamination_without_the_filter(spark):
     same(decontaminate.leaks(*args).drop("rid").collect(), decontaminate.leaks(*args, known_most=0).drop("rid").collect())
 
 
+def brute_licenses(text: str | None) -> dict[str, float]:
+    """The best Dice of each licence over all windows of its length, wherever they begin."""
+    w = re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).split()
+    g, out = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)], {}
+    for k, t in license_scan.TEMPLATES.items():
+        x = license_scan.template_words(t)
+        b = {f"{p} {q}" for p, q in zip(x, x[1:], strict=False)}
+        dice = [2 * len(set(g[i : i + len(x) - 1]) & b) / (len(set(g[i : i + len(x) - 1])) + len(b)) for i in range(len(g))]
+        if dice and max(dice) >= 0.8:
+            out[k] = max(dice)
+    return out
+
+
 def test_license_scan(spark, docs, empty):
-    mit = license_scan.TEMPLATES["MIT"]
-    rows = [(1, mit, None, None, None), (2, "Words before.\nReleased under the MIT License.\nafter", None, None, None), (3, "x\n\n" + mit.replace(". ", ".\n") + "\n\ny", None, None, None), (4, "Licensed under some other licence", None, None, None), (5, None, None, None, None), (2, "Released   UNDER the (MIT) license", None, None, None)]
+    mit, apache = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["Apache-2.0"]
+    code = "\n".join(f"x{i} = call({i})  # step {i}" for i in range(80))
+    wrapped = lambda t, mark, n=9: "\n".join(f"{mark} {' '.join(t.split()[i : i + n])}" for i in range(0, len(t.split()), n))
+    paragraphs = mit.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    texts = [mit, "Words before.\nReleased under the MIT License.\nafter", "x\n\n" + mit.replace(". ", ".\n") + "\n\ny", "Licensed under some other licence", None,
+             f"Copyright 2020 A. Body\n\n{paragraphs}\n\n{code}", f"/*\n{wrapped(apache, ' *')}\n */\n{code}", f"{code}\n{wrapped(license_scan.TEMPLATES['GPL-3.0'], '#', 7)}\n{code}",
+             "This code. Released under the MIT License. Enjoy it.", "Copyright 2020 Foo Bar. Released under the MIT License.", mit.replace("Software", "Program") + code, " ".join(mit.split()[:60]) + code,
+             "They released it under a license of the MIT kind, and the license says that the software is provided as is.", license_scan.TEMPLATES["BSD-3-Clause"], license_scan.TEMPLATES["LGPL-2.1"], license_scan.TEMPLATES["CC0-1.0"] + code,
+             f"{mit} {apache} {mit}", license_scan.TEMPLATES["EPL-2.0"].replace("materials", "stuff") + " " + code]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(1, "Released   UNDER the (MIT) license", None, None, None)]
     got = {(r.doc_id, r.license_id): r for r in license_scan.op1(spark.createDataFrame(rows, DOCS)).collect()}
-    assert set(got) == {(1, "MIT"), (2, "MIT-line"), (3, "MIT")}
-    assert got[1, "MIT"].dice == 1.0 and got[2, "MIT-line"].n_units == 2
+    expected = {(i, k): d for i, t in enumerate(texts) for k, d in brute_licenses(t).items()}
+    assert set(got) == set(expected) and all(abs(got[k].dice - expected[k]) < 0.02 for k in got)
+    assert {(0, "MIT"), (1, "MIT-line"), (2, "MIT"), (5, "MIT"), (6, "Apache-2.0"), (7, "GPL-3.0"), (8, "MIT-line"), (9, "MIT-line"), (13, "BSD-3-Clause"), (14, "LGPL-2.1"), (15, "CC0-1.0"), (16, "MIT"), (16, "Apache-2.0"), (17, "EPL-2.0")} <= set(got)
+    assert not {i for i, _ in got} & {3, 4, 11, 12}
+    assert got[5, "MIT"].dice == 1.0 and got[1, "MIT-line"].n_windows == 2 and got[16, "MIT"].n_windows >= 2  # windows may overlap
+    hit = license_scan.license_hits(spark.createDataFrame([rows[8]], DOCS)).collect()
+    assert [(h.license_id, h.first_word, h.n_words) for h in hit] == [("MIT-line", 2, 5)]
     assert license_scan.op1(docs).collect() == [] and license_scan.op1(empty).collect() == []
     for n in range(1, 60):  # the bounds prune nothing that could match
         lo, hi = license_scan.bounds(n, 0.8)
