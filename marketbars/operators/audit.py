@@ -129,7 +129,7 @@ def interval_mode(bars: DataFrame, dim: DataFrame, n: int = 51) -> DataFrame:
 def completeness_report(bars: DataFrame, dim: DataFrame, start: Column, end: Column, today: Column) -> DataFrame:
     """Per configured series and day: counts, gaps inside the day, times, percent of expected bars and a status. dim: exchange, symbol, interval_sec."""
     stats = day_stats(bars)
-    holes = G.find_gaps(bars, 2, within_day=True, dim=dim.select("exchange", "interval_sec").distinct()).groupBy(*KEY, DAY("gap_start").alias("day")).agg(n_rows().alias("gaps"))
+    holes = G.find_gaps(bars, 2, within_day=True, dim=dim).groupBy(*KEY, DAY("gap_start").alias("day")).agg(n_rows().alias("gaps"))
     rows = calendar(dim, start, end).join(stats, [*KEY, "day"], "left").join(holes, [*KEY, "day"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     share = F.round(zero("bars") * 100.0 / expected_bars("interval_sec"), 1)
@@ -146,8 +146,8 @@ def full_audit_summary(report: DataFrame) -> DataFrame:
 
 def audit_day_notes(bars: DataFrame, dim: DataFrame, least_pct: float = 80.0) -> DataFrame:
     """Notes per day: incomplete below least_pct of the expected bars, and the first two gaps."""
-    intervals = dim.select("exchange", "interval_sec").distinct()
-    holes = G.find_gaps(bars, 2, within_day=True, dim=intervals).withColumn("day", DAY("gap_start"))
+    intervals = dim.select("exchange", "interval_sec").distinct()  # a row for each exchange
+    holes = G.find_gaps(bars, 2, within_day=True, dim=dim).withColumn("day", DAY("gap_start"))
     firsts = holes.groupBy(*KEY, "day").agg(F.slice(F.sort_array(F.collect_list(F.struct("gap_start", "duration_sec"))), 1, 2).alias("g"))
     texts = F.transform("g", lambda x: F.concat(hms_utc(x["gap_start"]), F.lit(" "), fmt_dur(x["duration_sec"], "tight")))
     rows = count_bars(bars).join(F.broadcast(intervals), "exchange").join(firsts, [*KEY, "day"], "left")
@@ -219,3 +219,10 @@ def file_count_matrix(inventory: DataFrame, dim: DataFrame, days: list[str]) ->
     rows = dim.select(*KEY).distinct().join(counts, list(KEY), "left")
     missing = reduce(lambda a, b: a + b, [F.col(f"`{d}`").isNull().cast("long") for d in days])
     return rows.select(*KEY, *[F.coalesce(F.col(f"`{d}`").cast("string"), F.lit("MISS")).alias(d) for d in days], missing.alias("missing"))
+
+
+def file_counts_by_day(inventory: DataFrame, dim: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The matrix in long form, for any range: a row for each configured series and day, with its files and MISS or the number as text."""
+    counts = inventory.groupBy(*KEY, "day").agg(n_rows().alias("files"))
+    rows = calendar(dim.select(*KEY).distinct(), start, end).join(counts, [*KEY, "day"], "left")
+    return rows.select(*KEY, "day", F.coalesce("files", F.lit(0)).cast("long").alias("files"), F.coalesce(F.col("files").cast("string"), F.lit("MISS")).alias("cell"))

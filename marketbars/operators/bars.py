@@ -29,21 +29,30 @@ def trades_to_bars(trades: DataFrame, interval: int = 60, dim: DataFrame | None
     """
     rows, width = trades, F.lit(interval)
     if dim is not None:  # a row for each exchange of the configuration
-        rows = trades.join(F.broadcast(dim.select("exchange", "interval_sec")), "exchange", "left")
+        rows = trades.join(F.broadcast(dim.select("exchange", "interval_sec").distinct()), "exchange", "left")
         width = F.coalesce("interval_sec", F.lit(interval))
     return rows.groupBy(bucket(time_col, width).alias("window_start"), *KEY).agg(*ohlcv(F.col("price"), F.col("qty"), F.struct(time_col, id_col, "price")))
 
 
+def _days(df: DataFrame, order: str, *what: Column) -> DataFrame:
+    """One row for each series and day (column day): what tasks of other days need to know."""
+    return df.groupBy(*KEY, F.to_date(order).alias("day")).agg(*what)
+
+
 def fill_empty_bars(bars: DataFrame, interval: int | Column) -> DataFrame:
     """A bar for every bucket between the first and last bar of a series; missing ones carry the last close, with source `empty`.
 
-    A bar makes the buckets up to the next bar of its series itself, so nothing is joined; a long hole is made in
-    blocks of at most a day, which bounds the arrays.
+    A bar makes the buckets up to the next bar of its series itself, so nothing is joined. Order is taken inside each
+    day; holes over midnight come from one row a day. A long hole is made in blocks of at most a day, which bounds the
+    arrays.
     """
     width = F.lit(interval) if isinstance(interval, int) else interval
-    nxt = F.lead("window_start").over(W.partitionBy(*KEY).orderBy("window_start"))
+    rows = bars.select(*KEY, "window_start", "close", width.alias("w"), F.to_date("window_start").alias("day"))
+    inside = rows.select(*KEY, "window_start", "close", "w", F.lead("window_start").over(W.partitionBy(*KEY, "day").orderBy("window_start")).alias("next"))
+    ends = _days(rows, "window_start", F.min("window_start").alias("first"), F.max("window_start").alias("window_start"), F.max_by("close", "window_start").alias("close"), F.max_by("w", "window_start").alias("w"))
+    across = ends.select(*KEY, "window_start", "close", "w", F.lead("first").over(W.partitionBy(*KEY).orderBy("day")).alias("next"))
     t, until = F.unix_seconds("window_start"), F.unix_seconds("next")
-    holes = bars.withColumn("next", nxt).withColumn("w", width).where(F.unix_seconds("next") - t > F.col("w"))
+    holes = inside.unionByName(across).where(until - t > F.col("w"))
     day = F.greatest(F.lit(86400), F.col("w"))
     first, last = t + F.col("w"), until - F.col("w")
     blocks = holes.select("exchange", "symbol", "close", "w", last.alias("last"), day.alias("d"), F.explode(F.sequence(first, last, F.floor(day / F.col("w")) * F.col("w"))).alias("from"))
@@ -58,8 +67,13 @@ def fill_empty_bars(bars: DataFrame, interval: int | Column) -> DataFrame:
 
 
 def carry_forward(df: DataFrame, column: str, order: str = "window_start") -> DataFrame:
-    """column with nulls replaced by the last value before them in the series."""
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(W.partitionBy(*KEY).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    """column with nulls replaced by the last value before them in the series: of the same day, or of the last day that has one."""
+    down = W.unboundedPreceding
+    ends = _days(df, order, F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_last"))
+    before = ends.select(*KEY, F.col("day").alias("_day"), F.last("_last", ignorenulls=True).over(W.partitionBy(*KEY).orderBy("day").rowsBetween(down, -1)).alias("_before"))
+    rows = df.withColumn("_day", F.to_date(order)).join(before, [*KEY, "_day"], "left")
+    inside = F.last(column, ignorenulls=True).over(W.partitionBy(*KEY, "_day").orderBy(order).rowsBetween(down, 0))
+    return rows.withColumn(column, F.coalesce(inside, "_before")).select(*df.columns)
 
 
 def resample_bars(bars: DataFrame, seconds: int, by_exchange: bool = True) -> DataFrame:
@@ -96,7 +110,7 @@ def newest(bars: DataFrame, n: int) -> DataFrame:
 
 
 def recent_window(bars: DataFrame, seconds: int, n: int) -> DataFrame:
-    """Bars later than n + 1 buckets before the newest of their series: a time range in place of a count of files."""
+    """Bars later than n + 1 buckets before the newest of their series. Over a lake, sources.lake.read_latest reads the newest days only."""
     ends = bars.groupBy(*KEY).agg(F.max("window_start").alias("_last"))
     return bars.join(ends, list(KEY)).where(F.unix_seconds("window_start") > F.unix_seconds("_last") - (n + 1) * seconds).drop("_last")
 

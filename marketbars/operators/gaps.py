@@ -37,7 +37,7 @@ def find_gaps(bars: DataFrame, threshold: int | Column, strict: bool = True, wit
     d = bar_diffs(bars, within_day)
     limit = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
     if dim is not None:
-        d = d.join(F.broadcast(dim.select("exchange", "interval_sec")), "exchange")
+        d = d.join(F.broadcast(dim.select("exchange", "interval_sec").distinct()), "exchange")  # a row for each exchange
         limit = limit * F.col("interval_sec")
     return d.where(F.col("diff") > limit if strict else F.col("diff") >= limit).select(*KEY, F.col("prev").alias("gap_start"), F.col("window_start").alias("gap_end"), F.col("diff").alias("duration_sec"))
 
@@ -116,9 +116,15 @@ def internal_file_gaps(ranges: DataFrame, gap: int, as_of: Column | None = None,
 
 
 def disconnect_gaps(events: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """From connection events (event, exchange, ts): seconds from each disconnect to the next reconnect of the exchange."""
-    nxt = F.min(F.when(F.col("event") == "reconnect", F.col("ts"))).over(W.partitionBy("exchange").orderBy("ts", "event").rowsBetween(1, W.unboundedFollowing))
-    d = events.withColumn("until", nxt).where("event = 'disconnect' AND until IS NOT NULL")
+    """From connection events (event, exchange, ts): seconds from each disconnect to the next reconnect of the exchange.
+
+    The next reconnect is looked for in the same day; beyond it, in one row a day.
+    """
+    rows = events.withColumn("_day", F.to_date("ts")).withColumn("_re", F.when(F.col("event") == "reconnect", F.col("ts")))
+    ahead = lambda by, order: W.partitionBy(*by).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
+    later = rows.groupBy("exchange", "_day").agg(F.min("_re").alias("first")).select("exchange", "_day", F.min("first").over(ahead(["exchange"], ["_day"])).alias("later"))
+    rows = rows.withColumn("inside", F.min("_re").over(ahead(["exchange", "_day"], ["ts", "event"]))).join(later, ["exchange", "_day"], "left")
+    d = rows.withColumn("until", F.coalesce("inside", "later")).where("event = 'disconnect' AND until IS NOT NULL")
     seconds = (F.unix_micros("until") - F.unix_micros("ts")) / 1e6
     return d.select("exchange", F.col("ts").alias("gap_start"), F.col("until").alias("gap_end"), seconds.alias("gap_seconds")).where(F.col("gap_seconds") >= threshold)
 

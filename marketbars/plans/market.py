@@ -82,6 +82,11 @@ def describe(now: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def candle_indicators(candles: DataFrame, tf: int, limit: int = 500) -> DataFrame:
+    """indicators() of live candles, which have no source: a candle with trades is live, and the open one counts."""
+    return indicators(candles.withColumn("source", F.when(F.col("trade_count") > 0, "live").otherwise("empty")), tf, limit, complete=False)
+
+
 def indicator_document(flat: DataFrame) -> DataFrame:
     """indicators() with its columns as nested structs, as a service would return them."""
     s = lambda **c: F.struct(*[F.col(v).alias(k) for k, v in c.items()])

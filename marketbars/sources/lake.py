@@ -8,9 +8,10 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import path_parts
-from ..operators.bars import with_source_default
+from ..operators.bars import recent_window, with_source_default
 from ..schema import BARS_SCHEMA, EVENT_SCHEMA, HEALTH_SCHEMA, KEY
 
 PARTITIONS = (*KEY, "year", "month", "day")
@@ -22,18 +23,19 @@ COLUMNS = BARS_SCHEMA.fieldNames()
 # --- reading
 
 
+#: What is read of a lake: the schema is fixed, so no footer is opened to find it. Files may lack columns (null then).
+LAKE_SCHEMA = T.StructType([*BARS_SCHEMA, *(T.StructField(c, T.StringType()) for c in ("year", "month", "day"))])
+
+
 def read_bars(spark: SparkSession, root: str, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
     """All bars below root with the partition columns; exchange and symbol prune partitions. Unsigned counts come back as longs."""
-    df = spark.read.option("basePath", root).option("mergeSchema", "true").parquet(root)
+    df = spark.read.schema(LAKE_SCHEMA).option("basePath", root).parquet(root)
     df = df.where(F.col("exchange") == exchange) if exchange else df
-    df = df.where(F.col("symbol") == symbol) if symbol else df
-    df = with_source_default(df)
-    dates = [F.lpad(F.col(c).cast("string"), n, "0").alias(c) for c, n in (("year", 4), ("month", 2), ("day", 2)) if c in df.columns]
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in BARS_SCHEMA], *dates)
+    return with_source_default(df.where(F.col("symbol") == symbol) if symbol else df).select(*LAKE_SCHEMA.fieldNames())
 
 
 def _raw_partition_filter(start: date, end: date) -> Column:
-    """start <= day <= end over the integer partition columns, so that directories are pruned."""
+    """start <= day <= end over the partition columns, so that directories are pruned."""
     y, m, d = (F.col(c).cast("int") for c in ("year", "month", "day"))
     n = y * 10000 + m * 100 + d
     return (y >= start.year) & (y <= end.year) & (n >= start.year * 10000 + start.month * 100 + start.day) & (n <= end.year * 10000 + end.month * 100 + end.day)
@@ -41,15 +43,37 @@ def _raw_partition_filter(start: date, end: date) -> Column:
 
 def read_range(spark: SparkSession, root: str, start: date, end: date, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
     """Bars of the days start to end; only their directories are read."""
-    df = spark.read.option("basePath", root).parquet(root).where(_raw_partition_filter(start, end))
-    df = df.where(F.col("exchange") == exchange) if exchange else df
-    return df.where(F.col("symbol") == symbol) if symbol else df
+    return read_bars(spark, root, exchange, symbol).where(_raw_partition_filter(start, end))
 
 
 def read_day(spark: SparkSession, root: str, day: date, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
     return read_range(spark, root, day, day, exchange, symbol)
 
 
+def directories(days: DataFrame) -> list[str]:
+    """The directories of an inventory's files (column path): a name for each series and day that a job is about to read or delete."""
+    return sorted(r[0] for r in days.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1)).distinct().collect())
+
+
+def read_directories(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """Bars of some directories below root; nothing else is listed or read."""
+    if not names:
+        return spark.createDataFrame([], LAKE_SCHEMA)
+    return with_source_default(spark.read.schema(LAKE_SCHEMA).option("basePath", root).parquet(*names)).select(*LAKE_SCHEMA.fieldNames())
+
+
+def read_latest(spark: SparkSession, root: str, seconds: int, n: int, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
+    """Bars later than n + 1 buckets before the newest of their series: the newest day of a series is known from its
+    directories, and only the days that can hold such bars are read."""
+    inv = file_inventory(spark, root, "*.parquet").where(F.col("day").isNotNull())
+    inv = inv.where(F.col("exchange") == exchange) if exchange else inv
+    inv = inv.where(F.col("symbol") == symbol) if symbol else inv
+    back = (n + 1) * seconds // 86400 + 1
+    newest = inv.groupBy(*KEY).agg(F.max("day").alias("newest"))
+    names = directories(inv.join(newest, list(KEY)).where(F.col("day") >= F.date_sub("newest", back)))
+    return recent_window(read_directories(spark, root, names), seconds, n)
+
+
 def query_symbol(bars: DataFrame, exchange: str, symbol: str, start: str, end: str, cols: list[str] | None = None) -> DataFrame:
     """Bars of a series from the first to the last date (both included, UTC), in order of time."""
     rows = bars.where((F.col("exchange") == exchange) & (F.col("symbol") == symbol) & F.to_date("window_start").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
@@ -83,8 +107,8 @@ def read_health(spark: SparkSession, path: str, as_of: Column | None = None) ->
     return rows.withColumn("age_minutes", (at - F.unix_seconds(F.try_to_timestamp("ts_utc"))) / 60.0)
 
 
-def file_inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path, bytes, mtime, exchange, symbol and day of each file below root; contents are not read."""
+def file_inventory(spark: SparkSession, root: str | list[str], glob: str = "*") -> DataFrame:
+    """path, bytes, mtime, exchange, symbol and day of each file below root (or several folders); contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
     return files.select("*", *[c.alias(k) for k, c in path_parts("path").items()])
 
@@ -93,9 +117,46 @@ def inventory_totals(inventory: DataFrame, by: tuple[str, ...] = ()) -> DataFram
     return inventory.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.max("mtime").alias("newest"))
 
 
-def file_ts_ranges(bars: DataFrame) -> DataFrame:
-    """First and last window_start of each file of a scan; one column is read."""
-    return bars.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("window_start").alias("min_ts"), F.max("window_start").alias("max_ts")).orderBy("min_ts", "max_ts")
+def file_ts_ranges(inventory: DataFrame, column: str = "window_start") -> DataFrame:
+    """inventory with min_ts and max_ts of each file: from the statistics in its footer, or from the column itself where there are none.
+
+    Executors open the files; a file that can't be read or holds no row has null times.
+    """
+    import pandas as pd
+
+    def ends(f) -> tuple:
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        file = pq.ParquetFile(f)
+        k = file.schema_arrow.get_field_index(column)
+        if k < 0 or not file.metadata.num_rows:
+            return None, None
+        stats = [file.metadata.row_group(i).column(k).statistics for i in range(file.metadata.num_row_groups)]
+        if all(x is not None and x.has_min_max for x in stats):
+            return min(x.min for x in stats), max(x.max for x in stats)
+        both = pc.min_max(file.read(columns=[column]).column(0)).as_py()
+        return both["min"], both["max"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in parts:
+            found = []
+            for p in pdf["path"]:
+                store, name = fs.FileSystem.from_uri(p)
+                try:
+                    with store.open_input_file(name) as f:
+                        low, high = ends(f)
+                except (OSError, ValueError):
+                    low = high = None
+                found.append([int(pd.Timestamp(x).value // 1000) if x is not None else None for x in (low, high)])
+            yield pd.DataFrame({"path": pdf["path"], "low": pd.array([x[0] for x in found], "Int64"), "high": pd.array([x[1] for x in found], "Int64")})
+
+    # many small inputs: dealt by name, so that files are opened in all tasks
+    names = inventory.select("path").repartition(inventory.sparkSession.sparkContext.defaultParallelism * 4, "path")
+    found = names.mapInPandas(run, "path string, low long, high long")
+    return inventory.join(found.select("path", F.timestamp_micros("low").alias("min_ts"), F.timestamp_micros("high").alias("max_ts")), "path").orderBy("min_ts", "max_ts")
 
 
 def parquet_footer_check(inventory: DataFrame) -> DataFrame:
@@ -162,22 +223,40 @@ def compaction_plan(inventory: DataFrame, before: Column) -> DataFrame:
 
 
 def compact(spark: SparkSession, root: str, before: Column, staging: str, dry_run: bool = False, codec: str = "zstd") -> DataFrame:
-    """Turn each planned day into one sorted file; the rows are staged first, because their own directories are overwritten. Returns the plan."""
-    plan = compaction_plan(file_inventory(spark, root, "*.parquet"), before)
+    """Turn each planned day into one sorted file; the rows are staged first, because their own directories are overwritten.
+
+    Only planned directories are read, and listed again afterwards. Returns the plan; unless dry_run with files_after and bytes_after.
+    """
+    inv = file_inventory(spark, root, "*.parquet")
+    plan = compaction_plan(inv, before)
     if dry_run:
         return plan
     at = f"{staging.rstrip('/')}/compact-{uuid.uuid4().hex}"
     plan.write.parquet(f"{at}/plan")
     plan = spark.read.parquet(f"{at}/plan")
-    rows = read_bars(spark, root).withColumn("_day", F.to_date("window_start"))
-    days = plan.select(*KEY, F.col("day").alias("_day"))
-    rows.join(days, [*KEY, "_day"], "left_semi").select(*COLUMNS).write.parquet(f"{at}/rows")
+    names = directories(inv.join(plan.select(*KEY, "day"), [*KEY, "day"], "left_semi"))
+    if not names:
+        return plan.withColumns({"files_after": F.col("files"), "bytes_after": F.col("bytes")})
+    read_directories(spark, root, names).select(*COLUMNS).write.parquet(f"{at}/rows")
     write_bars(spark.read.schema(BARS_SCHEMA).parquet(f"{at}/rows"), root, codec, mode="overwrite")
-    return plan
+    after = inventory_totals(file_inventory(spark, names, "*.parquet"), (*KEY, "day")).select(*KEY, "day", F.col("files").alias("files_after"), F.col("bytes").alias("bytes_after"))
+    return plan.join(after, [*KEY, "day"])
+
+
+def _copy_days(spark: SparkSession, inventory: DataFrame, days: DataFrame, dst: str, codec: str) -> DataFrame:
+    """Copy the files of some days (exchange, symbol, day, files) into one file a day below dst; files and rows of each day, read back from dst."""
+    found = spark.createDataFrame(days.select(*KEY, "day", "files").collect(), days.select(*KEY, "day", "files").schema)  # a row for each day that is copied
+    names = directories(inventory.join(found, [*KEY, "day"], "left_semi"))
+    if not names:
+        return found.withColumn("rows", F.lit(0).cast("long"))
+    write_bars(read_tolerant(spark, names).drop("path"), dst, codec)
+    copied = file_inventory(spark, dst, "*.parquet").join(found, [*KEY, "day"], "left_semi")
+    rows = read_directories(spark, dst, directories(copied)).groupBy(*KEY, F.to_date("window_start").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    return found.join(rows, [*KEY, "day"])
 
 
 def stage_copy(spark: SparkSession, src: str, dst: str, today: date, staged: DataFrame | None = None, least_files: dict[str, int] | None = None, codec: str = "zstd") -> DataFrame:
-    """Copy whole days from src to dst as one file each; src is left alone.
+    """Copy whole days from src to dst as one file each; src is left alone, and only the planned directories are read.
 
     Days that are staged, today, and days of an exchange with no more files than least_files says are skipped; files
     that can't be read are passed over. Returns files and rows per day that was copied.
@@ -188,39 +267,43 @@ def stage_copy(spark: SparkSession, src: str, dst: str, today: date, staged: Dat
         days = days.where((F.col("exchange") != exchange) | (F.col("files") > least))
     if staged is not None:
         days = days.join(staged.select(*KEY, "day").distinct(), [*KEY, "day"], "left_anti")
-    rows = read_tolerant(spark, src).drop("path").withColumn("day", F.to_date("window_start")).join(days, [*KEY, "day"], "left_semi")
-    write_bars(rows, dst, codec)
-    return rows.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("rows")).join(days, [*KEY, "day"])
+    return _copy_days(spark, inv, days, dst, codec)
 
 
-def fill_unstaged(spark: SparkSession, src: str, dst: str, exchanges: list[str], today: date) -> DataFrame:
-    """Copy the days of some exchanges that dst has no files of."""
+def fill_unstaged(spark: SparkSession, src: str, dst: str, exchanges: list[str], today: date, codec: str = "zstd") -> DataFrame:
+    """Copy the days of some exchanges that dst has no files of. Returns files and rows per day that was copied."""
+    inv = file_inventory(spark, src, "*.parquet")
+    days = inv.where(F.col("exchange").isin(exchanges) & (F.col("day") < F.lit(today))).groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("files"))
     have = file_inventory(spark, dst, "*.parquet").select(*KEY, "day").distinct()
-    rows = read_tolerant(spark, src).drop("path").where(F.col("exchange").isin(exchanges)).withColumn("day", F.to_date("window_start")).where(F.col("day") < F.lit(today))
-    new = rows.join(have, [*KEY, "day"], "left_anti")
-    counts = new.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("rows"))
-    out = spark.createDataFrame(counts.collect(), counts.schema)  # a row for each day that is copied, told before dst changes
-    write_bars(new.drop("day"), dst)
-    return out
+    return _copy_days(spark, inv, days.join(have, [*KEY, "day"], "left_anti"), dst, codec)
 
 
 def retention_plan(inventory: DataFrame, keep_days: int, as_of: Column) -> DataFrame:
-    """Series and dates older than keep_days, with files and bytes; keep_days 0 keeps everything."""
+    """Series and dates older than keep_days, with files and bytes; keep_days 0 keeps everything. Raw archives (date=...) and lakes (year/month/day) alike."""
     old = inventory.where(F.col("day").isNotNull() & (F.col("day") < F.date_sub(F.to_date(as_of), keep_days)) & F.lit(keep_days > 0) & ~F.col("exchange").startswith("_"))
     return old.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def retain(spark: SparkSession, root: str, keep_days: int, as_of: date, dry_run: bool = True) -> DataFrame:
-    """The plan; unless dry_run, the directories of its dates are deleted through Spark's file system."""
-    plan = retention_plan(file_inventory(spark, root), keep_days, F.lit(as_of))
-    if not dry_run:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        out = spark.createDataFrame(plan.collect(), plan.schema)  # a row for each directory that goes
-        for r in out.collect():
-            p = jvm.org.apache.hadoop.fs.Path(f"{root}/exchange={r['exchange']}/symbol={r['symbol']}/year={r['day']:%Y}/month={r['day']:%m}/day={r['day']:%d}")
-            p.getFileSystem(conf).delete(p, True)
-        return out
-    return plan
+    """The plan; unless dry_run, the directories of its dates are deleted by the executors (again deleted is deleted)."""
+    inv = file_inventory(spark, root)
+    plan = retention_plan(inv, keep_days, F.lit(as_of))
+    if dry_run:
+        return plan
+    out = spark.createDataFrame(plan.collect(), plan.schema)  # a row for each directory that goes
+    names = directories(inv.join(out.select(*KEY, "day"), [*KEY, "day"], "left_semi"))
+
+    def delete(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        for r in rows:
+            store, name = fs.FileSystem.from_uri(r[0])
+            if store.get_file_info(name).type != fs.FileType.NotFound:
+                store.delete_dir(name)
+
+    if names:
+        spark.createDataFrame([(x,) for x in names], "name string").repartition(min(len(names), 256)).foreachPartition(delete)
+    return out
 
 
 def write_events(events: DataFrame, root: str) -> None:
@@ -231,5 +314,3 @@ def write_events(events: DataFrame, root: str) -> None:
 
 def write_report(df: DataFrame, path: str, form: str = "json") -> None:
     df.write.mode("overwrite").format(form).save(path)
-
-

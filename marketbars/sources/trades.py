@@ -61,15 +61,23 @@ def parse_kraken_trades(raw: DataFrame) -> DataFrame:
     return each.select(*_kraken(F.col("t"))).where("price IS NOT NULL AND qty IS NOT NULL AND symbol IS NOT NULL")
 
 
+#: The fields of the stored records of all exchanges, as text.
+RECORD = ", ".join(f"{x} string" for x in ("_exchange", "_channel", "s", "p", "q", "T", "m", "type", "product_id", "symbol", "price", "size", "qty", "side", "time", "timestamp"))
+
+
 def normalise_trades(raw: DataFrame) -> DataFrame:
-    """Trades from stored lines of all exchanges (inner record with `_exchange`; symbol of a Binance line from column `symbol` or its field s)."""
-    own = _get("_exchange")
-    b = raw.where(own == "binance").select(
-        F.lit("binance").alias("exchange"), F.upper(_get("s")).alias("symbol"), _number(_get("p")).alias("price"), _number(_get("q")).alias("qty"),
-        F.timestamp_millis(_get("T").try_cast("long")).alias("ts"), _get("m").try_cast("boolean").alias("is_buyer_maker"))
-    c = parse_coinbase_trades(raw.where(own == "coinbase"))
-    k = raw.where((own == "kraken") & (_get("_channel") == "trade")).select(F.from_json("value", KRAKEN[6:-1]).alias("t")).select(*_kraken(F.col("t")))
-    return b.unionByName(c).unionByName(k).where("price IS NOT NULL AND qty IS NOT NULL AND is_buyer_maker IS NOT NULL")
+    """Trades from stored lines of all exchanges (inner record with `_exchange`): one scan, each line parsed once."""
+    j = F.from_json("value", RECORD).alias("j")
+    f = lambda k: F.col(f"j.{k}")
+    own, by = f("_exchange"), lambda b, c, k: F.when(f("_exchange") == "binance", b).when(f("_exchange") == "coinbase", c).when(f("_exchange") == "kraken", k)
+    fits = (own == "binance") | ((own == "coinbase") & f("type").isin("match", "last_match")) | ((own == "kraken") & (f("_channel") == "trade"))
+    ms = by(f("T").try_cast("long"), *[iso_to_epoch_ms(f(k), F.unix_millis(F.current_timestamp())) for k in ("time", "timestamp")])
+    sold = f("side") == "sell"
+    rows = raw.select(j).where(fits).select(
+        own.alias("exchange"), by(F.upper(f("s")), f("product_id"), safe_symbol(f("symbol"))).alias("symbol"), _number(by(f("p"), f("price"), f("price"))).alias("price"),
+        _number(by(f("q"), f("size"), f("qty"))).alias("qty"), F.timestamp_millis(ms).alias("ts"), by(f("m").try_cast("boolean"), sold, sold).alias("is_buyer_maker"))
+    named = F.col("exchange") == "binance"
+    return rows.where("price IS NOT NULL AND qty IS NOT NULL AND is_buyer_maker IS NOT NULL").where(named | F.col("symbol").isNotNull())
 
 
 def not_message_types(raw: DataFrame, types: tuple[str, ...] = ("status", "heartbeat", "subscriptions", "subscribe", "error")) -> DataFrame:

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.bars import ohlcv, trade_message
+from ..operators.bars import ohlcv, trade_message, trades_to_bars
 from ..schema import KEY
 
-TICK = "2 seconds"
-
-
 def stream_bars(trades: DataFrame, intervals: dict[str, int], default: int = 1, watermark: str = "1 minute", time_col: str = "ts", id_col: str = "trade_id") -> DataFrame:
     """Tumbling bars; a window is emitted once, when the watermark passes its end (append mode).
 
@@ -56,45 +53,146 @@ def raw_archive(raw: DataFrame, root: str, checkpoint: str, every: str | None =
 FILLED = "window_start timestamp, exchange string, symbol string, open double, high double, low double, close double, volume_base double, volume_quote double, trade_count long, vwap double, bid double, ask double, spread double, source string"
 
 
-def stream_fill(bars: DataFrame, interval: int, most: int = 100_000) -> DataFrame:
+#: Rows that the filler sends at once: a hole of any length is sent in blocks.
+FILL_ROWS = 50_000
+
+
+def stream_fill(bars: DataFrame, interval: int, timer: bool = False) -> DataFrame:
     """Bars of a stream with the empty bars between them: per series the last bar's time and close are kept as state.
 
-    Bars of a series come in order of their windows (append mode). A hole of more than `most` buckets raises an error
-    rather than make rows without bound.
+    Bars of a series come in order of their windows (append mode). timer: a series in which no bar arrives gets its
+    empty bars when event time goes on without it, up to the watermark of `bars` (which must have one on window_start);
+    a bar can't come later than that. A hole is sent in blocks of FILL_ROWS rows, however long it is.
     """
+    import numpy as np
     import pandas as pd
 
-    width = pd.Timedelta(seconds=interval)
-
-    def fill(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, close = state.get if state.exists else (None, None)
-        for pdf in [pd.concat(list(parts)).sort_values("window_start")]:
-            rows = []
-            for t, row in zip(pdf["window_start"], pdf.to_dict("records"), strict=True):
-                at = int(t.timestamp())
-                if last is not None:
-                    n = (at - last) // interval - 1
-                    if n > most:
-                        raise ValueError(f"{key}: a hole of {n} buckets")
-                    rows += [{"window_start": pd.Timestamp(last, unit="s") + width * (i + 1), "exchange": key[0], "symbol": key[1], "open": close, "high": close, "low": close, "close": close, "volume_base": 0.0, "volume_quote": 0.0, "trade_count": 0, "vwap": close, "bid": 0.0, "ask": 0.0, "spread": 0.0, "source": "empty"} for i in range(n)]
-                rows.append(row)
-                last, close = at, row["close"]
-            if last is not None:
-                state.update((last, close))
-            yield pd.DataFrame(rows)[[c.split()[0] for c in FILLED.split(", ")]]
-
-    cols = [c.split()[0] for c in FILLED.split(", ")]
-    return bars.select(*cols).groupBy(*KEY).applyInPandasWithState(fill, FILLED, "last long, close double", "append", "NoTimeout")
+    names = [c.split()[0] for c in FILLED.split(", ")]
 
+    def empty(key: tuple, times: np.ndarray, closes: np.ndarray) -> pd.DataFrame:
+        one = {"window_start": pd.to_datetime(times, unit="s"), "exchange": key[0], "symbol": key[1], "trade_count": 0, "source": "empty"}
+        zero = dict.fromkeys(("volume_base", "volume_quote", "bid", "ask", "spread"), 0.0)
+        return pd.DataFrame(one | zero | dict.fromkeys(("open", "high", "low", "close", "vwap"), closes))[names]
 
-def live_candles(history: DataFrame, trades: DataFrame, interval: int) -> DataFrame:
-    """History with the open bucket of a batch of trades merged on: for foreachBatch. Equal buckets are combined, not replaced."""
-    from ..operators.bars import trades_to_bars
+    def between(key: tuple, last: np.ndarray, closes: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+        """n[i] empty bars after last[i], in blocks."""
+        ends = np.cumsum(n)
+        for at in range(0, int(ends[-1]) if len(ends) else 0, FILL_ROWS):
+            k = np.arange(at, min(at + FILL_ROWS, int(ends[-1])))
+            i = np.searchsorted(ends, k, "right")
+            yield empty(key, last[i] + (k - (ends[i] - n[i]) + 1) * interval, closes[i])
 
-    now = trades_to_bars(trades, interval).withColumn("_late", F.lit(1))
-    both = history.select(*[c for c in now.columns if c != "_late"]).withColumn("_late", F.lit(0)).unionByName(now)
+    def fill(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, close = state.get if state.exists else (None, None)
+        if state.hasTimedOut:
+            # a window that begins before the watermark has come by now, or is empty
+            n = max(0, -(-(state.getCurrentWatermarkMs() // 1000) // interval) - last // interval - 1)
+            yield from between(key, np.array([last]), np.array([close]), np.array([n]))
+            last += int(n) * interval
+        else:
+            pdf = pd.concat(list(parts)).sort_values("window_start")
+            at, closes = pdf["window_start"].astype("datetime64[s]").astype("int64").to_numpy(), pdf["close"].to_numpy()
+            before, carried = np.concatenate([[at[0] - interval if last is None else last], at[:-1]]), np.concatenate([[np.nan if last is None else close], closes[:-1]])
+            yield pdf[names]
+            yield from between(key, before, carried, np.maximum((at - before) // interval - 1, 0))
+            last, close = int(at[-1]), float(closes[-1])
+        state.update((last, close))
+        if timer:
+            state.setTimeoutTimestamp(max((last + 2 * interval) * 1000, state.getCurrentWatermarkMs() + 1))
+
+    return bars.select(*names).groupBy(*KEY).applyInPandasWithState(fill, FILLED, "last long, close double", "append", "EventTimeTimeout" if timer else "NoTimeout")
+
+
+def merge_candles(history: DataFrame, now: DataFrame) -> DataFrame:
+    """History with newer bars merged on. Equal buckets are combined, not replaced: the open bucket grows."""
+    cols = [c for c in now.columns if c in history.columns]
+    both = history.select(*cols).withColumn("_late", F.lit(0)).unionByName(now.select(*cols).withColumn("_late", F.lit(1)))
     base, quote = F.sum("volume_base"), F.sum("volume_quote")
     last = F.max_by("close", "_late")
     return both.groupBy("window_start", *KEY).agg(
         F.min_by("open", "_late").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), last.alias("close"), base.alias("volume_base"), quote.alias("volume_quote"),
         F.sum("trade_count").alias("trade_count"), F.when(base > 0, quote / base).otherwise(last).alias("vwap"))
+
+
+def live_candles(history: DataFrame, trades: DataFrame, interval: int) -> DataFrame:
+    """History with the open bucket of a batch of trades merged on."""
+    return merge_candles(history, trades_to_bars(trades, interval))
+
+
+def live_candle_stream(trades: DataFrame, history: DataFrame, root: str, checkpoint: str, interval: int, refresh: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
+    """Live trades merged onto history by foreachBatch: below root, each batch leaves a version of the candles it changed
+    and, with refresh, of what refresh makes of them (such as indicators of the series with new trades).
+
+    candles/batch=k holds the whole buckets that batch k touched, from the newest version before it (history at first);
+    newest_candles() gives the current ones. A batch that runs again overwrites its version from the same input.
+    """
+
+    def merge(part: DataFrame, k: int) -> None:
+        spark = part.sparkSession
+        new = trades_to_bars(part, interval)
+        old = newest_candles(spark, history, root, k)
+        touched = new.select("window_start", *KEY)
+        merged = merge_candles(old.join(touched, ["window_start", *KEY], "left_semi"), new)
+        merged.select(*CANDLE).write.mode("overwrite").parquet(f"{root}/candles/batch={k}")
+        if refresh is not None:
+            series = touched.select(*KEY).distinct()
+            refresh(newest_candles(spark, history, root, k + 1).join(series, list(KEY), "left_semi")).write.mode("overwrite").parquet(f"{root}/refreshed/batch={k}")
+
+    w = trades.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return w.trigger(availableNow=True)
+
+
+CANDLE = ("window_start", *KEY, "open", "high", "low", "close", "volume_base", "volume_quote", "trade_count", "vwap")
+_CANDLES = "window_start timestamp, exchange string, symbol string, open double, high double, low double, close double, volume_base double, volume_quote double, trade_count long, vwap double"
+
+
+def newest_of(spark: SparkSession, path: str, schema: str, keys: list[str], before: int | None = None) -> DataFrame:
+    """The newest version of each row that the batches (before one, if given) left below path."""
+    names = [f.name for f in spark.createDataFrame([], schema).schema if f.name not in keys]
+    empty = spark.createDataFrame([], f"{schema}, batch long")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm)
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path) if there else empty
+    rows = rows.where(F.col("batch") < before) if before is not None else rows
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("x")).select(*keys, "x.*")
+
+
+def newest_candles(spark: SparkSession, history: DataFrame, root: str, before: int | None = None) -> DataFrame:
+    """The candles as the batches (before one, if given) left them, and those of history that no batch touched."""
+    keys = ["window_start", *KEY]
+    live = newest_of(spark, f"{root}/candles", _CANDLES, keys, before).select(*CANDLE)
+    return live.unionByName(history.select(*CANDLE).join(live.select(*keys), keys, "left_anti"))
+
+
+def late_stream(trades: DataFrame, root: str, checkpoint: str, interval: int, delay: int, time_col: str = "ts") -> DataStreamWriter:
+    """Bars of the trades in time, with late trades in a side table: nothing is dropped unseen.
+
+    A trade is late if it is more than `delay` seconds older than the newest trade of the batches before its own. Below
+    root, batch k leaves bars/batch=k (partial bars, to be merged by merge_candles), late/batch=k (the late trades with
+    seconds_late) and newest/batch=k (one row: the newest time so far). A batch that runs again overwrites its own.
+    """
+
+    def split(part: DataFrame, k: int) -> None:
+        spark = part.sparkSession
+        seen = newest_seen(spark, root, k)
+        limit = F.lit(seen if seen is not None else -(1 << 62)) - delay
+        t = F.unix_seconds(time_col)
+        late = part.where(t < limit).withColumn("seconds_late", limit - t)
+        late.write.mode("overwrite").parquet(f"{root}/late/batch={k}")
+        trades_to_bars(part.where(t >= limit), interval).select(*CANDLE).write.mode("overwrite").parquet(f"{root}/bars/batch={k}")
+        part.agg(F.greatest(F.max(t), F.lit(seen)).alias("newest")).write.mode("overwrite").parquet(f"{root}/newest/batch={k}")
+
+    return trades.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def newest_seen(spark: SparkSession, root: str, before: int) -> int | None:
+    """The newest time that the batches before one have seen."""
+    if before == 0:
+        return None
+    return spark.read.schema("newest long, batch long").parquet(f"{root}/newest").where(F.col("batch") < before).agg(F.max("newest")).first()[0]
+
+
+def late_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Number of late trades and the most seconds by which one was late, for each series."""
+    late = spark.read.schema("exchange string, symbol string, seconds_late long").parquet(f"{root}/late")
+    return late.groupBy(*KEY).agg(F.count(F.lit(1)).alias("late"), F.max("seconds_late").alias("most_seconds"))

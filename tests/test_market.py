@@ -280,7 +280,7 @@ def test_lake_round_trip(spark, make, tmp_path):
     days = L.inventory_totals(inv, ("exchange", "symbol", "day")).collect()
     assert all(r.files == 3 for r in days) and len(days) == 6
     assert values(L.parquet_footer_check(inv), "valid") == [(True,)] * 18
-    ranges = L.file_ts_ranges(spark.read.parquet(root)).collect()
+    ranges = L.file_ts_ranges(inv).collect()
     assert len(ranges) == 18 and all(r.min_ts <= r.max_ts for r in ranges)
     copied = L.stage_copy(spark, root, dst, date(2024, 1, 3), least_files={"binance": 50})
     assert {(r.exchange, str(r.day)) for r in L.file_inventory(spark, dst, "*.parquet").collect()} == {("kraken", "2024-01-01"), ("kraken", "2024-01-02")} and copied.count() == 2
@@ -347,6 +347,58 @@ def test_streams(spark, make, tmp_path):
     assert values(now, "window_start", "symbol", "close") == values(batch, "window_start", "symbol", "close")
 
 
+def test_stream_fill_has_a_timer_and_blocks(spark, make, tmp_path, monkeypatch):
+    """A silent series gets empty bars up to the watermark; a hole longer than a block is filled whole; state goes over batches."""
+    monkeypatch.setattr(ST, "FILL_ROWS", 7)
+    path, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    parts = [[bar(0, 1.0, "e/a"), bar(0, 2.0, "e/b"), bar(300, 3.0, "e/a")], [bar(6000, 4.0, "e/a")], [bar(6600, 5.0, "e/a"), bar(6900, 6.0, "e/c")]]
+    for k, rows in enumerate(parts):
+        make(rows).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(BARS_SCHEMA).parquet(path).withWatermark("window_start", "60 seconds")
+        ST.stream_fill(stream, 60, timer=True).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = {}
+    for r in spark.read.schema(BARS_SCHEMA).parquet(out).collect():
+        assert (r.symbol, r.window_start) not in got
+        got[r.symbol, r.window_start] = (r.close, r.trade_count)
+    a = {at(60 * i): ((1.0, 3.0, 4.0, 5.0)[(i >= 5) + (i >= 100) + (i >= 110)], int(60 * i in (0, 300, 6000, 6600))) for i in range(111)}
+    assert {t: v for (s, t), v in got.items() if s == "a" and t <= at(6600)} == a
+    b = {t: v for (s, t), v in got.items() if s == "b"}
+    assert b[at(0)] == (2.0, 1) and set(b.values()) == {(2.0, 1), (2.0, 0)} and sorted(b) == [at(60 * i) for i in range(len(b))] and at(5880) in b and max(b) < at(6900 - 60)
+
+
+def test_late_trades_are_counted(spark, tmp_path):
+    """By batches: a trade older than the newest before it by more than the delay is late, kept aside and counted."""
+    path, root = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    parts = [[(0, 1.0), (500, 2.0)], [(430, 3.0), (380, 4.0), (100, 5.0), (900, 6.0)], [(839, 7.0), (840, 8.0)]]
+    n = 0
+    for part in parts:
+        rows = [("e", "s", p, 1.0, at(t), False, n + i) for i, (t, p) in enumerate(part)]
+        n += len(rows)
+        spark.createDataFrame(rows, TRADE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        ST.late_stream(spark.readStream.schema(TRADE_SCHEMA).parquet(path), root, f"file://{tmp_path}/c", 600, 60).start().awaitTermination()
+    assert values(ST.late_counts(spark, root), "symbol", "late", "most_seconds") == [("s", 4, 340)]
+    bars = spark.read.schema("window_start timestamp, high double, trade_count long").parquet(f"{root}/bars")
+    assert values(bars.groupBy("window_start").agg(F.max("high").alias("h"), F.sum("trade_count").alias("n")), "window_start", "h", "n") == [(at(0), 2.0, 2), (at(600), 8.0, 2)]
+
+
+def test_live_candle_stream(spark, tmp_path):
+    """History and two batches of live trades give the bars of all trades; indicators are refreshed for the series that changed."""
+    rnd = random.Random(5)
+    trades = spark.createDataFrame([("e", f"s{i % 3}", rnd.uniform(1, 9), rnd.uniform(0.5, 2), at(i * 50), False, i) for i in range(900)], TRADE_SCHEMA)
+    history, live = B.trades_to_bars(trades.where("trade_id < 600"), 600), f"file://{tmp_path}/live"
+    for low, high in ((600, 750), (750, 900)):
+        trades.where(f"trade_id >= {low} AND trade_id < {high} AND symbol <> 's2'").coalesce(1).write.mode("append").parquet(live)
+        stream = spark.readStream.schema(TRADE_SCHEMA).parquet(live)
+        ST.live_candle_stream(stream, history, f"file://{tmp_path}/out", f"file://{tmp_path}/c", 600, lambda c: M.candle_indicators(c, 600)).start().awaitTermination()
+    expected = B.trades_to_bars(trades.where("trade_id < 600 OR symbol <> 's2'"), 600)
+    keys = ("symbol", "window_start", "open", "high", "low", "close", "trade_count")
+    got = ST.newest_candles(spark, history, f"file://{tmp_path}/out")
+    assert values(got, *keys) == values(expected, *keys)
+    fresh = spark.read.parquet(f"file://{tmp_path}/out/refreshed").where("batch = 1")
+    whole = {r.symbol: r for r in M.indicators(expected, 600, complete=False).collect()}
+    assert {r.symbol for r in fresh.collect()} == {"s0", "s1"} and all(r.rsi == whole[r.symbol].rsi and r.regime == whole[r.symbol].regime for r in fresh.collect())
+
+
 def _written(batch, tmp_path) -> str:
     path = f"file://{tmp_path}/batch"
     batch.select(*BARS_SCHEMA.fieldNames()).coalesce(1).write.parquet(path)
