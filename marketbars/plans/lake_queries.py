@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import columns as X
 from ..operators import audit as A
@@ -16,8 +18,9 @@ from ..sources import trades as R
 from ..streaming import bars as ST
 from ..streaming.runs import table_stream, work_dir
 from . import fixtures as Z
+from . import market as M
 from .fixtures import r, with_ctes
-from .registry import PRICES, _connections, _CONN, query, rr, rs, t
+from .registry import PRICES, _ALL, _CAUSE, _CONN, _COVER, _DOC_SQL, _connections, query, rr, rs, t
 
 DAYS = "t // 86400"
 
@@ -56,14 +59,13 @@ def k2(spark: SparkSession, sf: str) -> DataFrame:
     return L.read_bars(spark, root).select(*KEY, t())
 
 
-@query("k3_compact", with_ctes("SELECT exchange, symbol, day, CASE WHEN day < today THEN 1 ELSE least(bars, 3) END AS files FROM daystats, clock WHERE day < today", "daystats"))
+@query("k3_compact", with_ctes("""SELECT exchange, symbol, day, p AS files, 1 AS files_after, true AS smaller FROM (SELECT exchange, symbol, t // 86400 AS day, count(DISTINCT t // 3600 % 3) AS p FROM labelled GROUP BY 1, 2, 3), clock WHERE day < today AND p > 1""", "daystats"))
 def k3(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of each whole day after three appends and a compaction."""
+    """Files of each whole day before and after a compaction of three appends, and whether they take less room."""
     root, bars = _lake(spark, sf, 3)
     today = bars.agg(F.to_date(F.max("window_start"))).first()[0]
-    L.compact(spark, root, F.lit(today), f"{work_dir(spark)}/staging")
-    inv = L.file_inventory(spark, root, "*.parquet").where(F.col("day") < F.lit(today))
-    return _days(L.inventory_totals(inv, (*KEY, "day"))).select(*KEY, "day", "files")
+    plan = L.compact(spark, root, F.lit(today), f"{work_dir(spark)}/staging")
+    return _days(plan).select(*KEY, "day", "files", "files_after", (F.col("bytes_after") < F.col("bytes")).alias("smaller"))
 
 
 @query("k3_compacted_rows", with_ctes("SELECT exchange, symbol, day, bars FROM daystats", "daystats"))
@@ -90,22 +92,81 @@ def k6(spark: SparkSession, sf: str) -> DataFrame:
     return _days(L.retain(spark, root, 10, bars.agg(F.to_date(F.max("window_start"))).first()[0])).select(*KEY, "day", "files")
 
 
+@query("k5_fill_unstaged", with_ctes("SELECT exchange, symbol, day, bars AS rows FROM daystats, clock WHERE day < today AND (exchange = 'beta' OR day % 3 = 0)", "daystats"))
+def k5(spark: SparkSession, sf: str) -> DataFrame:
+    """A mirror of every third day, filled up for one exchange."""
+    root, bars = _lake(spark, sf)
+    dst, today = f"{work_dir(spark)}/mirror", bars.agg(F.to_date(F.max("window_start"))).first()[0]
+    L.stage_copy(spark, root, dst, today, A.count_bars(bars).where(F.unix_date("day") % 3 != 0))
+    L.fill_unstaged(spark, root, dst, ["beta"], today)
+    return _days(A.count_bars(L.read_bars(spark, dst))).withColumnRenamed("bars", "rows")
+
+
+@query("k6_retain_raw_archive", with_ctes("SELECT exchange, symbol, epoch_us(ts) // 86400000000 AS day, count(*) AS lines FROM trades WHERE epoch_us(ts) // 86400000000 >= (SELECT max(epoch_us(ts)) // 86400000000 FROM trades) - 10 GROUP BY 1, 2, 3", "trades"))
+def k6_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """What a retention of ten days leaves of a raw archive by date."""
+    root, trades = f"{work_dir(spark)}/raw", Z.trades(spark, sf)
+    rows = trades.select(F.col("trade_id").cast("string").alias("value"), *KEY, F.to_date("ts").alias("date"))
+    rows.repartition("date").write.partitionBy(*KEY, "date").option("compression", "gzip").text(root)
+    L.retain(spark, root, 10, trades.agg(F.to_date(F.max("ts"))).first()[0], dry_run=False)
+    left = R.read_raw_trades(spark, root)
+    parts = X.path_parts("path")
+    return _days(left.select(*[c.alias(k) for k, c in parts.items()]).groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("lines")))
+
+
+@query("k8_write_report", with_ctes(f"SELECT exchange, symbol, count(*) AS total_bars, sum(trade_count)::BIGINT AS total_trades, {r('last(close ORDER BY t)')} AS last_close FROM labelled GROUP BY 1, 2", "labelled"))
+def k8(spark: SparkSession, sf: str) -> DataFrame:
+    """A summary persisted as JSON and read back."""
+    path = f"{work_dir(spark)}/report"
+    L.write_report(A.symbol_summary(Z.labelled(spark, sf)), path)
+    return spark.read.schema("exchange string, symbol string, total_bars long, total_trades long, last_close double").json(path).select(*KEY, "total_bars", "total_trades", *rr("last_close"))
+
+
+@query("s4_read_latest_days", with_ctes("SELECT exchange, symbol, t FROM labelled JOIN (SELECT exchange, symbol, max(t) AS m FROM labelled GROUP BY 1, 2) USING (exchange, symbol) WHERE t > m - 25 * 3600 AND exchange = 'gamma'", "labelled"))
+def s4_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest bars of a lake, from the directories of its newest days."""
+    root, _ = _lake(spark, sf)
+    return L.read_latest(spark, root, Z.HOUR, 24, "gamma").select(*KEY, t())
+
+
+@query("s9_read_health", "WITH h AS (SELECT event_type, max(epoch_us(ts)) // 1000000 AS s, count(*) AS n, count(DISTINCT user_id) AS u FROM events GROUP BY 1) SELECT 'live-' || event_type AS mode, n AS messages, u AS symbols_count, ((SELECT max(s) FROM h) + 90 - s) / 60.0::DOUBLE AS age_minutes FROM h")
+def s9(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested health snapshots, one file each, with their age."""
+    path = f"{work_dir(spark)}/health"
+    h = Z.table(spark, sf, "events").groupBy("event_type").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("s"), F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("u"))
+    doc = h.select("event_type", X.iso_utc(F.timestamp_seconds("s")).alias("ts_utc"), F.concat(F.lit("live-"), F.col("event_type")).alias("mode"), F.struct(F.lit("running").alias("status"), F.col("u").alias("symbols_count")).alias("collector"), F.create_map(F.lit("messages"), "n").alias("counters"))
+    doc.repartition("event_type").write.partitionBy("event_type").json(path)
+    newest = h.agg(F.timestamp_seconds(F.max("s") + 90)).first()[0]
+    return L.read_health(spark, path, F.lit(newest)).select("mode", F.col("counters")["messages"].alias("messages"), "collector.symbols_count", F.col("age_minutes").cast("double").alias("age_minutes"))
+
+
 @query("s10_file_inventory", with_ctes("SELECT exchange, symbol, count(*) AS files FROM daystats GROUP BY 1, 2", "daystats"))
 def s10(spark: SparkSession, sf: str) -> DataFrame:
     root, _ = _lake(spark, sf)
     return L.inventory_totals(L.file_inventory(spark, root, "*.parquet"), KEY).where("bytes > 0").select(*KEY, "files")
 
 
-@query("s11_ranges_of_files", with_ctes("SELECT first_t AS min_t, last_t AS max_t, count(*) AS files FROM daystats GROUP BY 1, 2", "daystats"))
+@query("s11_ranges_of_files", with_ctes("SELECT exchange, symbol, day, first_t AS min_t, last_t AS max_t FROM daystats", "daystats"))
 def s11(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last time of each file, from its footer."""
     root, _ = _lake(spark, sf)
-    rows = L.file_ts_ranges(spark.read.parquet(root))
-    return rows.groupBy(t("min_ts", "min_t"), t("max_ts", "max_t")).agg(F.count(F.lit(1)).alias("files"))
+    return _days(L.file_ts_ranges(L.file_inventory(spark, root, "*.parquet"))).select(*KEY, "day", t("min_ts", "min_t"), t("max_ts", "max_t"))
+
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file through Spark's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(text.encode()))
+    out.close()
 
-@query("s12_s13_readable_files", with_ctes("SELECT count(*) AS files, count(*) AS valid, sum(bars)::BIGINT AS rows, 0 AS unreadable FROM daystats", "daystats"))
+
+@query("s12_s13_readable_files", with_ctes("SELECT count(*) + 3 AS files, count(*) AS valid, sum(bars)::BIGINT AS rows, 3 AS unreadable FROM daystats", "daystats"))
 def s12(spark: SparkSession, sf: str) -> DataFrame:
+    """A lake with a damaged file for each exchange: found by its footer, passed over by a tolerant read."""
     root, _ = _lake(spark, sf)
+    for e in Z.INTERVALS:
+        _write_text(spark, f"{root}/exchange={e}/symbol=VIEW/year=2024/month=01/day=02/part-damaged-{e}.parquet", "PAR1 and then no footer: the writer was stopped")
     inv = L.file_inventory(spark, root, "*.parquet")
     rows = L.read_tolerant(spark, root)
     n = lambda c: F.count(F.lit(1)).alias(c)
@@ -113,8 +174,17 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
     return checked.crossJoin(rows.agg(n("rows"))).crossJoin(L.unreadable(inv, rows).agg(n("unreadable")))  # a row on each side
 
 
-@query("a17_file_count_matrix", with_ctes("SELECT exchange, symbol, CASE WHEN a IS NULL THEN 'MISS' ELSE CAST(a AS VARCHAR) END AS d0, CASE WHEN b IS NULL THEN 'MISS' ELSE CAST(b AS VARCHAR) END AS d1, (a IS NULL)::BIGINT + (b IS NULL)::BIGINT AS missing FROM dim LEFT JOIN (SELECT exchange, symbol, max(1) FILTER (day = first_day) AS a, max(1) FILTER (day = first_day + 1) AS b FROM daystats, clock GROUP BY 1, 2) USING (exchange, symbol)", "daystats"))
+@query("a17_file_count_matrix", with_ctes("SELECT exchange, symbol, day, CASE WHEN bars IS NULL THEN 0 ELSE 1 END AS files, CASE WHEN bars IS NULL THEN 'MISS' ELSE '1' END AS cell FROM spine LEFT JOIN daystats USING (exchange, symbol, day)", "daystats"))
 def a17(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of each configured series and day of the whole lake."""
+    root, bars = _lake(spark, sf)
+    first, last, _ = Z.bounds(bars)
+    return _days(A.file_counts_by_day(L.file_inventory(spark, root, "*.parquet"), Z.dim(spark, sf), first, last))
+
+
+@query("a17_file_count_pivot", with_ctes("SELECT exchange, symbol, CASE WHEN a IS NULL THEN 'MISS' ELSE CAST(a AS VARCHAR) END AS d0, CASE WHEN b IS NULL THEN 'MISS' ELSE CAST(b AS VARCHAR) END AS d1, (a IS NULL)::BIGINT + (b IS NULL)::BIGINT AS missing FROM dim LEFT JOIN (SELECT exchange, symbol, max(1) FILTER (day = first_day) AS a, max(1) FILTER (day = first_day + 1) AS b FROM daystats, clock GROUP BY 1, 2) USING (exchange, symbol)", "daystats"))
+def a17_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a matrix, of the first two days."""
     root, bars = _lake(spark, sf)
     first = bars.agg(F.to_date(F.min("window_start"))).first()[0]
     days = [str(first + timedelta(k)) for k in range(2)]
@@ -162,12 +232,16 @@ def f11(spark: SparkSession, sf: str) -> DataFrame:
     return R.not_message_types(_messages(spark, sf)).agg(F.count(F.lit(1)).alias("messages"))
 
 
-@query("s7_raw_archive", with_ctes("SELECT count(*) + count_if(trade_id % 50 = 0) AS lines FROM trades", "trades"))
+@query("s7_raw_archive", with_ctes("SELECT exchange, symbol, epoch_us(ts) // 86400000000 AS day, count(*) AS lines, sum(trade_id)::BIGINT AS ids, count_if(is_buyer_maker) AS sold FROM trades GROUP BY 1, 2, 3", "trades"))
 def s7(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw lines archived as compressed text and read back."""
-    root = f"{work_dir(spark)}/raw"
-    _messages(spark, sf).withColumn("date", F.lit("2024-01-01")).write.partitionBy("date").option("compression", "gzip").text(root)
-    return R.read_raw_trades(spark, root).agg(F.count(F.lit(1)).alias("lines"))
+    """Raw lines archived by a stream as compressed text and read back, line by line."""
+    at = work_dir(spark)
+    trades = R.event_trades(table_stream(spark, f"{sf}/events.parquet"))
+    raw = trades.select(F.to_json(F.struct("trade_id", X.side_of("is_buyer_maker").alias("side"))).alias("value"), *KEY, "ts")
+    ST.raw_archive(raw, f"{at}/raw", f"{at}/state", every=None).start().awaitTermination()
+    lines = R.read_raw_trades(spark, f"{at}/raw").withColumns(X.path_parts("path"))
+    get = lambda k: F.get_json_object("value", f"$.{k}")
+    return _days(lines.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("lines"), F.sum(get("trade_id").cast("long")).alias("ids"), F.count_if(get("side") == "sell").alias("sold")))
 
 
 @query("c12_derivatives", with_ctes(
@@ -200,6 +274,24 @@ def r4(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(BARS_SCHEMA).parquet(f"{at}/out").select(*KEY, t(), *rr("close", "volume_base"), "trade_count", "source")
 
 
+#: One exchange falls silent eight days before the end; `kept` are the bars of all exchanges with that.
+_SILENT = {
+    "kept": "SELECT * FROM bars WHERE exchange <> 'beta' OR t < (SELECT max(t) - 700000 FROM bars)",
+    "ahead": "SELECT *, lead(t, 1, (SELECT CAST(ceil((max(t) - 60) / 3600.0) AS BIGINT) * 3600 FROM kept)) OVER (PARTITION BY exchange, symbol ORDER BY t) AS nxt FROM kept",
+}
+
+
+@query("r4_stream_fill_timer", with_ctes(f"SELECT exchange, symbol, t, {r('close')} AS close, trade_count FROM kept UNION ALL SELECT exchange, symbol, unnest(range(t + 3600, nxt, 3600)), {r('close')}, 0 FROM ahead WHERE nxt - t > 3600", "bars", _SILENT))
+def r4_timer(spark: SparkSession, sf: str) -> DataFrame:
+    """The stateful filler with its timer: a silent exchange gets empty bars as far as event time goes on without it."""
+    at, bars = work_dir(spark), Z.bars(spark, sf).select(*BARS_SCHEMA.fieldNames())
+    end = bars.agg(F.unix_seconds(F.max("window_start"))).first()[0]
+    bars.where((F.col("exchange") != "beta") | (F.unix_seconds("window_start") < end - 700_000)).write.parquet(f"{at}/bars.parquet")
+    stream = table_stream(spark, f"{at}/bars.parquet").withWatermark("window_start", "60 seconds")
+    ST.stream_fill(stream, Z.HOUR, timer=True).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(BARS_SCHEMA).parquet(f"{at}/out").select(*KEY, t(), *rr("close"), "trade_count")
+
+
 @query("r6_stream_filter", with_ctes("SELECT exchange, symbol, CASE WHEN is_buyer_maker THEN 'sell' ELSE 'buy' END AS side, count(*) AS n FROM trades WHERE symbol IN ('CLICK', 'PURCHASE') GROUP BY 1, 2, 3", "trades"))
 def r6(spark: SparkSession, sf: str) -> DataFrame:
     at = work_dir(spark)
@@ -211,19 +303,135 @@ def r6(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(get("exchange"), get("symbol"), get("side")).groupBy("exchange", "symbol", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _batches_of(spark: SparkSession, trades: DataFrame, parts: list[Column], start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Run a stream over some parts of the trades, each a batch of its own: the stream stops and goes on from its checkpoint."""
+    path = f"{work_dir(spark)}/arriving"
+    for part in parts:
+        trades.where(part).coalesce(1).write.mode("append").parquet(path)
+        start(spark.readStream.schema(trades.schema).parquet(path)).start().awaitTermination()
+
+
+_THIRD = "(SELECT min(epoch_us(ts)) // 1000000 + 700000 FROM trades)"
+
+
 @query("r8_live_candle", with_ctes(f"SELECT exchange, symbol, t, {rs('open', 'high', 'low', 'close', 'volume_base')}, trade_count FROM bars", "bars"))
 def r8(spark: SparkSession, sf: str) -> DataFrame:
-    """History up to a moment inside an hour, with the later trades merged on as candles."""
+    """History up to a moment inside an hour; a stream merges the later trades on, in three batches."""
     trades = Z.trades(spark, sf)
-    mid = trades.agg(F.unix_seconds(F.max("ts")) - 200_000).first()[0]
-    old, new = trades.where(F.unix_seconds("ts") < mid), trades.where(F.unix_seconds("ts") >= mid)
-    return ST.live_candles(B.trades_to_bars(old, Z.HOUR), new, Z.HOUR).select(*KEY, t(), *rr("open", "high", "low", "close", "volume_base"), "trade_count")
+    sec, mid = F.unix_seconds("ts"), trades.agg(F.unix_seconds(F.max("ts")) - 200_000).first()[0]
+    history, root = B.trades_to_bars(trades.where(sec < mid), Z.HOUR), work_dir(spark)
+    steps = [(sec >= mid + a) & (sec < mid + b) for a, b in ((0, 70_001), (70_001, 141_000), (141_000, 1 << 40))]
+    _batches_of(spark, trades, steps, lambda s: ST.live_candle_stream(s, history, root, f"{root}/state", Z.HOUR))
+    return ST.newest_candles(spark, history, root).select(*KEY, t(), *rr("open", "high", "low", "close", "volume_base"), "trade_count")
 
 
-@query("c19_gap_report", with_ctes("SELECT exchange, symbol, gap_start, duration_sec FROM gaps", "gaps"))
+#: As in _ALL, but bars without filling may be fewer than a window has rows.
+_SHORT = "SELECT exchange, symbol, rn, " + ", ".join(f"CASE WHEN rn >= {n} THEN {f} OVER (PARTITION BY exchange, symbol ORDER BY rn ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS {k}" for k, f, n in (("s20", "avg(close)", 20), ("s50", "avg(close)", 50), ("s200", "avg(close)", 200), ("sd", "stddev_pop(close)", 20))) + " FROM rn"
+
+
+@query("r8_live_indicators", with_ctes(f"SELECT exchange, symbol, ts, rsi, macd_hist, bb_position, sma_trend, regime FROM ({_DOC_SQL})", "lab1", {"labelled": "SELECT * FROM bars"} | _ALL | {"w": _SHORT}, True))
+def r8_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    """The indicators that the same stream refreshed last for each series."""
+    from .market import candle_indicators
+
+    trades = Z.trades(spark, sf)
+    sec, mid = F.unix_seconds("ts"), trades.agg(F.unix_seconds(F.max("ts")) - 400_000).first()[0]
+    history, root = B.trades_to_bars(trades.where(sec < mid), Z.HOUR), work_dir(spark)
+    refresh = lambda c: candle_indicators(c, Z.HOUR, 1_000_000).select(*KEY, "ts", "rsi", "macd_hist", "bb_position", "sma_trend", "regime")
+    _batches_of(spark, trades, [(sec >= mid) & (sec < mid + 200_000), sec >= mid + 200_000], lambda s: ST.live_candle_stream(s, history, root, f"{root}/state", Z.HOUR, refresh))
+    return ST.newest_of(spark, f"{root}/refreshed", "exchange string, symbol string, ts string, rsi double, macd_hist double, bb_position double, sma_trend string, regime string", list(KEY))
+
+
+#: Every tenth trade arrives in the last of three batches; the others come in two, by time.
+_ARRIVAL = {
+    "arriving": f"SELECT *, epoch_us(ts) // 1000000 AS s, CASE WHEN trade_id % 10 = 0 THEN 2 WHEN epoch_us(ts) // 1000000 < {_THIRD} THEN 0 ELSE 1 END AS batch FROM trades",
+    "seen": "SELECT *, CASE batch WHEN 0 THEN NULL WHEN 1 THEN (SELECT max(s) FROM arriving WHERE batch < 1) ELSE (SELECT max(s) FROM arriving WHERE batch < 2) END - 100000 AS lim FROM arriving",
+}
+
+
+def _arriving(spark: SparkSession, sf: str) -> str:
+    """A stream over trades that come late in part, with bars and late trades below a folder."""
+    trades, root = Z.trades(spark, sf), work_dir(spark)
+    third = trades.agg(F.unix_seconds(F.min("ts")) + 700_000).first()[0]
+    last = F.col("trade_id") % 10 == 0
+    steps = [~last & (F.unix_seconds("ts") < third), ~last & (F.unix_seconds("ts") >= third), last]
+    _batches_of(spark, trades, steps, lambda s: ST.late_stream(s, root, f"{root}/state", Z.HOUR, 100_000))
+    return root
+
+
+@query("r10_late_rows", with_ctes("SELECT exchange, symbol, count(*) AS late, max(lim - s) AS most_seconds FROM seen WHERE s < lim GROUP BY 1, 2", "trades", _ARRIVAL))
+def r10(spark: SparkSession, sf: str) -> DataFrame:
+    """Late trades of a stream, counted by series."""
+    return ST.late_counts(spark, _arriving(spark, sf))
+
+
+@query("r10_bars_in_time", with_ctes("SELECT exchange, symbol, s // 3600 * 3600 AS t, max(price) AS high, count(*) AS trade_count FROM seen WHERE lim IS NULL OR s >= lim GROUP BY 1, 2, 3", "trades", _ARRIVAL))
+def r10_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of the trades in time, over all batches."""
+    bars = spark.read.schema("window_start timestamp, exchange string, symbol string, high double, trade_count long").parquet(f"{_arriving(spark, sf)}/bars")
+    return bars.groupBy(*KEY, t()).agg(F.max("high").alias("high"), F.sum("trade_count").alias("trade_count"))
+
+
+# --- reports: their tables, one query each
+
+
+def _gap_table(name: str, spark: SparkSession, sf: str) -> DataFrame:
+    return M.gap_report(Z.labelled(spark, sf), Z.HOUR)[name]
+
+
+@query("c19_gap_report", with_ctes(f"SELECT exchange, symbol, gap_start, duration_sec, {_CAUSE} AS cause FROM gaps ORDER BY duration_sec DESC, exchange, symbol, gap_start LIMIT 200", "gaps"))
 def c19(spark: SparkSession, sf: str) -> DataFrame:
-    from .market import gap_report
+    """The longest gaps, at most 200."""
+    return _gap_table("longest", spark, sf).select(*KEY, t("gap_start", "gap_start"), "duration_sec", "cause")
+
+
+@query("c19_gap_coverage", with_ctes(f"SELECT exchange, symbol, bars, gap_count, gap_sec, {r('(span_sec - gap_sec) * 100.0 / span_sec')} AS coverage_pct FROM cover", "gaps", {"cover": _COVER}))
+def c19_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return _gap_table("coverage", spark, sf).select(*KEY, "bars", "gap_count", "gap_sec", *rr("coverage_pct"))
+
+
+@query("c19_gap_causes", with_ctes(f"SELECT cause, count(*) AS n_gaps, sum(duration_sec)::BIGINT AS total_sec, {r('avg(duration_sec)', 3)} AS avg_sec FROM (SELECT *, {_CAUSE} AS cause FROM gaps) GROUP BY 1", "gaps"))
+def c19_causes(spark: SparkSession, sf: str) -> DataFrame:
+    return _gap_table("causes", spark, sf).select("cause", "n_gaps", "total_sec", *rr("avg_sec", digits=3))
+
+
+@query("c19_gap_overall", with_ctes("SELECT count(*) AS bars, count(DISTINCT exchange) AS exchanges, count(DISTINCT symbol) AS symbols, (SELECT sum(span_sec)::BIGINT FROM cover) AS span_sec, (SELECT sum(gap_count)::BIGINT FROM cover) AS gaps FROM labelled", "gaps", {"cover": _COVER}))
+def c19_overall(spark: SparkSession, sf: str) -> DataFrame:
+    return _gap_table("overall", spark, sf).select("bars", "exchanges", "symbols", "span_sec", "gaps")
+
+
+@query("c19_gap_outages", with_ctes(
+    """SELECT min(s) AS start, max(e) AS "end", count(*) AS n_gaps, count(DISTINCT k) AS num_affected, string_agg(DISTINCT exchange, ',' ORDER BY exchange) AS exchanges FROM
+        (SELECT *, sum(new) OVER (ORDER BY s, e, exchange, symbol ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, exchange || '/' || symbol AS k, CASE WHEN s <= max(e) OVER (ORDER BY s, e, exchange, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 30 THEN 0 ELSE 1 END AS new FROM
+          (SELECT exchange, symbol, gap_start AS s, gap_end AS e FROM gaps))) GROUP BY c HAVING count(*) > 1""", "gaps"))
+def c19_outages(spark: SparkSession, sf: str) -> DataFrame:
+    return _gap_table("outages", spark, sf).select("start", "end", "n_gaps", "num_affected", F.concat_ws(",", "exchanges").alias("exchanges"))
+
+
+_DAILY_QUALITY = "SELECT d.exchange, d.symbol, coalesce(total, 0) AS total, with_trades, ws_live, empty FROM dim d LEFT JOIN (SELECT exchange, symbol, count(*) AS total, count_if(trade_count > 0) AS with_trades, count_if(source = 'live') AS ws_live, count_if(source = 'empty') AS empty FROM labelled, clock WHERE t >= now - 48 * 3600 GROUP BY 1, 2) USING (exchange, symbol)"
+_DAILY_GAPS = "SELECT exchange, symbol, count(*) AS n_gaps, count_if(d >= 600) AS significant, max(d) AS longest_sec FROM (SELECT exchange, symbol, t - lag(t) OVER (PARTITION BY exchange, symbol ORDER BY t) AS d FROM labelled, clock WHERE t >= now - 172800) WHERE d > 60 GROUP BY 1, 2"
+
+
+def _daily_table(name: str, spark: SparkSession, sf: str) -> DataFrame:
+    bars = Z.labelled(spark, sf)
+    return M.daily_report(bars, Z.dim(spark, sf), Z.bounds(bars)[2])[name]
+
+
+@query("c19_daily_quality", with_ctes(_DAILY_QUALITY, "clock"))
+def c19_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return _daily_table("quality", spark, sf).select(*KEY, F.col("total").cast("long").alias("total"), "with_trades", "ws_live", "empty")
+
+
+@query("c19_daily_gaps", with_ctes(_DAILY_GAPS, "clock"))
+def c19_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return _daily_table("gaps", spark, sf).select(*KEY, "n_gaps", "significant", "longest_sec")
+
 
-    return gap_report(Z.labelled(spark, sf), Z.HOUR)["longest"].select(*KEY, t("gap_start", "gap_start"), "duration_sec")
+@query("c19_daily_alerts", with_ctes("SELECT 'LOW LIVE DATA' AS kind, exchange || '/' || symbol AS subject, CAST(ws_live AS DOUBLE) AS value FROM dq WHERE total > 0 AND ws_live < total * 0.1 / 100 UNION ALL SELECT 'GAP', exchange || '/' || symbol, CAST(longest_sec AS DOUBLE) FROM dg WHERE significant > 0", "clock", {"dq": _DAILY_QUALITY, "dg": _DAILY_GAPS}))
+def c19_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return _daily_table("alerts", spark, sf)
 
 
+@query("c19_daily_age", with_ctes("SELECT 0.0::DOUBLE AS age_minutes, max(t) AS last_bar FROM labelled", "labelled"))
+def c19_age(spark: SparkSession, sf: str) -> DataFrame:
+    return _daily_table("age", spark, sf).select(F.col("age_minutes").cast("double").alias("age_minutes"), t("last_bar", "last_bar"))

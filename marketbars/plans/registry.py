@@ -431,7 +431,9 @@ def r9(spark: SparkSession, sf: str) -> DataFrame:
     return G.disconnect_gaps(_connections(spark, sf), 60.0).select("exchange", F.unix_micros("gap_start").alias("gap_start"), *rr("gap_seconds", digits=3))
 
 
-@query("r9_debounced_requests")
+@query("r9_debounced_requests", with_ctes(
+    """SELECT epoch_us(min(ts)) AS from_us, epoch_us(max(ts)) AS to_us, string_agg(DISTINCT exchange, ',' ORDER BY exchange) AS exchanges, count(*) AS n_events FROM
+      (SELECT *, sum(new) OVER (ORDER BY ts, exchange ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT exchange, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, exchange) <= 60000000 THEN 0 ELSE 1 END AS new FROM conn WHERE event = 'reconnect')) GROUP BY k""", "trades", _CONN))
 def r9_debounced(spark: SparkSession, sf: str) -> DataFrame:
     d = G.debounced(_connections(spark, sf).where("event = 'reconnect'"), 60)
     return d.select(F.unix_micros("from_ts").alias("from_us"), F.unix_micros("to_ts").alias("to_us"), F.concat_ws(",", "exchanges").alias("exchanges"), "n_events")
@@ -443,6 +445,14 @@ def c17(spark: SparkSession, sf: str) -> DataFrame:
     return A.freshness(bars, Z.bounds(bars)[2] + F.expr("interval 400 seconds"))
 
 
+@query("c17_freshness_by_health", with_ctes("SELECT CASE WHEN max(now) + 200 - max(first_day) * 86400 > 600 THEN 'stale' ELSE 'ok' END AS status, 200.0::DOUBLE AS age_sec FROM clock", "clock"))
+def c17_health(spark: SparkSession, sf: str) -> DataFrame:
+    """A fresh lake counts as stale if the health record is old: here from the first day."""
+    bars = Z.labelled(spark, sf)
+    first, _, now = Z.bounds(bars)
+    return A.freshness(bars, now + F.expr("interval 200 seconds"), health_ts=first.cast("timestamp"))
+
+
 @query("c18_alerts", with_ctes(
     """SELECT 'LOW LIVE DATA' AS kind, exchange || '/' || symbol AS subject, CAST(l AS DOUBLE) AS value FROM (SELECT exchange, symbol, count(*) AS n, count_if(source = 'live' AND exchange <> 'beta') AS l FROM labelled, clock WHERE t >= now - 172800 GROUP BY 1, 2) WHERE l < n * 0.1 / 100
       UNION ALL SELECT 'GAP', exchange || '/' || symbol, CAST(m AS DOUBLE) FROM (SELECT exchange, symbol, max(d) AS m FROM (SELECT exchange, symbol, t - lag(t) OVER (PARTITION BY exchange, symbol ORDER BY t) AS d FROM labelled, clock WHERE t >= now - 864000) WHERE d > 3600 GROUP BY 1, 2) WHERE m >= 7200
@@ -537,6 +547,30 @@ def w6_running(spark: SparkSession, sf: str) -> DataFrame:
     return G.internal_file_gaps(_files(spark, sf), 7200, running=True).select(*KEY, t("gap_start", "gap_start"), t("gap_end", "gap_end"), "duration_sec")
 
 
+@query("f8_horizon", with_ctes("SELECT exchange, symbol, p AS gap_start, min_t AS gap_end, min_t - p AS duration_sec FROM (SELECT *, lag(max_t) OVER (PARTITION BY exchange, symbol ORDER BY min_t, max_t) AS p FROM files, (SELECT max(t) AS now FROM bars) WHERE max_t >= now - 1000000) WHERE min_t - p > 7200", "bars", _FILES))
+def f8(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps between files that end within the horizon."""
+    gaps = G.internal_file_gaps(_files(spark, sf), 7200, Z.bounds(Z.bars(spark, sf))[2], 1_000_000)
+    return gaps.select(*KEY, t("gap_start", "gap_start"), t("gap_end", "gap_end"), "duration_sec")
+
+
+@query("w10_carry_forward", with_ctes(f"SELECT exchange, symbol, t, {r('c')} AS close FROM (SELECT exchange, symbol, t, last_value(c IGNORE NULLS) OVER (PARTITION BY exchange, symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT exchange, symbol, t, CASE WHEN t // 3600 % 5 = 0 OR t // 86400 % 4 = 1 THEN NULL ELSE close END AS c FROM labelled))", "labelled"))
+def w10(spark: SparkSession, sf: str) -> DataFrame:
+    """The last close before each bar without one: within a day, and over days that have none."""
+    sec = F.unix_seconds("window_start")
+    holes = Z.labelled(spark, sf).withColumn("close", F.when(~((F.floor(sec / 3600) % 5 == 0) | (F.floor(sec / 86400) % 4 == 1)), F.col("close")))
+    return B.carry_forward(holes, "close").select(*KEY, t(), *rr("close"))
+
+
+@query("x15_up_down", with_ctes(
+    "SELECT exchange, symbol, t, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction, CASE WHEN close > 100 THEN printf('%.2f', close) WHEN close > 1 THEN printf('%.4f', close) ELSE printf('%.6f', close) END AS price, CASE WHEN u // 3600 > 24 THEN (u // 86400) || 'd ' || (u // 3600 % 24) || 'h' WHEN u >= 3600 THEN (u // 3600) || 'h ' || (u % 3600 // 60) || 'm' ELSE (u // 60) || 'm' END AS uptime FROM (SELECT exchange, symbol, t, floor(open * 4 + 0.5) / 4 AS open, floor(close * 4 + 0.5) / 4 AS close, t % 200000 AS u FROM labelled)", "labelled"))
+def x15(spark: SparkSession, sf: str) -> DataFrame:
+    """Direction of a candle, its price as text, and a time as an uptime; prices in quarters, which no rounding of text can split."""
+    b = Z.labelled(spark, sf)
+    b = b.select(*KEY, "window_start", *[(F.floor(F.col(c) * 4 + 0.5) / 4).alias(c) for c in ("open", "close")])
+    return b.select(*KEY, t(), X.up_down("close", "open").alias("direction"), X.fmt_price("close").alias("price"), X.fmt_uptime(F.unix_seconds("window_start") % 200000).alias("uptime"))
+
+
 @query("s11_file_ts_ranges", with_ctes("SELECT exchange, symbol, min_t, max_t FROM files", "bars", _FILES))
 def s11(spark: SparkSession, sf: str) -> DataFrame:
     return _files(spark, sf).select(*KEY, t("min_ts", "min_t"), t("max_ts", "max_t"))
@@ -706,14 +740,14 @@ def _scan_sql(score: str) -> str:
 
 
 def _scan(sort: str) -> Query:
-    return lambda spark, sf: M.scan(Z.labelled(spark, sf).unionByName(_one_more(spark, sf)), "beta", sort, 3, Z.HOUR, 1_000_000).select("symbol", "score", "rsi", "volume_ratio", "bb_position", "regime", F.col("rank").cast("long").alias("rank"))
+    return lambda spark, sf: M.scan(_with_open_bar(Z.labelled(spark, sf)), "beta", sort, 3, Z.HOUR, 1_000_000).select("symbol", "score", "rsi", "volume_ratio", "bb_position", "regime", F.col("rank").cast("long").alias("rank"))
 
 
-def _one_more(spark: SparkSession, sf: str) -> DataFrame:
-    """A bar after the last of each series, which the scan drops as incomplete."""
-    last = Z.labelled(spark, sf).groupBy(*KEY).agg(F.max("window_start").alias("m"))
-    rows = Z.labelled(spark, sf).join(last, list(KEY)).where("window_start = m").drop("m")
-    return rows.withColumn("window_start", F.timestamp_seconds(F.unix_seconds("window_start") + Z.HOUR))
+def _with_open_bar(bars: DataFrame) -> DataFrame:
+    """bars and, after the last of each series, one more bar like it, which counts as incomplete."""
+    cols = bars.columns
+    last = bars.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in cols if c not in KEY]), "window_start").alias("x")).select(*KEY, "x.*")
+    return bars.unionByName(last.withColumn("window_start", F.timestamp_seconds(F.unix_seconds("window_start") + Z.HOUR)).select(*cols))
 
 
 for _sort, _score in {
@@ -725,11 +759,57 @@ for _sort, _score in {
     query(f"c15_scan_{_sort}", _scan_sql(_score))(_scan(_sort))
 
 
-@query("c14_snapshot")
+_STATS = f"""SELECT exchange, symbol, price, open_24h, h AS high_24h, l AS low_24h, v AS volume_24h, CASE WHEN v > 0 THEN vv / v ELSE price END AS vwap_24h, CASE WHEN open_24h > 0 THEN (price - open_24h) * 100.0 / open_24h ELSE 0.0 END AS change_24h_pct FROM
+      (SELECT exchange, symbol, last(close ORDER BY t) AS price, first(open ORDER BY t) AS open_24h, max(high) AS h, min(low) AS l, sum(CASE WHEN is_live THEN volume_base ELSE 0 END) AS v, sum(CASE WHEN is_live THEN volume_base * vwap ELSE 0 END) AS vv FROM
+        (SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY t DESC) AS k FROM lab1) WHERE k <= 24 GROUP BY 1, 2)"""
+_STATS_COLS = ("price", "open_24h", "high_24h", "low_24h", "volume_24h", "vwap_24h", "change_24h_pct")
+#: A funding rate for each symbol, from its largest price and number of trades; of one sign or the other.
+_RATES = "SELECT symbol, (max(price) * 2 - count(*) % 200) / 1000000 AS rate, max(price) AS mark FROM trades GROUP BY 1"
+
+
+def _snapshot_sql(rate: str, more: str, extra: dict[str, str]) -> str:
+    basis = "concat_ws(',', 'price_' || price_vs_vwap || '_vwap', CASE WHEN rate > 0 THEN 'positive_funding' WHEN rate <= 0 THEN 'negative_funding' END)"
+    return with_ctes(
+        f"""SELECT exchange, symbol, {rs(*_STATS_COLS)}, rsi, macd_direction, {_REGIME} AS regime, CASE WHEN greatest(bullish, total - bullish) >= total - 1 THEN 'high' WHEN greatest(bullish, total - bullish) >= floor(total * 0.6) THEN 'medium' ELSE 'low' END AS confidence, {basis} AS basis, 5 AS n_sample{more}
+      FROM (SELECT s.*, d.rsi, d.macd_direction, d.price_vs_vwap, rate, mark, d.bullish + CASE WHEN rate > 0 THEN 1 ELSE 0 END AS bullish, d.total + CASE WHEN rate IS NULL THEN 0 WHEN rate > 0 THEN 1 ELSE 2 END AS total FROM stats s JOIN docs d USING (exchange, symbol) LEFT JOIN ({rate}) f USING (exchange, symbol))""",
+        "lab1", _ALL | {"docs": _DOC_SQL, "stats": _STATS} | extra, True)
+
+
+def _snapshot(s: DataFrame, *more: Column) -> DataFrame:
+    return s.select(*KEY, *rr(*_STATS_COLS), "rsi", "macd_direction", "regime", "confidence", F.concat_ws(",", "basis").alias("basis"), F.size("bars_sample").alias("n_sample"), *more)
+
+
+@query("c14_snapshot", _snapshot_sql("SELECT '' AS exchange, '' AS symbol, NULL::DOUBLE AS rate, NULL::DOUBLE AS mark", "", {}))
 def c14(spark: SparkSession, sf: str) -> DataFrame:
     """Price, day statistics, indicators and regime of every series as one flat row."""
-    s = M.snapshot(Z.labelled(spark, sf), Z.HOUR)
-    return s.select(*KEY, *rr("price", "open_24h", "high_24h", "low_24h", "volume_24h", "vwap_24h", "change_24h_pct"), "rsi", "macd_direction", "regime", "confidence", F.concat_ws(",", "basis").alias("basis"), F.size("bars_sample").alias("n_sample"))
+    return _snapshot(M.snapshot(_with_open_bar(Z.labelled(spark, sf)), Z.HOUR, limit=1_000_000))
+
+
+@query("j4_snapshot_with_derivatives", _snapshot_sql(f"SELECT 'alpha' AS exchange, symbol, rate, mark FROM ({_RATES})", f", {r('rate', 8)} AS rate, {r('mark', 2)} AS mark_price", {}).replace("SELECT exchange, symbol, (sign(price)", "SELECT CASE exchange WHEN 'alpha' THEN 'binance' ELSE exchange END AS exchange, symbol, (sign(price)", 1))
+def j4_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot with the derivatives of its symbol, on one exchange; the funding rate has a vote there."""
+    from ..sources.trades import derivatives
+
+    text = lambda c: c.cast("string")
+    rate = (F.max("price") * 2 - F.count(F.lit(1)) % 200) / 1000000
+    s = Z.trades(spark, sf).groupBy("symbol").agg(rate.alias("rate"), F.max("price").alias("mark"))
+    kinds = {
+        "funding": F.to_json(F.array(F.struct(text(F.col("rate")).alias("fundingRate"), F.lit(1704067200000).alias("fundingTime")))),
+        "ticker": F.to_json(F.struct(text(F.col("mark")).alias("lastPrice"), F.lit("1.5").alias("priceChangePercent"))),
+    }
+    raw = s.select("symbol", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("x")).select("symbol", "x.*")
+    bars = _with_open_bar(Z.labelled(spark, sf)).withColumn("exchange", F.when(F.col("exchange") == "alpha", "binance").otherwise(F.col("exchange")))
+    s = M.snapshot(bars, Z.HOUR, derivatives(raw), limit=1_000_000)
+    return _snapshot(s, *rr("funding_rate", digits=8), F.col("derivatives.mark_price").alias("mark_price")).withColumnRenamed("funding_rate", "rate")
+
+
+@query("c11_document", with_ctes(f"SELECT exchange, symbol, ts, rsi AS rsi_value, rsi_note, macd_hist, macd_direction, bb_position, bb_signal, sma200, sma_trend, ema12, ema_signal, vwap_signal, volume_ratio, regime, confidence FROM ({_DOC_SQL})", "lab1", _ALL, True))
+def c11_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The indicators as nested documents, some fields of each taken out again."""
+    d = M.indicator_document(M.indicators(Z.labelled(spark, sf), Z.HOUR, 1_000_000, complete=False))
+    field = {"rsi_value": "rsi.value", "rsi_note": "rsi.note", "macd_hist": "macd.histogram", "macd_direction": "macd.direction", "bb_position": "bollinger.position", "bb_signal": "bollinger.signal", "sma200": "sma.sma200", "sma_trend": "sma.trend", "ema12": "ema.ema12",
+             "ema_signal": "ema.signal", "vwap_signal": "vwap.signal", "volume_ratio": "volume.ratio", "regime": "regime.label", "confidence": "regime.confidence"}
+    return d.select(*KEY, "ts", *[F.col(v).alias(k) for k, v in field.items()])
 
 
 @query("c20_release_check", with_ctes("SELECT (SELECT count(*) FROM spine, clock WHERE day <> today AND NOT EXISTS (FROM daystats d WHERE d.exchange = spine.exchange AND d.symbol = spine.symbol AND d.day = spine.day)) AS missing_days, 'ok' AS status, (SELECT count_if(high < low) = 0 FROM labelled) AS all_ok, false AS passed", "daystats"))
@@ -821,7 +901,16 @@ def p4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r1_stream_bars", with_ctes(f"SELECT exchange, symbol, t, {rs(*PRICES)}, trade_count FROM bars", "bars"))
 def r1(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream to hourly bars; update mode, so the last state of every window is the batch result."""
+    """The events table as a stream to hourly bars: the last state of every window that the stream emitted in update mode."""
     from ..streaming.runs import bars_of_stream
 
     return bars_of_stream(spark, f"{sf}/events.parquet", Z.HOUR).select(*KEY, t(), *rr(*PRICES), "trade_count")
+
+
+@query("r2_receive_time_bars", with_ctes(f"SELECT exchange, symbol, t, {rs('open', 'high', 'low', 'close', 'volume_base')}, trade_count FROM (" + Z._ohlcv("(SELECT * REPLACE (ts + INTERVAL (trade_id % 7 * 100) SECOND AS ts) FROM trades)", f"{epoch('ts')} // 3600 * 3600") + ")", "trades"))
+def r2(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of a stream by the time of receipt, up to ten minutes after the trade."""
+    from ..streaming.runs import bars_of_stream
+
+    bars = bars_of_stream(spark, f"{sf}/events.parquet", Z.HOUR, F.col("trade_id") % 7 * 100)
+    return bars.select(*KEY, t(), *rr("open", "high", "low", "close", "volume_base"), "trade_count")
