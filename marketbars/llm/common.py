@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the contracts: [\x20\x09-\x0D].
@@ -17,16 +19,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset (tests), a local one is set."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local one is set in local mode (tests); a cluster needs one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: The folders that new_dir() named inside a temporary() block.
+_named: list[list[str]] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _named:
+        _named[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """All folders named inside are deleted at its end: what is to stay has to be written to a folder named outside."""
+    _named.append([])
+    try:
+        yield
+    finally:
+        for path in _named.pop():
+            drop_dir(spark, path)
 
 
 def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -43,25 +65,51 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A value is hot if more than 1/HOT of the rows have it: so at most HOT values are.
+HOT, SALTS = 200, 64
+
+
+def hot_values(counts: DataFrame, value: str, n: str, total: int) -> list:
+    """The hot values of a table of counts; at most HOT of them reach the driver."""
+    return [r[0] for r in counts.where(F.col(n) > total / HOT).select(value).distinct().limit(HOT).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: list, how: str = "inner", by: Column | None = None) -> DataFrame:
+    """left.join(right, keys, how) in which rows of left with a hot value of the first key are dealt over SALTS tasks, by `by` or by turns.
+
+    The rows of right that a hot value has are repeated SALTS times; right has few rows for each key.
+    """
+    if not hot:
+        return left.join(right, keys, how)
+    is_hot = F.col(keys[0]).isin(hot)
+    turn = F.pmod(F.monotonically_increasing_id() if by is None else F.xxhash64(by), F.lit(SALTS)).cast("int")
+    salted = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.withColumn("_salt", F.when(is_hot, turn).otherwise(0)).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): label is the smallest node that can be reached.
 
     Each round takes the smallest label among a node and its neighbours and then the label of that label; the
-    labels of a round are written to the shared folder. Only the number of changed labels reaches the driver.
+    labels of a round are written to the shared folder. Only the number of changed labels reaches the driver, and the
+    nodes of very many links and labels of very many nodes (at most HOT each), whose rows are dealt over many tasks.
     Self-links, repeated links and nulls do no harm (rows with a null end are dropped).
     """
     spark = links.sparkSession
     links = links.where("a IS NOT NULL AND b IS NOT NULL")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = keep(both.distinct(), "edges")
+    hubs = hot_values(edges.groupBy("b").count(), "b", "count", edges.count())
     at = new_dir(spark, "labels")
     labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels", at)
+    nodes = labels.count()
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        wide = hot_values(labels.groupBy("label").count(), "label", "count", nodes)
+        near = spread_join(edges, labels.withColumnRenamed("node", "b"), ["b"], hubs, by=F.col("a")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         best = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         nxt_at = new_dir(spark, "labels")
-        nxt = keep(best.join(jump, "mid").select("node", "was", F.least("mid", "far").alias("label")), "labels", nxt_at)
+        nxt = keep(spread_join(best, jump, ["mid"], wide, by=F.col("node")).select("node", "was", F.least("mid", "far").alias("label")), "labels", nxt_at)
         moved = nxt.where("label <> was").limit(1).count()
         drop_dir(spark, at)
         labels, at = nxt.select("node", "label"), nxt_at

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_dir, keep, new_dir
+from .common import components, drop_dir, hot_values, keep, new_dir, spread_join
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 BUCKET = 4096
@@ -186,13 +186,14 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, reach: int
 
 
 def group(fp: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Rows (doc_id, fp) -> doc_id, fp, component_id. fp is read several times: pass a written table."""
-    nodes = keep(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    """Rows (doc_id, fp) -> doc_id, fp, component_id. fp is read several times: pass a written table. A fingerprint of very many rows is dealt over many tasks."""
+    nodes = keep(fp.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    hot = hot_values(nodes, "fp", "n", fp.count())
     labels = components(links(nodes.select("fp"), radius, bucket)).select(F.col("node").alias("fp"), "label")
     named = keep(nodes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "named")
     ids = named.groupBy("label").agg(F.min("first").alias("component_id"))
     table = keep(named.join(ids, "label").select("fp", "component_id"), "ids")
-    return fp.join(table, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(fp, table, ["fp"], hot).select("doc_id", "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:

@@ -13,7 +13,8 @@ then have a common prefix of at least `least` bytes, so the places on their side
 part company; a key of over `crowd` bytes of distinct segments (a passage with very many surroundings) has each of its
 windows hashed (128 bits) and counted instead, which is exact, linear and free of large groups.
 
-Spans come back to the texts by a hash of the text (128 bits), so exact copies share one list of spans.
+Spans come back to the texts by a hash of the text (128 bits), so exact copies share one list of spans. Keys, segments and
+texts that very many rows have (over 1/HOT of them) are dealt over many tasks in each join.
 
 Cases: null text is empty; texts under `least` bytes keep everything; matches never cross documents; overlaps count and
 strings are judged on the input; repeated rows repeat each other and each get a row; null ids are kept; an empty table
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import hot_values, keep, spread_join
 
 LEAST, GRAM = 200, 32
 CHUNK, CROWD = 1 << 19, 3 << 18
@@ -275,17 +276,23 @@ def _count_windows(least: int):
 
 
 def repeats(texts: DataFrame, least: int = LEAST, chunk: int = CHUNK, crowd: int = CROWD) -> DataFrame:
-    """(text) -> c1, c2 (the text's id) and places (start, end): where strings of `least` bytes start that start elsewhere too."""
+    """(text) -> c1, c2 (the text's id) and places (start, end): where strings of `least` bytes start that start elsewhere too.
+
+    A segment has at most least - GRAM + 1 places, whose number is kept in 8 bits.
+    """
+    if least - GRAM + 1 > 255:
+        raise ValueError(f"strings of more than {254 + GRAM} bytes do not fit the places")
     segs = keep(texts.select("text").mapInArrow(_cut(least), SEGMENT), "segments")
-    keys = keep(segs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("sh") != F.max("sh")).alias("mixed")).where("n > 1").select("key", "mixed"), "keys")
-    known = keep(segs.join(keys, "key"), "known")
+    keys = keep(segs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("sh") != F.max("sh")).alias("mixed")).where("n > 1"), "keys")
+    n_segs = segs.count()
+    known = keep(spread_join(segs, keys.select("key", "mixed"), ["key"], hot_values(keys, "key", "n", n_segs), by=F.col("c1")), "known")
     mixed = known.where("mixed")
     distinct = keep(mixed.groupBy("key", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("c1", "c2", "pr")).alias("at")).select("key", "sh", "n", "at.*"), "distinct")
     sizes = distinct.groupBy("key").agg(F.sum(F.pmod("pr", F.lit(256)) + least - 1).alias("size"))
     crowds = keep(sizes.where(F.col("size") > crowd).select("key", F.lit(True).alias("crowd")), "crowds")
     wanted = distinct.join(crowds, "key", "left").select("c1", "c2", F.struct("key", "sh", "n", F.coalesce("crowd", F.lit(False)).alias("crowd"), "pr").alias("w"))
     wanted = wanted.groupBy("c1", "c2").agg(F.collect_list("w").alias("wanted"))
-    parts = keep(_with_id(texts, least).join(wanted, ["c1", "c2"]).dropDuplicates(["c1", "c2"]).select("text", "wanted").mapInArrow(_fetch(least), "key long, sh long, n long, crowd boolean, data binary"), "parts")
+    parts = keep(_with_id(texts, least, once=True).join(wanted, ["c1", "c2"]).dropDuplicates(["c1", "c2"]).select("text", "wanted").mapInArrow(_fetch(least), "key long, sh long, n long, crowd boolean, data binary"), "parts")
     usual = parts.where("NOT crowd").select("key", "sh", "n", "data").repartition("key").sortWithinPartitions("key", "sh")
     found = usual.mapInArrow(_index(least, chunk), FOUND)
     if crowds.limit(1).count():
@@ -295,21 +302,34 @@ def repeats(texts: DataFrame, least: int = LEAST, chunk: int = CHUNK, crowd: int
         found = found.union(many.select("key", "sh", "spans"))
     found = keep(found, "found").where(F.size("spans") > 0)
     place, count = F.floor(F.col("pr") / 256).cast("long"), F.pmod(F.col("pr"), F.lit(256))
-    spread = mixed.join(found, ["key", "sh"]).select("c1", "c2", place.alias("p"), F.explode("spans").alias("x")).select("c1", "c2", (F.col("p") + F.col("x.s")).alias("start"), (F.col("p") + F.col("x.e")).alias("end"))
+    hot = hot_values(distinct, "sh", "n", n_segs)
+    spread = spread_join(mixed, found, ["sh", "key"], hot, by=F.col("c1")).select("c1", "c2", place.alias("p"), F.explode("spans").alias("x")).select("c1", "c2", (F.col("p") + F.col("x.s")).alias("start"), (F.col("p") + F.col("x.e")).alias("end"))
     return spread.union(known.where("NOT mixed").select("c1", "c2", place.alias("start"), (place + count).alias("end")))
 
 
-def _with_id(texts: DataFrame, least: int = 0) -> DataFrame:
-    """The columns of texts (text last) with c1 and c2; texts under `least` bytes are left out."""
+#: Text ids that a task remembers, to send copies once.
+REMEMBERED = 1_000_000
+
+
+def _with_id(texts: DataFrame, least: int = 0, once: bool = False) -> DataFrame:
+    """The columns of texts (text last) with c1 and c2; texts under `least` bytes are left out. once: most copies that a task meets, too."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in batches:
             data = [_bytes(b.column(b.num_columns - 1), r) for r in range(b.num_rows)]
-            if least:
-                rows = [r for r, d in enumerate(data) if len(d) >= least]
-                b, data = b.take(pa.array(rows, pa.int64())), [data[r] for r in rows]
-            ids = [text_id(d) for d in data]
+            ids = [text_id(d) if len(d) >= least else None for d in data]
+            if least or once:
+                rows = []
+                for r, x in enumerate(ids):
+                    if x is not None and x not in seen:
+                        rows.append(r)
+                        if once:
+                            seen.add(x)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                b, ids = b.take(pa.array(rows, pa.int64())), [ids[r] for r in rows]
             yield pa.record_batch([*b.columns, pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64())], [*b.schema.names, "c1", "c2"])
 
     return texts.mapInArrow(run, f"{schema}, c1 long, c2 long")
@@ -347,8 +367,13 @@ def _strip(least: int, digest: bool):
 def strip_repeats(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, crowd: int = CROWD, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) or, with digest, kept_sha256."""
     texts = docs.select("text")
-    places = keep(repeats(texts, least, chunk, crowd).groupBy("c1", "c2").agg(F.collect_set(F.struct("start", "end")).alias("places")), "places")
-    rows = _with_id(docs.select(F.col("doc_id").cast("long"), "text")).join(places, ["c1", "c2"], "left").select("doc_id", "text", "places")
+    places = keep(repeats(texts, least, chunk, crowd).groupBy("c1", "c2").agg(F.collect_set(F.struct("start", "end")).alias("places"), F.count(F.lit(1)).alias("n")), "places")
+    # a text of very many copies gets each of its places from each of them
+    hot = hot_values(places, "c1", "n", places.agg(F.sum("n")).first()[0] or 0)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    long = F.coalesce(F.octet_length("text") >= least, F.lit(False))  # shorter texts have no places and take no part in the join
+    joined = spread_join(_with_id(rows.where(long)), places.drop("n"), ["c1", "c2"], hot, "left").select("doc_id", "text", "places")
+    rows = joined.unionByName(rows.where(~long).withColumn("places", F.lit(None).cast(places.schema["places"].dataType)))
     return rows.mapInArrow(_strip(least, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary"))
 
 

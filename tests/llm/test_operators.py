@@ -720,3 +720,38 @@ def test_warc_reads_only_what_the_job_committed(spark, tmp_path, monkeypatch):
     for r in done:  # a folder without a list is read whole
         (tmp_path / "other" / r.name).write_bytes((tmp_path / "w" / r.name).read_bytes())
     assert warc_zstd.read_archives(spark, f"file://{tmp_path}/other").count() == len(pages_of())
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    """With a bound that makes most values hot, salted joins give what plain ones give."""
+    from marketbars.llm import common
+
+    monkeypatch.setattr(common, "HOT", 100_000)
+    rnd = random.Random(13)
+    passage = "a passage that very many texts hold, word for word, " * 6
+    rows = [(i, rnd.choice([passage, "", None, f"begin {rnd.randrange(5)} " + passage + f" end {rnd.randrange(9)}", f"text {i} " * 30]), None, None, None) for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    same([tuple(r) for r in suffix_dedup.strip_repeats(df, chunk=2000, digest=True).collect()], [(r[0], *x) for r, x in zip(rows, brute_strip([r[1] for r in rows], 200), strict=True)])
+    fps = [brute_fingerprint(t) for _, t, *_ in rows]
+    got = {r.doc_id: r.component_id for r in simhash.op8(df).collect()}
+    label = components(fps)
+    assert all((got[i] == got[j]) == (label[i] == label[j]) for i in range(200) for j in range(200))
+    stars = [(0, k) for k in range(1, 60)] + [(k, k + 1000) for k in range(1, 60)] + [(5000, 5001)]
+    found = {r.node: r.label for r in common.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert found == {k: 0 for k in [0, *range(1, 60), *range(1001, 1060)]} | {5000: 5000, 5001: 5000}
+    left, right = spark.createDataFrame([(i % 3, i) for i in range(50)], "k long, x long"), spark.createDataFrame([(0, "a"), (1, "b")], "k long, y string")
+    for how in ("inner", "left"):
+        same([tuple(r) for r in common.spread_join(left, right, ["k"], [0, 1], how).collect()], [tuple(r) for r in left.join(right, "k", how).collect()])
+
+
+def test_temporary_folders_go(spark):
+    from marketbars.llm import common
+
+    stays = common.new_dir(spark, "stays")
+    with common.temporary(spark):
+        inner = common.keep(spark.range(5), "inner")
+        name = inner.inputFiles()[0]
+        common.keep(inner, "out", stays)
+    import os
+
+    assert not os.path.exists(name.removeprefix("file://")) and spark.read.parquet(stays).count() == 5
