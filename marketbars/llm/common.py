@@ -90,28 +90,30 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: list, h
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): label is the smallest node that can be reached.
 
-    Each round takes the smallest label among a node and its neighbours and then the label of that label; the
-    labels of a round are written to the shared folder. Only the number of changed labels reaches the driver, and the
-    nodes of very many links and labels of very many nodes (at most HOT each), whose rows are dealt over many tasks.
-    Self-links, repeated links and nulls do no harm (rows with a null end are dropped).
+    Rounds of contraction: each node goes to its smallest neighbour (itself included) and on to where that one goes,
+    and links between different places make the next, smaller round; the rows of all rounds together are a small
+    multiple of the links. At the end the ways are put together from the last round back. Each round is written to the
+    shared folder. Only the number of links left reaches the driver, and the nodes of very many links (at most HOT),
+    whose rows are dealt over many tasks. Self-links, repeated links and nulls do no harm (rows with a null end are dropped).
     """
-    spark = links.sparkSession
-    links = links.where("a IS NOT NULL AND b IS NOT NULL")
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = keep(both.distinct(), "edges")
-    hubs = hot_values(edges.groupBy("b").count(), "b", "count", edges.count())
-    at = new_dir(spark, "labels")
-    labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels", at)
-    nodes = labels.count()
-    while True:
-        wide = hot_values(labels.groupBy("label").count(), "label", "count", nodes)
-        near = spread_join(edges, labels.withColumnRenamed("node", "b"), ["b"], hubs, by=F.col("a")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        best = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        nxt_at = new_dir(spark, "labels")
-        nxt = keep(spread_join(best, jump, ["mid"], wide, by=F.col("node")).select("node", "was", F.least("mid", "far").alias("label")), "labels", nxt_at)
-        moved = nxt.where("label <> was").limit(1).count()
-        drop_dir(spark, at)
-        labels, at = nxt.select("node", "label"), nxt_at
-        if not moved:
-            return labels
+    links = links.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
+    pairs = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    edges, ways = keep(pairs(links), "edges"), []
+    while n := edges.count():
+        ends = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hubs = hot_values(ends.groupBy("a").count(), "a", "count", n)
+        up = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("up"))
+        jump = up.select(F.col("node").alias("up"), F.col("up").alias("label"))
+        way = keep(spread_join(up, jump, ["up"], hubs, by=F.col("node")).select("node", "label"), "ways")
+        to = lambda end: way.select(F.col("node").alias(end), F.col("label").alias(f"to_{end}"))  # noqa: B023, E731
+        moved = spread_join(spread_join(edges, to("a"), ["a"], hubs, by=F.col("b")), to("b"), ["b"], hubs, by=F.col("a"))
+        edges = keep(pairs(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), "edges")
+        ways.append(way)
+    whole = None
+    for way in reversed(ways):
+        if whole is not None:
+            on = whole.select(F.col("node").alias("label"), F.col("label").alias("last"))
+            way = way.join(on, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+        whole = keep(way, "labels")
+    return nodes.withColumn("label", F.col("node")) if whole is None else nodes.join(whole, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
