@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .chat_rotation import PART_TURNS
 from .license_scan import TEMPLATES
 from .quality_rules import BASE, RULES, STOP_WORDS, SYMBOLS, WINDOW
 from .warc_zstd import LEAST_BYTES
@@ -32,13 +31,15 @@ def op1_sql() -> str:
 
 
 def op3_sql() -> str:
-    return f"""WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+    return """WITH t AS (SELECT conv_id, turn, CAST(floor(turn / 64.0) AS BIGINT) AS part, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, text) - 1) // 64 AS piece FROM t),
     who AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM t WHERE role <> 'system'),
-    m AS (SELECT t.*, speaker, CAST(floor(turn / {PART_TURNS}.0) AS BIGINT) AS part, role = speaker AS own, text || '<|end|>' || chr(10) AS body,
-      CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head FROM t JOIN who ON conv_id IS NOT DISTINCT FROM c),
-    o AS (SELECT *, CAST(coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + length(head) AS a FROM m)
-    SELECT conv_id, speaker, part, count(*) AS n_turns, count_if(own) AS n_assistant_turns, string_agg(head || body, '' ORDER BY turn, role, text) AS dialogue,
-      coalesce(string_agg(a || ':' || (a + length(body)), ',' ORDER BY turn, role, text) FILTER (own), '') AS mask_spans FROM o GROUP BY 1, 2, 3"""
+    m AS (SELECT p.*, speaker, role = speaker AS own, text || '<|end|>' || chr(10) AS body,
+      CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head FROM p JOIN who ON conv_id IS NOT DISTINCT FROM c),
+    o AS (SELECT *, CAST(coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY part NULLS FIRST, piece, turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM m),
+    x AS (SELECT *, min(b) OVER (PARTITION BY conv_id, speaker, part, piece) AS start FROM o)
+    SELECT conv_id, speaker, part, piece, any_value(start) AS "at", count(*) AS n_turns, count_if(own) AS n_assistant_turns, string_agg(head || body, '' ORDER BY turn, role, text) AS dialogue,
+      coalesce(string_agg((b - start + length(head)) || ':' || (b - start + length(head) + length(body)), ',' ORDER BY turn, role, text) FILTER (own), '') AS mask_spans FROM x GROUP BY 1, 2, 3, 4"""
 
 
 def op7_sql() -> str:
