@@ -3,9 +3,10 @@
 A text is lower-cased, everything but letters becomes a blank, and the 2-, 3- and 4-byte windows of the result are
 hashed into `buckets`. A document is the mean of its windows' embeddings; a linear softmax on it is trained by
 stochastic gradient descent in numpy. Training takes a bounded sample: about `per_lang` texts of each language, chosen
-by a hash of their ids, at most `max_rows` in all and of at most `max_chars` characters each (longer texts aren't
-learned from; every text is predicted whole). A fifth of the sample is held out to fit a temperature, so that scores
-are probabilities, and the lowest score at which accepted predictions are right `precision` of the time.
+by a hash of their ids, of the `max_langs` most frequent languages, at most `max_rows` in all and of at most `max_chars`
+characters each (longer texts aren't learned from; every text is predicted whole). A fifth of the sample is held out to fit a temperature, so that scores
+are probabilities, and the lowest score at which accepted predictions are right `precision` of the time. lang_pred is the
+likeliest language whatever its score; accepted tells whether the score reaches the threshold.
 
 Cases: null text and text without a letter are `und` with score 0 and not accepted; rows without a language are
 predicted but not learned from; null ids are not learned from; repeated rows each get a row; without any labelled row
@@ -33,6 +34,7 @@ class Settings(NamedTuple):
     size: int = 16
     per_lang: int = 800
     max_rows: int = 8000
+    max_langs: int = 500
     max_chars: int = 20_000
     epochs: int = 6
     rate: float = 0.5
@@ -140,7 +142,7 @@ def held_out(doc_id: str) -> Column:
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     """Fit on the documented bounded sample of rows that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("text").rlike(r"\p{L}") & (F.length("text") <= s.max_chars))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(s.max_langs).collect()}
     if not counts:
         return fit([], s)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(s.per_lang / n))])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_rotation, decontaminate, language_id, license_scan, pii_bootstrap, quality_rules, sentencepiece_codec, simhash, suffix_dedup, warc_zstd
@@ -16,7 +15,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.op6(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_codec.op6(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

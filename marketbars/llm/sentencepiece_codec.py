@@ -13,6 +13,7 @@ rows each get their row; an empty table gives an empty result; other columns of
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,13 +26,22 @@ TABLE_SIZE = 300_000
 DOCS_AT_ONCE = 64
 
 
+def model_file(model: str) -> str:
+    """A path, or the name of a public tokenizer's file, which is looked up where the task runs."""
+    if os.path.sep in model:
+        return model
+    import public_tokenizers
+
+    return public_tokenizers.path(model)
+
+
 class ChunkTable:
     """chunk -> (number of ids, ids joined by commas, decoded text with its leading space)."""
 
     def __init__(self, model: str, table_size: int = TABLE_SIZE):
         import sentencepiece
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file(model))
         for i in range(self.sp.vocab_size()):
             if MARK in self.sp.id_to_piece(i).lstrip(MARK):
                 raise ValueError("a piece crosses a white-space marker: its texts can't be cut into chunks")

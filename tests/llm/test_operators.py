@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketbars.llm import chat_rotation, decontaminate, language_id, license_scan, pii_bootstrap, quality_rules, sentencepiece_codec, simhash, suffix_dedup, warc_zstd
 
@@ -637,6 +638,39 @@ def test_chat_rotation(spark):
     assert chat_rotation.op3(df.limit(0)).collect() == []
 
 
+def brute_dialogues(rows: list[tuple]) -> dict:
+    """(conv_id, speaker) -> the whole dialogue and what the assistant says in it."""
+    plain = lambda x: x.replace("<|", "< |")
+    turns, out = {}, {}
+    for c, n, role, text in rows:
+        turns.setdefault(c, []).append((n is not None, n or 0, plain(role or "unknown"), plain(text or "")))
+    for c, said in turns.items():
+        for speaker in {r for *_, r, _ in said if r != "system"}:
+            whole, mask = "", []
+            for *_, role, text in sorted(said):
+                whole += "<|assistant|>\n" if role == speaker else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
+                mask += [(len(whole), len(whole) + len(text) + 8)] if role == speaker else []
+                whole += text + "<|end|>\n"
+            out[c, speaker] = (whole, mask)
+    return out
+
+
+def test_chat_rotation_is_the_same_at_every_size_of_parts(spark):
+    """The parts in order are the whole dialogue, and at makes their masks its mask: long ones, many equal turns, negative and null turns."""
+    rnd = random.Random(3)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice([None, -70, -1, 0, 1, 5, 64, 65, 130, 7, 7, 7]), rnd.choice(["ann", "bob", "system", None, "<|x|>"]), rnd.choice(["hi", "", None, "é <|end|>", "long " * 9])) for _ in range(300)]
+    rows += [(3, 4, "ann", f"same {i % 2}") for i in range(150)] + [(4, 0, "system", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"at": F.lit(1), "piece": F.lit(2), "length": F.lit(3)})
+    expected = brute_dialogues(rows)
+    for size in (1, 7, 64, 100_000):
+        got = {}
+        for r in sorted(chat_rotation.rotate(df, size).collect(), key=lambda r: (r.at, r.part is not None, r.part or 0, r.piece)):
+            whole, mask = got.get((r.conv_id, r.speaker), ("", []))
+            assert r.at == len(whole) and r.n_turns <= size
+            got[r.conv_id, r.speaker] = (whole + r.dialogue, mask + [(r.at + s.start, r.at + s.end) for s in r.mask_spans])
+        assert got == expected
+
+
 def test_language_id(spark, docs, empty):
     vowels = {"xx": "aeo", "yy": "iuy"}
     rnd = random.Random(4)
@@ -755,3 +789,28 @@ def test_temporary_folders_go(spark):
     import os
 
     assert not os.path.exists(name.removeprefix("file://")) and spark.read.parquet(stays).count() == 5
+
+
+def test_components_of_random_graphs(spark):
+    """Paths, stars, cycles and random graphs, with self-links, repeats and nulls, against a plain search."""
+    from marketbars.llm import common
+
+    rnd = random.Random(17)
+    path = list(range(10_000, 10_120))
+    rnd.shuffle(path)
+    links = list(zip(path, path[1:], strict=False)) + [(0, -k) for k in range(1, 50)] + [(500 + k, 500 + (k + 1) % 9) for k in range(9)]
+    links += [(rnd.randrange(1000, 1400), rnd.randrange(1000, 1400)) for _ in range(150)] + [(7777, 7777), (None, 4), (4, None)] + links[:5]
+    parent = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = {r.node: r.label for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in list(parent)}
+    assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
