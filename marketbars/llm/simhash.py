@@ -266,8 +266,11 @@ def candidate_groups(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKE
     return hubs.join(labels.withColumnRenamed("node", "hub"), "hub").select("row", "label")
 
 
-def _verified(members: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Rows (row, label, blocks, text) -> links (a, b) of rows whose shingle sets are similar, by pairs of blocks of a label."""
+_SETS = "row long, label long, blocks int, shingles binary"
+
+
+def _shingle_sets(width: int):
+    """Rows (row, label, blocks, text) -> the same with the sorted hashes of the text's distinct shingles."""
     names = ["row", "label", "blocks", "shingles"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,16 +279,55 @@ def _verified(members: DataFrame, width: int, similarity: float) -> DataFrame:
                 found = shingle_set(b.column(3)[i].as_py(), width).tobytes()
                 yield pa.record_batch([*(c.slice(i, 1) for c in b.columns[:3]), pa.array([found], pa.binary())], names)
 
+    return cut
+
+
+def _links_of(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
+def _verified(members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Rows (row, label, blocks, text) -> links (a, b) of rows whose shingle sets are similar, all those that components need.
+
+    A label of one block is compared in one task. Of a label of more, every block is compared with one text first, that
+    with the smallest row: the rows linked to it are one component already and need no comparison with each other. The
+    rows that are left, dealt in blocks of their own, are compared with all rows, by pairs of blocks. So one huge group
+    of copies of a text costs one comparison a row, and what is quadratic is the part that isn't like it.
+    """
+
     def check(t: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-        found = similar(t.column("row").to_pylist(), sets, similarity)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        found = dict(zip(t.column("row").to_pylist(), t.column("shingles").to_pylist(), strict=True))  # a row can be on both sides
+        return _links_of(similar(list(found), [np.frombuffer(x, np.uint64) for x in found.values()], similarity))
 
-    rows = members.select("row", "label", "blocks", "text").mapInArrow(cut, "row long, label long, blocks int, shingles binary")
-    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = rows.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "shingles")
-    return pairs.groupBy("label", "low", "high").applyInArrow(check, "a long, b long")
+    def near_first(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        rows, k = t.column("row").to_pylist(), t.column("first").to_pylist().index(True)
+        first, pairs = sets[k], []
+        for row, x in zip(rows, sets, strict=True):
+            if row != rows[k]:
+                both = len(np.intersect1d(first, x, assume_unique=True))
+                if both >= similarity * (len(first) + len(x) - both):
+                    pairs.append((row, rows[k]))
+        return _links_of(pairs)
+
+    cut = _shingle_sets(width)
+    rows = members.select("row", "label", "blocks", "text")
+    small = rows.where("blocks = 1").mapInArrow(cut, _SETS).groupBy("label").applyInArrow(check, "a long, b long")
+    sets = keep(rows.where("blocks > 1").mapInArrow(cut, _SETS), "sets")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    firsts = keep(sets.groupBy("label").agg(F.min("row").alias("row")), "firsts")
+    first = sets.join(firsts, ["label", "row"]).select("label", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "row", "shingles", F.lit(True).alias("first"))
+    each = sets.select("label", "block", "row", "shingles", F.lit(False).alias("first")).unionByName(first)
+    linked = keep(each.groupBy("label", "block").applyInArrow(near_first, "a long, b long"), "linked")
+    left = sets.join(linked.select(F.col("a").alias("row")).hint("merge"), "row", "left_anti").join(firsts.select("row", F.lit(True).alias("first")).hint("merge"), "row", "left").where("first IS NULL").drop("first")
+    left = keep(left, "left")
+    words = F.octet_length("shingles") / 8
+    n = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(words) / BLOCK_WORDS)).cast("int")
+    more = keep(left.groupBy("label").agg(n.alias("parts")), "parts")
+    mine = left.join(more, "label").select("label", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "row", "shingles")
+    all_ = sets.join(more, "label").select("label", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "block", "row", "shingles")
+    rest = mine.unionByName(all_).groupBy("label", "part", "block").applyInArrow(check, "a long, b long")
+    return small.union(linked).union(rest)
 
 
 def hot_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -416,8 +458,8 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, seeds:
     distinct words (an edit that spoils `width` shingles spoils one word), which group large sets of copies cheaply but
     guarantee bits, not a Jaccard; so pairs of different groups come from a prefix join on shingles, which misses none.
     The check is exact: a link is a Jaccard similarity of distinct shingles of `similarity` or more.
-    It goes by groups of candidates; groups beyond BLOCK_ROWS texts or BLOCK_WORDS words are cut in blocks, and each
-    pair of blocks is a task of its own, so that no task holds a whole group.
+    It goes by groups of candidates; groups beyond BLOCK_ROWS texts or BLOCK_WORDS words are cut in blocks, which are
+    compared with one text of the group first and in pairs where that does not do, so that no task holds a whole group.
 
     A copy of docs with a row number is written first, so that rows are told apart even where ids repeat or are null.
     Texts without words and null texts are copies of each other; a text of fewer than `width` words is one shingle.
