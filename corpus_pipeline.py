@@ -6,7 +6,6 @@ and reads again as the next stage's docs. All stages but the last return the col
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marketbars.llm import common, decontaminate, pii_bootstrap, quality_rules, sentencepiece_codec, simhash
@@ -34,7 +33,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of ids and decoded text for each document."""
-    return sentencepiece_codec.op6(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_codec.op6(docs, "piece_bpe_32k.model")
 
 
 STAGES = [
@@ -50,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; what a stage writes on its way is deleted when its result is written."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = common.new_dir(spark, name.replace(" ", "_"))
+        with common.temporary(spark):
+            docs = common.keep(stage(spark, docs, sf_dir), name, path)
     return docs
