@@ -66,7 +66,8 @@ AT, DOT = re.compile(r"[\[(]at[\])]"), re.compile(r"[\[(]dot[\])]")
 WORD = re.compile(r"\w+")
 BLANK = re.compile(r"\s+")
 #: Anything else that a pattern may hold in place of a mention.
-OTHER = re.compile(r"[^\s\"'<>()\[\]{},;:=|]*[0-9@][^\s\"'<>()\[\]{},;:=|]*")
+_PART = r"\s\"'<>()\[\]{},;:=|"
+OTHER = re.compile(rf"(?<![^{_PART}])[^{_PART}0-9@]*+[0-9@][^{_PART}]*+")
 
 SPAN = "struct<kind:int,start:int,end:int>"
 _INT, _LONG = T.IntegerType(), T.LongType()

@@ -814,3 +814,51 @@ def test_components_of_random_graphs(spark):
     got = {r.node: r.label for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(parent)}
     assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_language_id_of_long_texts_and_clashing_columns(spark, monkeypatch):
+    """Texts beyond max_chars are not learned from but predicted whole, block by block; other columns do no harm."""
+    rnd = random.Random(6)
+    say = lambda k, n: " ".join("".join(rnd.choice("bcdfg") + rnd.choice({"xx": "aeo", "yy": "iuy"}[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i, say(k, 30), k) for i in range(200) for k in [("xx", "yy")[i % 2]]]
+    rows += [(900, say("xx", 4000), "yy"), (901, say("yy", 4000) + " " + say("xx", 9), "xx")]  # wrong labels, which must not be learned
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({k: F.lit("zz") for k in ("r", "n", "score", "held_out", "lang_pred", "source")})
+    settings = language_id.Settings(max_chars=2000)
+    whole = {r.doc_id: r for r in language_id.op2(df, settings).collect()}
+    assert whole[900].lang_pred == "xx" and whole[901].lang_pred == "yy"
+    monkeypatch.setattr(language_id, "BLOCK", 64)
+    model = language_id.train(df, settings)
+    assert sorted(model.langs) == ["xx", "yy"]
+    for i in (900, 901, 5):
+        lang, score, _ = language_id.predict(model, dict((r[0], r[1]) for r in rows)[i])
+        assert lang == whole[i].lang_pred and abs(score - whole[i].score) < 1e-6
+    assert language_id.train(df, settings._replace(max_langs=1)).langs in (["xx"], ["yy"])
+
+
+def test_sentencepiece_by_name_and_with_clashing_columns(spark):
+    rows = [(1, "two words"), (1, "two words"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit(1) for k in ("n_tokens", "ids_sha256", "ids")})
+    import public_tokenizers
+
+    named, by_path = sentencepiece_codec.op6(df, "piece_bpe_32k.model").collect(), sentencepiece_codec.op6(df, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    same([tuple(r) for r in named], [tuple(r) for r in by_path])
+    assert len(named) == 3 and sorted(r.n_tokens for r in named)[0] == 0
+
+
+def test_deduplicate_one_very_long_text_and_one_large_group(spark, monkeypatch):
+    """A text of 60,000 words beside a near copy; a large group of copies of one text with a few texts that are unlike its first."""
+    rnd = random.Random(12)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(60_000)]
+    texts = [" ".join(words), " ".join([*words[:59_000], "another", "end"])]
+    base = [f"v{i}" for i in range(100)]
+    drift = list(base)
+    for i in range(40):  # a chain that leaves the first text step by step, and copies near the first
+        drift[(i * 7) % 100] = f"d{i}"
+        near = list(base)
+        near[i] = f"n{i}"
+        texts += [" ".join(drift), " ".join(near)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    label = brute_similar(texts)
+    expected = sorted(label.index(x) for x in set(label))
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
+    assert sorted(r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()) == expected

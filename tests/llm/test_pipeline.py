@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from marketbars.llm import common, decontaminate, quality_rules
+from marketbars.llm import common, decontaminate, pii_bootstrap, quality_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +24,11 @@ def test_stages(spark):
     assert d.count() == c.count() and not d.where("text LIKE '%@mail%'").count()
     for x in (a, b, c, d):
         assert x.columns == docs.columns
+    kept, tokens = ({r.doc_id: r for r in x.collect()} for x in (c, d))
+    for i, r in kept.items():  # what base patterns and confirmed contexts mark is replaced, the rest stays
+        spans = pii_bootstrap.base_spans(r.text)
+        assert (tokens[i].text == r.text) <= (not spans) and tokens[i].n_chars == len(tokens[i].text)
+        assert not [x for x in pii_bootstrap.base_spans(tokens[i].text) if x[0] < 2]
     e = stages["SentencePiece encoding"](spark, d, SF)
     assert e.count() == d.count()
     assert sorted(r.ids_sha256 for r in e.collect()) == sorted(r.ids_sha256 for r in corpus_pipeline.run(spark, SF).collect())
