@@ -98,7 +98,8 @@ def stream_fill(bars: DataFrame, interval: int, timer: bool = False) -> DataFram
             last, close = int(at[-1]), float(closes[-1])
         state.update((last, close))
         if timer:
-            state.setTimeoutTimestamp(max((last + 2 * interval) * 1000, state.getCurrentWatermarkMs() + 1))
+            # the next bucket is settled as soon as the watermark is past its begin
+            state.setTimeoutTimestamp(max((last + interval) * 1000, state.getCurrentWatermarkMs() + 1))
 
     return bars.select(*names).groupBy(*KEY).applyInPandasWithState(fill, FILLED, "last long, close double", "append", "EventTimeTimeout" if timer else "NoTimeout")
 
