@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import keep
+
 PART_TURNS = 64
 END = "<|end|>\n"
 #: Characters of a head: of the assistant, of a system turn, of a user without the name.
@@ -40,14 +42,14 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     # what a part adds to the dialogue: with all others as users, and less for each turn of the speaker's own
     user = lambda role: F.length(role) + USER
     length = F.aggregate("said", F.lit(0).cast("long"), lambda n, m: n + F.length(m["text"]) + len(END) + F.when(m["role"] == "system", SYSTEM).otherwise(user(m["role"])))
+    parts = keep(parts.withColumn("length", length).withColumn("roles", F.transform("said", lambda m: m["role"])), "parts")
     who = t.where("role <> 'system'").select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
-    both = parts.withColumn("length", length).join(who, parts["conv_id"].eqNullSafe(who["c"])).drop("c")
-    own_turns = F.size(F.filter("said", lambda m: m["role"] == F.col("speaker")))
-    adds = both.select("conv_id", "speaker", "part", "piece", (F.col("length") - own_turns * (user(F.col("speaker")) - ASSISTANT)).alias("adds"))
+    views = parts.select("conv_id", "part", "piece", "length", "roles").join(who, parts["conv_id"].eqNullSafe(who["c"]))  # no texts here
+    own_turns = F.size(F.filter("roles", lambda r: r == F.col("speaker")))
+    adds = views.select("conv_id", "speaker", "part", "piece", (F.col("length") - own_turns * (user(F.col("speaker")) - ASSISTANT)).alias("adds"))
     order = W.partitionBy("conv_id", "speaker").orderBy(F.col("part").asc_nulls_first(), "piece").rowsBetween(W.unboundedPreceding, -1)
-    begin = adds.select(*[F.col(k).alias(f"_{k}") for k in ("conv_id", "speaker", "part", "piece")], F.coalesce(F.sum("adds").over(order), F.lit(0).cast("long")).alias("at"))
-    same = both["conv_id"].eqNullSafe(begin["_conv_id"]) & (both["speaker"] == begin["_speaker"]) & both["part"].eqNullSafe(begin["_part"]) & (both["piece"] == begin["_piece"])
-    both = both.join(begin, same)
+    begin = adds.select(F.col("conv_id").alias("_conv_id"), "speaker", F.col("part").alias("_part"), F.col("piece").alias("_piece"), F.coalesce(F.sum("adds").over(order), F.lit(0).cast("long")).alias("at"))
+    both = parts.join(begin, parts["conv_id"].eqNullSafe(begin["_conv_id"]) & parts["part"].eqNullSafe(begin["_part"]) & (parts["piece"] == begin["_piece"]))
     head = lambda m: F.when(m["role"] == F.col("speaker"), "<|assistant|>\n").when(m["role"] == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), m["role"], F.lit("|>\n")))
     both = both.select("conv_id", "speaker", "part", "piece", "at", F.transform("said", lambda m: F.struct(head(m).alias("head"), F.concat(m["text"], F.lit(END)).alias("body"), (m["role"] == F.col("speaker")).alias("own"))).alias("m"))
     span = "struct<start:int,end:int>"
