@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_rotation, decontaminate, language_id, license_scan, pii_bootstrap, quality_rules, sentencepiece_codec, simhash, suffix_dedup, warc_zstd
+from . import (
+    byte_bpe, chat_rotation, decontaminate, language_id, license_scan, pii_bootstrap, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_alignment, warc_zstd, whitening,
+)
 from .common import table
 
 
@@ -22,6 +24,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.op12(table(spark, sf_dir, "documents"), "byte_bpe_50k.tiktoken", _pattern())
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.op13(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model", _pattern())
+
+
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scans": _over("documents", license_scan.op1),
@@ -34,4 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": _over("documents", simhash.op8),
         "op9_decontamination": op9_decontamination,
         "op10_warc": _over("pages", warc_zstd.op10),
+        "op11_whitening": _over("embeddings", whitening.op11),
+        "op12_byte_bpe": op12_byte_bpe,
+        "op13_token_alignment": op13_token_alignment,
     }
