@@ -17,6 +17,7 @@ from ..sources import lake as L
 from ..sources import trades as R
 from ..streaming import bars as ST
 from ..streaming.runs import table_stream, work_dir
+from ..streaming.state import disconnect_gap_stream, request_stream, rocksdb
 from . import fixtures as Z
 from . import market as M
 from .fixtures import r, with_ctes
@@ -263,17 +264,50 @@ def c12(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams
 
 
+def _to_end(spark: SparkSession, writer: DataStreamWriter) -> None:
+    """Start a stream with RocksDB state and wait for its end."""
+    with rocksdb(spark):
+        q = writer.start()
+    q.awaitTermination()
+
+
+def _to_folder(rows: DataFrame, at: str) -> DataStreamWriter:
+    return rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+
+
 @query("r4_stream_fill", with_ctes(f"SELECT exchange, symbol, t, {rs('close', 'volume_base')}, trade_count, source FROM filled", "filled"))
 def r4(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly bars as a stream through the stateful gap filler."""
     at = work_dir(spark)
     bars = Z.bars(spark, sf).select(*BARS_SCHEMA.fieldNames())
     bars.write.parquet(f"{at}/bars.parquet")
-    q = ST.stream_fill(table_stream(spark, f"{at}/bars.parquet"), Z.HOUR).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    _to_end(spark, _to_folder(ST.stream_fill(table_stream(spark, f"{at}/bars.parquet"), Z.HOUR), at))
     return spark.read.schema(BARS_SCHEMA).parquet(f"{at}/out").select(*KEY, t(), *rr("close", "volume_base"), "trade_count", "source")
 
 
+@query("r4_stream_fill_disorder", with_ctes(
+    f"SELECT exchange, symbol, t, {r('close')} AS close, trade_count, 1 AS times FROM bars UNION ALL SELECT exchange, symbol, unnest(range(t + 3600, nxt, 3600)), {r('close')}, 0, 1 FROM ahead WHERE nxt - t > 3600", "bars",
+    {"ahead": "SELECT *, lead(t, 1, (SELECT max(t) + 3600 FROM bars)) OVER (PARTITION BY exchange, symbol ORDER BY t) AS nxt FROM bars"}))
+def r4_disorder(spark: SparkSession, sf: str) -> DataFrame:
+    """The filler over four batches, each stopped and gone on with: every seventh bar comes a batch late, every fifth once more; a last bar closes the stream."""
+    at, bars = work_dir(spark), Z.bars(spark, sf).select(*BARS_SCHEMA.fieldNames())
+    first, last = bars.agg(F.unix_seconds(F.min("window_start")), F.unix_seconds(F.max("window_start"))).first()
+    sec, third = F.unix_seconds("window_start"), (last - first) // 3 + 1
+    part = F.floor((sec - first) / third)
+    arrives = part + (F.floor(sec / Z.HOUR) % 7 == 3).cast("int")
+    again = F.when(F.floor(sec / Z.HOUR) % 5 == 1, arrives + 1).otherwise(-1)
+    delay = 2 * third
+    closing = bars.limit(1).withColumns({"exchange": F.lit(ST.CLOSING), "window_start": F.timestamp_seconds(F.lit(last + Z.HOUR + delay))})
+    rows = bars.withColumn("batch", F.explode(F.array(arrives, again))).unionByName(closing.withColumn("batch", F.lit(4).cast("long"))).where("batch >= 0")
+
+    def start(stream: DataFrame) -> DataStreamWriter:
+        return _to_folder(ST.stream_fill(stream.withWatermark("window_start", f"{delay} seconds"), Z.HOUR, timer=True), at)
+
+    _batches_of(spark, rows, [F.col("batch") == k for k in range(5)], start)
+    out = spark.read.schema(BARS_SCHEMA).parquet(f"{at}/out").where(F.col("exchange") != ST.CLOSING)
+    return out.groupBy(*KEY, t()).agg(F.round(F.max("close"), 6).alias("close"), F.max("trade_count").alias("trade_count"), F.count(F.lit(1)).cast("int").alias("times"))
+
+
 #: One exchange falls silent eight days before the end; `kept` are the bars of all exchanges with that.
 _SILENT = {
     "kept": "SELECT * FROM bars WHERE exchange <> 'beta' OR t < (SELECT max(t) - 700000 FROM bars)",
@@ -288,7 +322,7 @@ def r4_timer(spark: SparkSession, sf: str) -> DataFrame:
     end = bars.agg(F.unix_seconds(F.max("window_start"))).first()[0]
     bars.where((F.col("exchange") != "beta") | (F.unix_seconds("window_start") < end - 700_000)).write.parquet(f"{at}/bars.parquet")
     stream = table_stream(spark, f"{at}/bars.parquet").withWatermark("window_start", "60 seconds")
-    ST.stream_fill(stream, Z.HOUR, timer=True).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    _to_end(spark, _to_folder(ST.stream_fill(stream, Z.HOUR, timer=True), at))
     return spark.read.schema(BARS_SCHEMA).parquet(f"{at}/out").select(*KEY, t(), *rr("close"), "trade_count")
 
 
@@ -308,7 +342,7 @@ def _batches_of(spark: SparkSession, trades: DataFrame, parts: list[Column], sta
     path = f"{work_dir(spark)}/arriving"
     for part in parts:
         trades.where(part).coalesce(1).write.mode("append").parquet(path)
-        start(spark.readStream.schema(trades.schema).parquet(path)).start().awaitTermination()
+        _to_end(spark, start(spark.readStream.schema(trades.schema).parquet(path)))
 
 
 _THIRD = "(SELECT min(epoch_us(ts)) // 1000000 + 700000 FROM trades)"
@@ -331,15 +365,12 @@ _SHORT = "SELECT exchange, symbol, rn, " + ", ".join(f"CASE WHEN rn >= {n} THEN
 
 @query("r8_live_indicators", with_ctes(f"SELECT exchange, symbol, ts, rsi, macd_hist, bb_position, sma_trend, regime FROM ({_DOC_SQL})", "lab1", {"labelled": "SELECT * FROM bars"} | _ALL | {"w": _SHORT}, True))
 def r8_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    """The indicators that the same stream refreshed last for each series."""
-    from .market import candle_indicators
-
+    """The indicators that the same stream refreshed last for each series, from the sums in its state."""
     trades = Z.trades(spark, sf)
     sec, mid = F.unix_seconds("ts"), trades.agg(F.unix_seconds(F.max("ts")) - 400_000).first()[0]
     history, root = B.trades_to_bars(trades.where(sec < mid), Z.HOUR), work_dir(spark)
-    refresh = lambda c: candle_indicators(c, Z.HOUR, 1_000_000).select(*KEY, "ts", "rsi", "macd_hist", "bb_position", "sma_trend", "regime")
-    _batches_of(spark, trades, [(sec >= mid) & (sec < mid + 200_000), sec >= mid + 200_000], lambda s: ST.live_candle_stream(s, history, root, f"{root}/state", Z.HOUR, refresh))
-    return ST.newest_of(spark, f"{root}/refreshed", "exchange string, symbol string, ts string, rsi double, macd_hist double, bb_position double, sma_trend string, regime string", list(KEY))
+    _batches_of(spark, trades, [(sec >= mid) & (sec < mid + 200_000), sec >= mid + 200_000], lambda s: ST.live_candle_stream(s, history, root, f"{root}/state", Z.HOUR))
+    return ST.newest_indicators(spark, root).select(*KEY, "ts", "rsi", "macd_hist", "bb_position", "sma_trend", "regime")
 
 
 #: Every tenth trade arrives in the last of three batches; the others come in two, by time.
@@ -372,6 +403,85 @@ def r10_bars(spark: SparkSession, sf: str) -> DataFrame:
     return bars.groupBy(*KEY, t()).agg(F.max("high").alias("high"), F.sum("trade_count").alias("trade_count"))
 
 
+@query("r10_corrected_bars", with_ctes(f"SELECT exchange, symbol, t, {rs('open', 'high', 'low', 'close', 'volume_base')}, trade_count FROM bars", "bars"))
+def r10_corrected(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars with the corrections that late trades made: the bars of all trades."""
+    return ST.current_candles(_corrections(spark, sf, 5000)).select(*KEY, t(), *rr("open", "high", "low", "close", "volume_base"), "trade_count")
+
+
+@query("r10_changes", with_ctes("SELECT exchange, symbol, s // 3600 * 3600 AS t, count(*) AS trades_left, count(DISTINCT batch) - 1 AS retracted, count(DISTINCT batch) - 1 AS newest_revision FROM arriving GROUP BY 1, 2, 3", "trades", _ARRIVAL))
+def r10_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Inserts less retractions plus replacements: what is left of each bar, and how often it was taken back."""
+    sign = F.when(F.col("kind") == "retract", -1).otherwise(1)
+    return _corrections(spark, sf, 5000).groupBy(*KEY, t()).agg(F.sum(sign * F.col("trade_count")).alias("trades_left"), F.count_if(F.col("kind") == "retract").alias("retracted"), F.max("revision").alias("newest_revision"))
+
+
+_KEPT = {
+    "newest": "SELECT exchange, symbol, t FROM (SELECT DISTINCT exchange, symbol, s // 3600 * 3600 AS t, dense_rank() OVER (PARTITION BY exchange, symbol ORDER BY s // 3600 DESC) AS k FROM arriving WHERE batch < 2) WHERE k = 24",
+}
+
+
+@query("r10_too_late", with_ctes("SELECT exchange, symbol, count(*) AS late, max(t - s) AS most_seconds FROM arriving JOIN newest USING (exchange, symbol) WHERE batch = 2 AND s < t GROUP BY 1, 2", "trades", _ARRIVAL | _KEPT))
+def r10_too_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Trades older than the newest 24 bars of their series amend nothing: they are counted."""
+    late = _corrections(spark, sf, 24).where("kind = 'late'")
+    return late.groupBy(*KEY).agg(F.sum("trade_count").alias("late"), F.max("seconds_late").alias("most_seconds"))
+
+
+def _corrections(spark: SparkSession, sf: str, keep: int) -> DataFrame:
+    """The changes of bars by a stream over trades that come late in part, in three batches."""
+    trades, root = Z.trades(spark, sf), work_dir(spark)
+    third = trades.agg(F.unix_seconds(F.min("ts")) + 700_000).first()[0]
+    last = F.col("trade_id") % 10 == 0
+    steps = [~last & (F.unix_seconds("ts") < third), ~last & (F.unix_seconds("ts") >= third), last]
+    _batches_of(spark, trades, steps, lambda s: ST.live_candle_stream(s, None, f"{root}/out", f"{root}/state", Z.HOUR, keep, indicators=False))
+    return ST.changes_below(spark, f"{root}/out")
+
+
+@query("r5_stream_sink", with_ctes(f"SELECT exchange, symbol, t, {rs(*PRICES)}, trade_count, 1 AS times FROM bars", "bars"))
+def r5(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of a stream appended to a lake, in three runs that each go on from the checkpoint; a last trade closes the stream, so every bar comes, once."""
+    trades, root = Z.trades(spark, sf), work_dir(spark)
+    first, last = trades.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    closing = ST.closing_trade(spark, last + Z.HOUR, 60)
+    sec, end = F.unix_seconds("ts"), F.col("exchange") == ST.CLOSING
+    steps = [~end & (sec < first + 700_000), ~end & (sec >= first + 700_000), end]
+    _batches_of(spark, trades.unionByName(closing.select(*trades.columns)), steps, lambda s: ST.sink(ST.stream_bars(s, {}, Z.HOUR), f"{root}/lake", f"{root}/state", every=None))
+    bars = L.read_bars(spark, f"{root}/lake")
+    return bars.groupBy(*KEY, t()).agg(*[F.max(c).alias(c) for c in (*PRICES, "trade_count")], F.count(F.lit(1)).cast("int").alias("times")).select(*KEY, "t", *rr(*PRICES), "trade_count", "times")
+
+
+def _connection_stream(spark: SparkSession, sf: str, watermark: int, after: int, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Connection events as a stream of three runs; the last one brings an event `after` seconds beyond all others, which closes the stream."""
+    events = _connections(spark, sf)
+    low, high = events.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    closing = events.limit(1).select(F.lit(ST.CLOSING).alias("exchange"), F.lit("reconnect").alias("event"), F.timestamp_seconds(F.lit(high + watermark + after + 1)).alias("ts"))
+    end, sec = F.col("exchange") == ST.CLOSING, F.unix_seconds("ts")
+    steps = [~end & (sec < (low + high) // 2), ~end & (sec >= (low + high) // 2), end]
+    _batches_of(spark, events.select("exchange", "event", "ts").unionByName(closing), steps, lambda s: start(s.withWatermark("ts", f"{watermark} seconds")))
+
+
+@query("r9_stream_gaps", with_ctes(
+    f"SELECT exchange, epoch_us(ts) AS gap_start, CASE WHEN epoch_us(u) - epoch_us(ts) <= 600000000 THEN {r('(epoch_us(u) - epoch_us(ts)) / 1e6', 3)} END AS gap_seconds FROM (SELECT *, min(CASE WHEN event = 'reconnect' THEN ts END) OVER (PARTITION BY exchange ORDER BY ts, event ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS u FROM conn) WHERE event = 'disconnect'", "trades", _CONN))
+def r9_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Disconnects of a stream paired with the next reconnect; without one for ten minutes they stay unanswered."""
+    at = work_dir(spark)
+    _connection_stream(spark, sf, 60, 700, lambda e: _to_folder(disconnect_gap_stream(e, 600.0), at))
+    out = spark.read.schema("exchange string, gap_start timestamp, gap_end timestamp, gap_seconds double").parquet(f"{at}/out")
+    return out.select("exchange", F.unix_micros("gap_start").alias("gap_start"), *rr("gap_seconds", digits=3))
+
+
+@query("r9_stream_requests", with_ctes(
+    """SELECT epoch_us(min(ts)) AS from_us, epoch_us(max(ts)) AS to_us, string_agg(DISTINCT exchange, ',' ORDER BY exchange) AS exchanges, count(*) AS n_events FROM
+      (SELECT *, sum(new) OVER (ORDER BY ts, exchange ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT exchange, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, exchange) <= 60000000 THEN 0 ELSE 1 END AS new FROM conn WHERE event = 'reconnect')) GROUP BY k""", "trades", _CONN))
+def r9_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Reconnects of a stream debounced to back-fill requests by session windows."""
+    at = work_dir(spark)
+    _connection_stream(spark, sf, 60, 200, lambda e: _to_folder(request_stream(e.where("event = 'reconnect'"), 60), at))
+    out = spark.read.schema("from_ts timestamp, to_ts timestamp, exchanges array<string>, n_events long").parquet(f"{at}/out")
+    return out.select(F.unix_micros("from_ts").alias("from_us"), F.unix_micros("to_ts").alias("to_us"), F.concat_ws(",", "exchanges").alias("exchanges"), "n_events")
+
+
 # --- reports: their tables, one query each
 
 

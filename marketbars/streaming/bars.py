@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.bars import ohlcv, trade_message, trades_to_bars
-from ..schema import KEY
+from ..schema import KEY, TRADE_SCHEMA
+from .state import CHANGES, candle_changes, current_candles, current_indicators, stream_fill  # noqa: F401
+
 
 def stream_bars(trades: DataFrame, intervals: dict[str, int], default: int = 1, watermark: str = "1 minute", time_col: str = "ts", id_col: str = "trade_id") -> DataFrame:
     """Tumbling bars; a window is emitted once, when the watermark passes its end (append mode).
@@ -50,60 +52,6 @@ def raw_archive(raw: DataFrame, root: str, checkpoint: str, every: str | None =
     return w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
 
 
-FILLED = "window_start timestamp, exchange string, symbol string, open double, high double, low double, close double, volume_base double, volume_quote double, trade_count long, vwap double, bid double, ask double, spread double, source string"
-
-
-#: Rows that the filler sends at once: a hole of any length is sent in blocks.
-FILL_ROWS = 50_000
-
-
-def stream_fill(bars: DataFrame, interval: int, timer: bool = False) -> DataFrame:
-    """Bars of a stream with the empty bars between them: per series the last bar's time and close are kept as state.
-
-    Bars of a series come in order of their windows (append mode). timer: a series in which no bar arrives gets its
-    empty bars when event time goes on without it, up to the watermark of `bars` (which must have one on window_start);
-    a bar can't come later than that. A hole is sent in blocks of FILL_ROWS rows, however long it is.
-    """
-    import numpy as np
-    import pandas as pd
-
-    names = [c.split()[0] for c in FILLED.split(", ")]
-
-    def empty(key: tuple, times: np.ndarray, closes: np.ndarray) -> pd.DataFrame:
-        one = {"window_start": pd.to_datetime(times, unit="s"), "exchange": key[0], "symbol": key[1], "trade_count": 0, "source": "empty"}
-        zero = dict.fromkeys(("volume_base", "volume_quote", "bid", "ask", "spread"), 0.0)
-        return pd.DataFrame(one | zero | dict.fromkeys(("open", "high", "low", "close", "vwap"), closes))[names]
-
-    def between(key: tuple, last: np.ndarray, closes: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
-        """n[i] empty bars after last[i], in blocks."""
-        ends = np.cumsum(n)
-        for at in range(0, int(ends[-1]) if len(ends) else 0, FILL_ROWS):
-            k = np.arange(at, min(at + FILL_ROWS, int(ends[-1])))
-            i = np.searchsorted(ends, k, "right")
-            yield empty(key, last[i] + (k - (ends[i] - n[i]) + 1) * interval, closes[i])
-
-    def fill(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, close = state.get if state.exists else (None, None)
-        if state.hasTimedOut:
-            # a window that begins before the watermark has come by now, or is empty
-            n = max(0, -(-(state.getCurrentWatermarkMs() // 1000) // interval) - last // interval - 1)
-            yield from between(key, np.array([last]), np.array([close]), np.array([n]))
-            last += int(n) * interval
-        else:
-            pdf = pd.concat(list(parts)).sort_values("window_start")
-            at, closes = pdf["window_start"].astype("datetime64[s]").astype("int64").to_numpy(), pdf["close"].to_numpy()
-            before, carried = np.concatenate([[at[0] - interval if last is None else last], at[:-1]]), np.concatenate([[np.nan if last is None else close], closes[:-1]])
-            yield pdf[names]
-            yield from between(key, before, carried, np.maximum((at - before) // interval - 1, 0))
-            last, close = int(at[-1]), float(closes[-1])
-        state.update((last, close))
-        if timer:
-            # the next bucket is settled as soon as the watermark is past its begin
-            state.setTimeoutTimestamp(max((last + interval) * 1000, state.getCurrentWatermarkMs() + 1))
-
-    return bars.select(*names).groupBy(*KEY).applyInPandasWithState(fill, FILLED, "last long, close double", "append", "EventTimeTimeout" if timer else "NoTimeout")
-
-
 def merge_candles(history: DataFrame, now: DataFrame) -> DataFrame:
     """History with newer bars merged on. Equal buckets are combined, not replaced: the open bucket grows."""
     cols = [c for c in now.columns if c in history.columns]
@@ -120,32 +68,21 @@ def live_candles(history: DataFrame, trades: DataFrame, interval: int) -> DataFr
     return merge_candles(history, trades_to_bars(trades, interval))
 
 
-def live_candle_stream(trades: DataFrame, history: DataFrame, root: str, checkpoint: str, interval: int, refresh: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
-    """Live trades merged onto history by foreachBatch: below root, each batch leaves a version of the candles it changed
-    and, with refresh, of what refresh makes of them (such as indicators of the series with new trades).
+def live_candle_stream(trades: DataFrame, history: DataFrame | None, root: str, checkpoint: str, interval: int, keep: int = 120, indicators: bool = True) -> DataStreamWriter:
+    """Live trades amend candles kept as state for each series; their changes (state.candle_changes) are appended below root, each once.
 
-    candles/batch=k holds the whole buckets that batch k touched, from the newest version before it (history at first);
-    newest_candles() gives the current ones. A batch that runs again overwrites its version from the same input.
+    newest_candles() and newest_indicators() read the current ones. A batch costs the series it has trades of: neither
+    history nor earlier batches are read again.
     """
+    changes = candle_changes(trades, interval, keep, history, indicators)
+    return changes.writeStream.format("parquet").partitionBy("kind").option("path", root).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)
 
-    def merge(part: DataFrame, k: int) -> None:
-        spark = part.sparkSession
-        new = trades_to_bars(part, interval)
-        old = newest_candles(spark, history, root, k)
-        touched = new.select("window_start", *KEY)
-        merged = merge_candles(old.join(touched, ["window_start", *KEY], "left_semi"), new)
-        merged.select(*CANDLE).write.mode("overwrite").parquet(f"{root}/candles/batch={k}")
-        if refresh is not None:
-            series = touched.select(*KEY).distinct()
-            refresh(newest_candles(spark, history, root, k + 1).join(series, list(KEY), "left_semi")).write.mode("overwrite").parquet(f"{root}/refreshed/batch={k}")
 
-    w = trades.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return w.trigger(availableNow=True)
+def changes_below(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(CHANGES).option("basePath", root).parquet(root)
 
 
 CANDLE = ("window_start", *KEY, "open", "high", "low", "close", "volume_base", "volume_quote", "trade_count", "vwap")
-_CANDLES = "window_start timestamp, exchange string, symbol string, open double, high double, low double, close double, volume_base double, volume_quote double, trade_count long, vwap double"
-
 
 def newest_of(spark: SparkSession, path: str, schema: str, keys: list[str], before: int | None = None) -> DataFrame:
     """The newest version of each row that the batches (before one, if given) left below path."""
@@ -158,11 +95,25 @@ def newest_of(spark: SparkSession, path: str, schema: str, keys: list[str], befo
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("x")).select(*keys, "x.*")
 
 
-def newest_candles(spark: SparkSession, history: DataFrame, root: str, before: int | None = None) -> DataFrame:
-    """The candles as the batches (before one, if given) left them, and those of history that no batch touched."""
+def newest_candles(spark: SparkSession, history: DataFrame | None, root: str) -> DataFrame:
+    """The candles as the stream left them below root, and those of history that no trade touched."""
+    live = current_candles(changes_below(spark, root)).select(*CANDLE)
     keys = ["window_start", *KEY]
-    live = newest_of(spark, f"{root}/candles", _CANDLES, keys, before).select(*CANDLE)
-    return live.unionByName(history.select(*CANDLE).join(live.select(*keys), keys, "left_anti"))
+    return live if history is None else live.unionByName(history.select(*CANDLE).join(live.select(*keys), keys, "left_anti"))
+
+
+def newest_indicators(spark: SparkSession, root: str) -> DataFrame:
+    """The indicators that the stream below root refreshed last for each series."""
+    return current_indicators(changes_below(spark, root))
+
+
+def closing_trade(spark: SparkSession, at: int, watermark: int = 60) -> DataFrame:
+    """One trade of no series that there is, so late (at, in seconds, is the end of the last window) that the watermark passes all others: the final flush."""
+    return spark.createDataFrame([(CLOSING, CLOSING, 0.0, 0.0, datetime.fromtimestamp(at + watermark + 1, timezone.utc), False, -1)], TRADE_SCHEMA)
+
+
+#: Exchange and symbol of the trade that closes a stream; its own bar is never sent, since nothing comes after it.
+CLOSING = "_closing"
 
 
 def late_stream(trades: DataFrame, root: str, checkpoint: str, interval: int, delay: int, time_col: str = "ts") -> DataStreamWriter:
@@ -187,10 +138,8 @@ def late_stream(trades: DataFrame, root: str, checkpoint: str, interval: int, de
 
 
 def newest_seen(spark: SparkSession, root: str, before: int) -> int | None:
-    """The newest time that the batches before one have seen."""
-    if before == 0:
-        return None
-    return spark.read.schema("newest long, batch long").parquet(f"{root}/newest").where(F.col("batch") < before).agg(F.max("newest")).first()[0]
+    """The newest time that the batches before one have seen: the last of them wrote it down."""
+    return spark.read.schema("newest long").parquet(f"{root}/newest/batch={before - 1}").first()[0] if before else None
 
 
 def late_counts(spark: SparkSession, root: str) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,7 +350,7 @@ def test_streams(spark, make, tmp_path):
 
 def test_stream_fill_has_a_timer_and_blocks(spark, make, tmp_path, monkeypatch):
     """A silent series gets empty bars up to the watermark; a hole longer than a block is filled whole; state goes over batches."""
-    monkeypatch.setattr(ST, "FILL_ROWS", 7)
+    monkeypatch.setattr("marketbars.streaming.state.FILL_ROWS", 7)
     path, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
     parts = [[bar(0, 1.0, "e/a"), bar(0, 2.0, "e/b"), bar(300, 3.0, "e/a")], [bar(6000, 4.0, "e/a")], [bar(6600, 5.0, "e/a"), bar(6900, 6.0, "e/c")]]
     for k, rows in enumerate(parts):
@@ -389,12 +390,12 @@ def test_live_candle_stream(spark, tmp_path):
     for low, high in ((600, 750), (750, 900)):
         trades.where(f"trade_id >= {low} AND trade_id < {high} AND symbol <> 's2'").coalesce(1).write.mode("append").parquet(live)
         stream = spark.readStream.schema(TRADE_SCHEMA).parquet(live)
-        ST.live_candle_stream(stream, history, f"file://{tmp_path}/out", f"file://{tmp_path}/c", 600, lambda c: M.candle_indicators(c, 600)).start().awaitTermination()
+        ST.live_candle_stream(stream, history, f"file://{tmp_path}/out", f"file://{tmp_path}/c", 600).start().awaitTermination()
     expected = B.trades_to_bars(trades.where("trade_id < 600 OR symbol <> 's2'"), 600)
     keys = ("symbol", "window_start", "open", "high", "low", "close", "trade_count")
     got = ST.newest_candles(spark, history, f"file://{tmp_path}/out")
     assert values(got, *keys) == values(expected, *keys)
-    fresh = spark.read.parquet(f"file://{tmp_path}/out/refreshed").where("batch = 1")
+    fresh = ST.newest_indicators(spark, f"file://{tmp_path}/out")
     whole = {r.symbol: r for r in M.indicators(expected, 600, complete=False).collect()}
     assert {r.symbol for r in fresh.collect()} == {"s0", "s1"} and all(r.rsi == whole[r.symbol].rsi and r.regime == whole[r.symbol].regime for r in fresh.collect())
 
@@ -403,3 +404,139 @@ def _written(batch, tmp_path) -> str:
     path = f"file://{tmp_path}/batch"
     batch.select(*BARS_SCHEMA.fieldNames()).coalesce(1).write.parquet(path)
     return path
+
+
+# --- streams with state
+
+
+def _arrive(spark, tmp_path, rows, schema, start) -> None:
+    """Rows come as one more file of the stream's input; the stream goes on from its checkpoint and takes them."""
+    from marketbars.streaming.state import rocksdb
+
+    path = f"file://{tmp_path}/in"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    with rocksdb(spark):
+        q = start(spark.readStream.schema(schema).parquet(path)).start()
+    q.awaitTermination()
+
+
+def _out(rows, tmp_path):
+    return rows.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True)
+
+
+def test_stream_fill_takes_disorder(spark, tmp_path):
+    """Hours 0, 1, then 5, then 3, then 7: without a timer hour 3 is too late; each bucket comes once and the state never goes back."""
+    from marketbars.streaming.state import stream_fill
+
+    for hours in ((0, 1), (5,), (3, 5), (7,)):
+        rows = [tuple(r) for h in hours for r in [(at(3600 * h), "e", "s", *[float(h)] * 4, 1.0, 1.0, 1, float(h), 0.0, 0.0, 0.0, "live")]]
+        _arrive(spark, tmp_path, rows, BARS_SCHEMA, lambda s: _out(stream_fill(s, 3600), tmp_path))
+    got = spark.read.schema(BARS_SCHEMA).parquet(f"file://{tmp_path}/out")
+    closes = [0.0, 1.0, 1.0, 1.0, 1.0, 5.0, 5.0, 7.0]
+    assert values(got, "window_start", "close", "source") == [(at(3600 * h), c, "live" if h in (0, 1, 5, 7) else "empty") for h, c in enumerate(closes)]
+
+
+def test_stream_fill_waits_for_the_watermark(spark, tmp_path):
+    """With a timer a hole stays open until the watermark passes it: late and repeated bars within it come once, in any order and in pieces."""
+    from marketbars.streaming.state import stream_fill
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        for hours in ((2, 0, 2, 9, 6, 0), (4, 3, 4, 8), (1, 2), (20,), (3, 7), (40,)):
+            rows = [(at(3600 * h), "e", "s", *[float(h)] * 4, 1.0, 1.0, 1, float(h), 0.0, 0.0, 0.0, "live") for h in hours]
+            _arrive(spark, tmp_path, rows, BARS_SCHEMA, lambda s: _out(stream_fill(s.withWatermark("window_start", "10 hours"), 3600, timer=True), tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = values(spark.read.schema(BARS_SCHEMA).parquet(f"file://{tmp_path}/out"), "window_start", "close", "source")
+    real = [0, 1, 2, 3, 4, 6, 8, 9, 20, 40]  # 7 comes when the watermark is at 10
+    want = [(at(3600 * h), float(max(r for r in real if r <= h)), "live" if h in real else "empty") for h in range(30)] + [(at(3600 * 40), 40.0, "live")]
+    assert got == want
+
+
+def test_runs_of_buckets_equal_sets():
+    from marketbars.streaming.state import Runs
+
+    rnd = random.Random(4)
+    for _ in range(200):
+        runs, seen = Runs(10, [], [], []), {}
+        for _ in range(rnd.randint(1, 6)):
+            t = np.array(sorted(rnd.sample(range(0, 400, 10), rnd.randint(1, 8))))
+            new = runs.new(t)
+            assert new.tolist() == [x not in seen for x in t.tolist()]
+            runs.add(t[new], t[new] / 2)
+            seen |= dict.fromkeys(t.tolist())
+        inside = [x for a, b in zip(runs.first, runs.last, strict=True) for x in range(a, b + 10, 10)]
+        assert inside == sorted(seen) and (runs.close == runs.last / 2).all() and (runs.first[1:] > runs.last[:-1] + 10).all()
+
+
+def test_late_trades_correct_their_bars(spark, tmp_path):
+    """Trades in random order over batches: changes add up to the bars of all trades; beyond the kept bars they are counted."""
+    rnd = random.Random(6)
+    rows = [("e", f"s{i % 2}", round(rnd.uniform(1, 9), 2), round(rnd.uniform(0.5, 2), 2), at(i * 20), False, i) for i in range(400)]
+    rows += [(*rows[5][:2], 3.0, 1.0, rows[5][4], False, 1000)]  # a tie in time, decided by the id
+    rnd.shuffle(rows)
+    for k in range(4):
+        _arrive(spark, tmp_path, rows[k::4], TRADE_SCHEMA, lambda s: ST.live_candle_stream(s, None, f"file://{tmp_path}/out", f"file://{tmp_path}/c", 60, keep=10_000))
+    changes, keys = ST.changes_below(spark, f"file://{tmp_path}/out"), ("symbol", "window_start", "open", "high", "low", "close", "trade_count")
+    whole = B.trades_to_bars(spark.createDataFrame(rows, TRADE_SCHEMA), 60)
+    assert values(ST.current_candles(changes), *keys) == values(whole, *keys)
+    sign = F.when(F.col("kind") == "retract", -1).otherwise(1)
+    left = changes.where("kind IN ('insert', 'retract', 'replace')").groupBy("symbol", "window_start").agg(F.sum(sign * F.col("trade_count")).alias("trade_count"), F.round(F.sum(sign * F.col("volume_base")), 6).alias("v"))
+    assert values(left, "symbol", "window_start", "trade_count", "v") == values(whole.withColumn("v", F.round("volume_base", 6)), "symbol", "window_start", "trade_count", "v")
+    back, forth = (changes.where(F.col("kind") == k) for k in ("retract", "replace"))
+    assert back.count() == forth.count() > 0 and back.join(forth.withColumn("revision", F.col("revision") - 1), ["symbol", "window_start", "revision"]).count() == back.count()
+
+
+def test_trades_beyond_the_kept_candles_are_counted(spark, tmp_path):
+    start = lambda s: ST.live_candle_stream(s, None, f"file://{tmp_path}/out", f"file://{tmp_path}/c", 60, keep=3)
+    trade = lambda t, n: ("e", "s", 1.0 + n, 1.0, at(t), False, n)
+    _arrive(spark, tmp_path, [trade(60 * i, i) for i in range(10)], TRADE_SCHEMA, start)
+    _arrive(spark, tmp_path, [trade(100, 20), trade(419, 21), trade(420, 22), trade(630, 23)], TRADE_SCHEMA, start)
+    changes = ST.changes_below(spark, f"file://{tmp_path}/out")
+    assert values(changes.where("kind = 'late'"), "symbol", "trade_count", "seconds_late") == [("s", 2, 320)]
+    assert values(ST.current_candles(changes).where("trade_count > 1 OR window_start >= timestamp'2024-01-01 00:10:00'"), "window_start", "close", "trade_count") == [(at(420), 23.0, 2), (at(600), 24.0, 1)]
+
+
+def test_live_candles_read_history_once(spark, tmp_path):
+    """A batch's plan scans what arrives; the history's scan belongs to the first batch, and state holds the rest."""
+    rnd = random.Random(8)
+    trades = [("e", "s", rnd.uniform(1, 9), 1.0, at(i * 60), False, i) for i in range(900)]
+    history = B.trades_to_bars(spark.createDataFrame(trades[:600], TRADE_SCHEMA), 60)
+    history.write.parquet(f"file://{tmp_path}/history")
+    stored = spark.read.parquet(f"file://{tmp_path}/history")
+    start = lambda s: ST.live_candle_stream(s, stored, f"file://{tmp_path}/out", f"file://{tmp_path}/c", 60, keep=5)
+    _arrive(spark, tmp_path, trades[600:700], TRADE_SCHEMA, start)
+    for p in (tmp_path / "history").glob("*.parquet"):
+        p.unlink()  # later batches go on without it
+    _arrive(spark, tmp_path, trades[700:], TRADE_SCHEMA, start)
+    fresh = ST.newest_indicators(spark, f"file://{tmp_path}/out").first()
+    whole = M.indicators(B.trades_to_bars(spark.createDataFrame(trades, TRADE_SCHEMA), 60), 60, limit=900, complete=False).first()
+    assert fresh.asDict() == whole.asDict()
+
+
+def test_disconnects_of_a_stream_are_paired(spark, tmp_path):
+    """Over midnight, out of order, answered, answered too late and unanswered."""
+    from marketbars.streaming.state import disconnect_gap_stream
+
+    schema, day = "exchange string, event string, ts timestamp", 86400
+    batches = [
+        [("a", "reconnect", at(day + 30)), ("a", "disconnect", at(day - 20)), ("b", "disconnect", at(100)), ("b", "disconnect", at(150)), ("b", "reconnect", at(90))],
+        [("b", "reconnect", at(day + 9000)), ("a", "disconnect", at(day + 20)), ("c", "disconnect", at(day + 500)), ("c", "reconnect", at(day + 500)), ("a", "connect", at(day))],
+        [("z", "reconnect", at(9 * day))],
+    ]
+    for rows in batches:
+        _arrive(spark, tmp_path, rows, spark.createDataFrame([], schema).schema, lambda s: _out(disconnect_gap_stream(s.withWatermark("ts", "2 days"), 600.0), tmp_path))
+    got = spark.read.schema("exchange string, gap_start timestamp, gap_end timestamp, gap_seconds double").parquet(f"file://{tmp_path}/out")
+    want = {("a", at(day - 20), at(day + 30), 50.0), ("a", at(day + 20), at(day + 30), 10.0), ("b", at(100), None, None), ("b", at(150), None, None), ("c", at(day + 500), at(day + 500), 0.0)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 5
+
+
+def test_the_sink_is_flushed_by_a_closing_trade(spark, tmp_path):
+    rows = [("e", "s", 1.0, 1.0, at(i * 45), False, i) for i in range(20)]
+    start = lambda s: ST.sink(ST.stream_bars(s, {}, 60), f"file://{tmp_path}/lake", f"file://{tmp_path}/c", every=None)
+    _arrive(spark, tmp_path, rows[:11], TRADE_SCHEMA, start)
+    _arrive(spark, tmp_path, rows[11:], TRADE_SCHEMA, start)
+    before = L.read_bars(spark, f"file://{tmp_path}/lake").count()
+    _arrive(spark, tmp_path, [tuple(r) for r in ST.closing_trade(spark, int((at(20 * 45) - datetime(1970, 1, 1)).total_seconds()) + 60).collect()], TRADE_SCHEMA, start)
+    whole, bars = B.trades_to_bars(spark.createDataFrame(rows, TRADE_SCHEMA), 60), L.read_bars(spark, f"file://{tmp_path}/lake")
+    assert before < whole.count() and values(bars, "window_start", "trade_count") == values(whole, "window_start", "trade_count")
