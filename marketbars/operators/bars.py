@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.columns import bucket, safe_ratio
-from ..schema import KEY
+from ..schema import BARS_SCHEMA, KEY
+
+BARS = BARS_SCHEMA.fieldNames()
 
 
 def ohlcv(price: Column, qty: Column, order: Column, source: str = "live") -> list[Column]:
@@ -39,41 +41,51 @@ def _days(df: DataFrame, order: str, *what: Column) -> DataFrame:
     return df.groupBy(*KEY, F.to_date(order).alias("day")).agg(*what)
 
 
+def reusable(df: DataFrame) -> DataFrame:
+    """df for several uses in one plan: a filter that is always true and names all columns, so that what is below is the same for all of them.
+
+    Each use would otherwise drop the columns that it has no need of, and equal exchanges would differ and run again. For
+    rows that an aggregation or a join has made; a stored table is better read by each use with its own columns.
+    """
+    return df.where(F.xxhash64(*df.columns) >= F.lit(-(1 << 63)))
+
+
 def fill_empty_bars(bars: DataFrame, interval: int | Column) -> DataFrame:
     """A bar for every bucket between the first and last bar of a series; missing ones carry the last close, with source `empty`.
 
-    A bar makes the buckets up to the next bar of its series itself, so nothing is joined. Order is taken inside each
-    day; holes over midnight come from one row a day. A long hole is made in blocks of at most a day, which bounds the
-    arrays.
+    A bar makes the buckets up to the next bar of its series itself, so that real and empty bars come from one pass. Order
+    is taken inside each day; a mark (one for each series and day) stands at its end for the first bar of the next one. A
+    long hole is made in blocks of at most a day, which bounds the arrays.
     """
     width = F.lit(interval) if isinstance(interval, int) else interval
-    rows = bars.select(*KEY, "window_start", "close", width.alias("w"), F.to_date("window_start").alias("day"))
-    inside = rows.select(*KEY, "window_start", "close", "w", F.lead("window_start").over(W.partitionBy(*KEY, "day").orderBy("window_start")).alias("next"))
-    ends = _days(rows, "window_start", F.min("window_start").alias("first"), F.max("window_start").alias("window_start"), F.max_by("close", "window_start").alias("close"), F.max_by("w", "window_start").alias("w"))
-    across = ends.select(*KEY, "window_start", "close", "w", F.lead("first").over(W.partitionBy(*KEY).orderBy("day")).alias("next"))
-    t, until = F.unix_seconds("window_start"), F.unix_seconds("next")
-    holes = inside.unionByName(across).where(until - t > F.col("w"))
-    day = F.greatest(F.lit(86400), F.col("w"))
-    first, last = t + F.col("w"), until - F.col("w")
-    blocks = holes.select("exchange", "symbol", "close", "w", last.alias("last"), day.alias("d"), F.explode(F.sequence(first, last, F.floor(day / F.col("w")) * F.col("w"))).alias("from"))
-    each = blocks.select("*", F.explode(F.sequence(F.col("from"), F.least(F.col("last"), F.col("from") + (F.floor(F.col("d") / F.col("w")) - 1) * F.col("w")), F.col("w"))).alias("at"))
-    c, zero = F.col("close"), F.lit(0.0)
-    empty = each.select(
-        F.timestamp_seconds("at").alias("window_start"), "exchange", "symbol", *[c.alias(x) for x in ("open", "high", "low", "close")],
-        zero.alias("volume_base"), zero.alias("volume_quote"), F.lit(0).cast("long").alias("trade_count"), c.alias("vwap"),
-        zero.alias("bid"), zero.alias("ask"), zero.alias("spread"), F.lit("empty").alias("source"),
-    )
-    return bars.select(*empty.columns).unionByName(empty)
+    rows = bars.select(*BARS, width.alias("w"), F.to_date("window_start").alias("day"), F.lit(False).alias("mark"))
+    starts = _days(bars, "window_start", F.min("window_start").alias("first"))
+    marks = starts.select(*KEY, "day", F.lead("first").over(W.partitionBy(*KEY).orderBy("day")).alias("window_start"), F.lit(True).alias("mark")).where("window_start IS NOT NULL")
+    inside = F.lead("window_start").over(W.partitionBy(*KEY, "day").orderBy("window_start"))
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("next", inside).where("NOT mark")
+    t, w = F.unix_seconds("window_start"), F.col("w")
+    # n buckets follow the bar (number 0), in blocks of `per`
+    missing = F.coalesce(F.greatest(F.ceil((F.unix_seconds("next") - t) / w) - 1, F.lit(0)), F.lit(0)).cast("long")
+    per = F.greatest(F.floor(F.lit(86400) / w), F.lit(1)).cast("long")
+    blocks = both.withColumns({"n": missing, "per": per}).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / F.col("per")))))
+    each = blocks.withColumn("i", F.explode(F.sequence(F.col("k") * F.col("per"), F.least(F.col("n"), (F.col("k") + 1) * F.col("per") - 1))))
+    real, close, zero = F.col("i") == 0, F.col("close"), F.lit(0.0)
+    made = {"window_start": F.timestamp_seconds(t + F.col("i") * w), "source": F.lit("empty"), "trade_count": F.lit(0).cast("long")} | dict.fromkeys(("open", "high", "low", "vwap"), close) | dict.fromkeys(("volume_base", "volume_quote", "bid", "ask", "spread"), zero)
+    return each.select(*[F.when(real, F.col(c)).otherwise(made[c]).alias(c) if c in made else c for c in BARS])
 
 
 def carry_forward(df: DataFrame, column: str, order: str = "window_start") -> DataFrame:
-    """column with nulls replaced by the last value before them in the series: of the same day, or of the last day that has one."""
+    """column with nulls replaced by the last value before them in the series: of the same day, or of the last day that has one.
+
+    A mark (one for each series and day) stands before the day's rows with the value that earlier days have left.
+    """
     down = W.unboundedPreceding
     ends = _days(df, order, F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_last"))
-    before = ends.select(*KEY, F.col("day").alias("_day"), F.last("_last", ignorenulls=True).over(W.partitionBy(*KEY).orderBy("day").rowsBetween(down, -1)).alias("_before"))
-    rows = df.withColumn("_day", F.to_date(order)).join(before, [*KEY, "_day"], "left")
-    inside = F.last(column, ignorenulls=True).over(W.partitionBy(*KEY, "_day").orderBy(order).rowsBetween(down, 0))
-    return rows.withColumn(column, F.coalesce(inside, "_before")).select(*df.columns)
+    left = F.last("_last", ignorenulls=True).over(W.partitionBy(*KEY).orderBy("day").rowsBetween(down, -1))
+    marks = ends.select(*KEY, F.col("day").alias("_day"), left.alias(column), F.lit(0).alias("_row")).where(F.col(column).isNotNull())
+    rows = df.withColumns({"_day": F.to_date(order), "_row": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    inside = F.last(column, ignorenulls=True).over(W.partitionBy(*KEY, "_day").orderBy("_row", order).rowsBetween(down, 0))
+    return rows.withColumn(column, inside).where("_row = 1").select(*df.columns)
 
 
 def resample_bars(bars: DataFrame, seconds: int, by_exchange: bool = True) -> DataFrame:

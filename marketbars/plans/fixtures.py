@@ -28,7 +28,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, interval: int = HOUR) -> DataFrame:
-    return B.trades_to_bars(trades(spark, sf_dir), interval)
+    return B.reusable(B.trades_to_bars(trades(spark, sf_dir), interval))
 
 
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,18 +62,20 @@ def parse_kraken_trades(raw: DataFrame) -> DataFrame:
 
 
 #: The fields of the stored records of all exchanges, as text.
-RECORD = ", ".join(f"{x} string" for x in ("_exchange", "_channel", "s", "p", "q", "T", "m", "type", "product_id", "symbol", "price", "size", "qty", "side", "time", "timestamp"))
+RECORD = ("_exchange", "_channel", "s", "p", "q", "T", "m", "type", "product_id", "symbol", "price", "size", "qty", "side", "time", "timestamp")
 
 
 def normalise_trades(raw: DataFrame) -> DataFrame:
-    """Trades from stored lines of all exchanges (inner record with `_exchange`): one scan, each line parsed once."""
-    j = F.from_json("value", RECORD).alias("j")
-    f = lambda k: F.col(f"j.{k}")
+    """Trades from stored lines of all exchanges (inner record with `_exchange`): one scan, each line parsed once.
+
+    json_tuple makes all fields in one parse; the optimiser would copy a from_json into each expression that uses it.
+    """
+    f = lambda k: F.col(f"_{k}")
     own, by = f("_exchange"), lambda b, c, k: F.when(f("_exchange") == "binance", b).when(f("_exchange") == "coinbase", c).when(f("_exchange") == "kraken", k)
     fits = (own == "binance") | ((own == "coinbase") & f("type").isin("match", "last_match")) | ((own == "kraken") & (f("_channel") == "trade"))
     ms = by(f("T").try_cast("long"), *[iso_to_epoch_ms(f(k), F.unix_millis(F.current_timestamp())) for k in ("time", "timestamp")])
     sold = f("side") == "sell"
-    rows = raw.select(j).where(fits).select(
+    rows = raw.select(F.json_tuple("value", *RECORD).alias(*[f"_{k}" for k in RECORD])).where(fits).select(
         own.alias("exchange"), by(F.upper(f("s")), f("product_id"), safe_symbol(f("symbol"))).alias("symbol"), _number(by(f("p"), f("price"), f("price"))).alias("price"),
         _number(by(f("q"), f("size"), f("qty"))).alias("qty"), F.timestamp_millis(ms).alias("ts"), by(f("m").try_cast("boolean"), sold, sold).alias("is_buyer_maker"))
     named = F.col("exchange") == "binance"
