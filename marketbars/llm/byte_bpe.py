@@ -39,6 +39,7 @@ VOCABULARY_MOST = 4_000_000
 BUCKET, TRIES = 4, 64
 _SEED = 42
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_ALL, _PLACE = (1 << 64) - 1, (1 << 40) - 1
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -98,6 +99,7 @@ class PerfectHash:
             free[place] = False
             self.number[place] = own
         self.keys = [keys[i] for i in self.number.tolist()]
+        self.shifts, self.numbers = self.shift.tolist(), self.number.tolist()  # for single keys
 
     def _fit(self, h: np.ndarray, free: np.ndarray) -> tuple[int, np.ndarray]:
         """The first displacement that sends the keys of a bucket to different free places."""
@@ -123,37 +125,61 @@ class PerfectHash:
         return [number if stored == k else -1 for k, stored, number in zip(keys, map(self.keys.__getitem__, place.tolist()), self.number[place].tolist(), strict=True)]
 
 
-def merged(ids: list[int], rank_of) -> list[int]:
+    def find_one(self, key: bytes) -> int:
+        """find() of one key, in plain numbers."""
+        h = xxhash.xxh64_intdigest(key, _SEED)
+        place = self.shifts[(h >> 32) % self.buckets]
+        if place < 0:
+            place = -1 - place
+        else:
+            x = h ^ (place * int(_STEP) & _ALL)
+            x = (x ^ x >> 30) * int(_MIX) & _ALL
+            place = (x ^ x >> 27) % self.n
+        return self.numbers[place] if self.keys[place] == key else -1
+
+
+class Ranks(dict):
+    """(id, id) -> the id of the two joined, or -1: looked up in the vocabulary's hash when first asked for, forgotten when there are many."""
+
+    def __init__(self, tokens: PerfectHash, vocabulary: list[bytes]):
+        super().__init__()
+        self.tokens, self.vocabulary = tokens, vocabulary
+
+    def __missing__(self, pair: tuple[int, int]) -> int:
+        if len(self) >= PAIRS_SIZE:
+            self.clear()
+        found = self[pair] = self.tokens.find_one(self.vocabulary[pair[0]] + self.vocabulary[pair[1]])
+        return found
+
+
+def merged(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
     """Tier two: the pair of neighbours with the lowest rank, the first of equals, is joined until there is none.
 
-    ids: those of the single bytes. rank_of(left, right) gives the id of two joined parts, or -1. An entry of the heap
-    that a join has overtaken is told by its ids.
+    ids: those of the single bytes, which are overwritten. ranks gives the id of two joined parts, or -1. An entry of the
+    heap (rank and place in one number) that a join has overtaken is told by the rank of what stands there now.
     """
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        r = rank_of(ids[i], ids[i + 1])
-        if r >= 0:
-            heap.append((r, i, ids[i], ids[i + 1]))
+    heap = [r << 40 | i for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (r := ranks[pair]) >= 0]
     heapq.heapify(heap)
     while heap:
-        r, i, left, right = heapq.heappop(heap)
+        x = heapq.heappop(heap)
+        r, i = x >> 40, x & _PLACE
         j = after[i]
-        if ids[i] != left or j >= n or ids[j] != right:
+        if j >= n or ids[i] < 0 or ranks[ids[i], ids[j]] != r:
             continue
         ids[i], ids[j] = r, -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            q = rank_of(r, ids[k])
+            q = ranks[r, ids[k]]
             if q >= 0:
-                heapq.heappush(heap, (q, i, r, ids[k]))
+                heapq.heappush(heap, q << 40 | i)
         k = before[i]
         if k >= 0:
-            q = rank_of(ids[k], r)
+            q = ranks[ids[k], r]
             if q >= 0:
-                heapq.heappush(heap, (q, k, ids[k], r))
+                heapq.heappush(heap, q << 40 | k)
     return [x for x in ids if x >= 0]
 
 
@@ -165,18 +191,10 @@ class PreTokenTable:
         self.find_all = regex.compile(pattern).findall
         self.single = dict(zip(range(256), tokens.find([bytes([b]) for b in range(256)]), strict=True))
         self.table: dict[str, tuple[int, str, bytes]] = {}
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def rank_of(self, left: int, right: int) -> int:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= PAIRS_SIZE:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.hash.find([self.vocabulary[left] + self.vocabulary[right]])[0]
-        return found
+        self.ranks = Ranks(tokens, vocabulary)
 
     def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
-        return [[x] if x >= 0 else merged([self.single[b] for b in p], self.rank_of) for p, x in zip(pieces, self.hash.find(pieces), strict=True)]
+        return [[x] if x >= 0 else merged([self.single[b] for b in p], self.ranks) for p, x in zip(pieces, self.hash.find(pieces), strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))

@@ -125,6 +125,11 @@ def _bpe(a_file: str) -> tuple[list[bytes], list[tuple[int, int]]]:
     return [bytes(signs[c] for c in t) for t in tokens], merges
 
 
+class _Listed(dict):
+    def __missing__(self, pair: tuple[int, int]) -> int:
+        return -1
+
+
 @lru_cache(maxsize=4)
 def check_merges(a_file: str) -> None:
     """Raises unless merging by rank over joined bytes is the same as merging by the list.
@@ -133,11 +138,10 @@ def check_merges(a_file: str) -> None:
     merged by the list, would end in the two parts. If all tokens merge to themselves, there is no such join.
     """
     tokens, merges = _bpe(a_file)
-    made = {pair: 256 + k for k, pair in enumerate(merges)}
+    made = _Listed((pair, 256 + k) for k, pair in enumerate(merges))
     single = {t[0]: i for i, t in enumerate(tokens) if len(t) == 1}
-    rank = lambda left, right: made.get((left, right), -1)
     wrong = len(made) != len(merges) or len(single) != 256 or any(tokens[x] + tokens[y] != tokens[i] for (x, y), i in made.items())
-    if wrong or any(merged([single[b] for b in t], rank) != [i] for i, t in enumerate(tokens)):
+    if wrong or any(merged([single[b] for b in t], made) != [i] for i, t in enumerate(tokens)):
         raise ValueError("the merges of this file are not those of ranks")
 
 

@@ -128,7 +128,7 @@ def test_perfect_hash_is_minimal():
     for keys in ([b"a"], [bytes([i]) for i in range(256)], byte_bpe.read_ranks(RANKS)):
         h = byte_bpe.PerfectHash(keys)
         assert sorted(h.number.tolist()) == list(range(len(keys))) and h.find(keys) == list(range(len(keys)))
-        assert h.find([b"no such key", b""]) == [-1, -1]
+        assert h.find([b"no such key", b""]) == [-1, -1] == [h.find_one(b"no such key"), h.find_one(b"")] and [h.find_one(k) for k in keys] == list(range(len(keys)))
     assert h.find([]) == []
 
 
