@@ -2,13 +2,13 @@
 
 Texts become templates: numbers, names (title-case words inside a sentence; a run of them is one) and units turn into
 typed placeholders, other words are lower-cased, punctuation goes. A title-case word that begins a sentence can be a
-word or a name of its own: both readings are indexed. Scripts without blanks give a token for each character. Windows of
+word (or unit) or a name of its own: both readings are indexed. Units are units in capitals, too. Scripts without blanks give a token for each character. Windows of
 `width` template tokens are hashed and joined with the benchmark's windows; those with words in less than half of the
-places, where a template can't decide, by their values, so that they match exact copies only. A matched window counts if
-its slots are consistent: the values of the item and those of the document stand for each other one to one, so a
-question asked again with other numbers and names is caught, a chance likeness of templates isn't. A document leaks an
-item when the counted windows cover `share` of the item or a run of `run` of its tokens, and the slots are one to one
-over all of them, without any tolerance. This is asked of each occurrence: the windows at one offset of document and
+places, where a template can't decide, by their values, so that they match exact copies only. A document leaks an item
+when the matched windows cover `share` of the item or a run of `run` of its tokens, and their slots are consistent: over
+all of them the values of the item and those of the document stand for each other one to one, without any tolerance. So a
+question asked again with other numbers and names is caught, a chance likeness of templates isn't; a window that
+contradicts itself counts against its occurrence like any other. This is asked of each occurrence: the windows at one offset of document and
 item, those at neighbouring offsets (words were put in or left out), and all of the document (pieces of an item far
 apart); so a copy and its variants don't hide each other.
 
@@ -50,7 +50,7 @@ SEPARATORS = ".!?\n。！？:;\"“”«»("
 TOKEN = re.compile(rf"[^\W\d_{UNSPACED}]+|[{SEPARATORS}]+|[0-9]+(?:[.,][0-9]+)*|(?=[{UNSPACED}])[^\W\d_]|[%$€£¥°]")
 #: Words and signs that follow or precede amounts.
 UNITS = frozenset("% $ € £ ¥ ° mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr mph kmh usd eur gbp dollars euros pounds cents meters metres kilometers kilometres miles inches feet grams kilograms seconds minutes hours days weeks months years".split())
-NUM, NAME, UNIT, SEP = 2, 4, 6, 0  # even codes under 8; words are odd-shifted above
+NUM, NAME, UNIT, SEP = 2, 4, 6, 0  # even codes under 8, words above; one more for title case
 
 
 def _word(low: str) -> int:
@@ -66,12 +66,8 @@ class _Codes(dict):
             c = SEP
         elif t[0].isdecimal():
             c = NUM
-        elif low in UNITS and not t[:1].isupper():
-            c = UNIT
         else:
-            c = _word(low)
-            if t[0].isupper() and t != t.upper():
-                c |= 1
+            c = (UNIT if low in UNITS else _word(low)) | (t[0].isupper() and t != t.upper())
         if len(self) > CACHE:
             self.clear()
         self[t] = c
@@ -94,7 +90,7 @@ class Tokens:
         n = len(self.tokens)
         self.text = np.repeat(np.arange(len(texts)), np.diff(sizes, prepend=0))
         c = np.fromiter(map(known.__getitem__, self.tokens), np.int64, n)
-        title, plain, sep = (c & 1 == 1) & (c > 8), c & ~1, c == SEP
+        title, plain, sep = c & 1 == 1, c & ~1, c == SEP
         first = np.concatenate([[True], sep[:-1]])
         self.sentence, self.begins = np.cumsum(sep), title & first
         self.codes, self.at = [], []
@@ -269,7 +265,8 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
         hits = ours.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("salt")
     one_to_one = lambda p: (F.size(F.array_distinct(F.transform(p, lambda x: x["a"]))) == F.size(p)) & (F.size(F.array_distinct(F.transform(p, lambda x: x["b"]))) == F.size(p))
     pairs = F.array_distinct(F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    hits = hits.where(F.size("slots") == F.size("theirs")).withColumn("pairs", pairs).where(one_to_one("pairs"))
+    # a window that contradicts itself counts, too: against its occurrence
+    hits = hits.where(F.size("slots") == F.size("theirs")).withColumn("pairs", pairs)
     # occurrences: one offset, offsets with no wider step than a fraction of the item, the whole document
     key = ["rid", "doc_id", "item_rid", "item_id", "reading"]
     order = W.partitionBy(*key).orderBy("offset")

@@ -459,12 +459,12 @@ def brute_views(text: str) -> list[list[tuple]]:
                 sentence, first, after_name = sentence + 1, True, False
                 continue
             title = x[0].isupper() and x != x.upper()
-            if x[0].isdecimal():
+            if title and (names_begin or not first):
+                kind = "<name>"
+            elif x[0].isdecimal():
                 kind = "<num>"
-            elif low in D.UNITS and not x[0].isupper():
-                kind = "<unit>"
             else:
-                kind = "<name>" if title and (names_begin or not first) else low
+                kind = "<unit>" if low in D.UNITS else low
             if kind == "<name>" and after_name:
                 view[-1][1] += " " + low
             else:
@@ -511,7 +511,7 @@ def brute_leaks(docs: list[str], items: list[str], width: int = 8, share: float
                             if x == y and sum(v[0].startswith("<") for v in view[j : j + w]) == sum(v[0].startswith("<") for v in theirs[i : i + w]):
                                 hits.append((place - j, j, pairs))
                 one = lambda p: len({a for a, _ in p}) == len({b for _, b in p}) == len(p)
-                hits = sorted((h for h in hits if one(h[2])), key=lambda h: h[:2])
+                hits.sort(key=lambda h: h[:2])
                 groups, band, last = {}, 0, None
                 for o, j, pairs in hits:
                     band += last is not None and o - last > max(2, len(view) / step)
@@ -571,6 +571,22 @@ def test_decontamination_slots_are_one_to_one(spark):
     assert got == {0: False, 3: True}
 
 
+def test_contradictions_count_wherever_they_stand(spark):
+    """A value that stands for two, near or far from each other, is never let through; capitals hide neither units nor contradictions."""
+    trip = "the train from the old town goes {} {} in {} {} and stops at every village on the way so how fast does the train go"
+    bags = "If {} carries three bags and {} drops one bag on the way to the market how many bags does {} carry at the end of the day"
+    two = "the first road is {} {} long and the other road by the river is {} {} long so how much longer is the way by the river"
+    items = [trip.format(120, "km", 2, "hours"), bags.format("Anna", "Anna", "Anna"), two.format(12, "km", 30, "km")]
+    texts = [
+        (trip.format(120, "km", 120, "hours"), None), (bags.format("Zoe", "Bert", "Bert"), None), (bags.format("Zoe", "Zoe", "Bert"), None), (two.format(12, "km", 30, "miles"), None), (two.format(9, "km", 9, "km"), None),
+        (trip.format(300, "miles", 5, "days"), 0), (trip.format(300, "km", 5, "hours").upper(), 0), (bags.format("Zoe", "Zoe", "Zoe"), 1), (two.format(40, "miles", 7, "miles"), 2), (two.format(40, "KM", 7, "KM"), 2), (two.format(40, "KM", 40, "KM"), None),
+        ("Miles " + trip.format(300, "km", 5, "hours"), 0),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.op9(rows, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert found == {(i, x) for i, (_, x) in enumerate(texts) if x is not None} == brute_leaks([t for t, _ in texts], items)
+
+
 def test_decontaminate_drops_rows_not_ids(spark):
     """A leaking row goes even with a null id; a clean row stays even if a leaking one has its id."""
     clean = "a row that says nothing of the kind and may stay"
