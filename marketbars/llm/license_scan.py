@@ -1,11 +1,11 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of their word bigrams.
 
 Text is normalised to lower-case words of letters and digits, so line breaks, blank lines and comment marks are gone. A
-template of L words is compared with windows of L words of the text (fewer at its end), wherever they stand. A window
-begins where a run of the template's bigrams begins, and at each occurrence of the template's first bigram: an embedded
-notice begins with one of these, whatever was put in, left out or changed behind. With threshold t, a template of b
-distinct bigrams can only match a window of b*t/(2-t) to b*(2-t)/t of them, b*t/(2-t) of which are its own: templates
-without that many of their bigrams in the text get no window, windows outside the bounds no comparison. The templates
+template of L words is compared with windows of L words of the text (fewer at its end), wherever they stand. With threshold t, a template
+of b distinct bigrams can only match a window of b*t/(2-t) to b*(2-t)/t of them, b*t/(2-t) of which are its own: templates
+without that many of their bigrams in the text get no window, windows without that many places that hold one are not
+looked at, and windows outside the bounds get no comparison. These bounds are proven, so the matches are those of the
+Dice coefficient over every window, whatever was put in, left out or changed. The templates
 are a fixed list inside the plan: nothing is joined, broadcast or shuffled before the last count.
 
 Related licences share most of their words (BSD-2-Clause and BSD-3-Clause, the GPL family): all that reach the threshold
@@ -71,14 +71,17 @@ def license_hits(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thre
         b = sorted({f"{x} {y}" for x, y in zip(w, w[1:], strict=False)})
         everything.update(b)
         lo, hi = bounds(len(b), threshold)
-        rows.append(F.struct(F.lit(k).alias("id"), F.lit(len(w)).alias("words"), F.lit(len(b)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(f"{w[0]} {w[1]}").alias("first"), F.array(*map(F.lit, b)).alias("b")))
+        rows.append(F.struct(F.lit(k).alias("id"), F.lit(len(w)).alias("words"), F.lit(len(b)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*map(F.lit, b)).alias("b")))
     lowest = min(bounds(len(set(zip(w, w[1:], strict=False))), threshold)[0] for w in map(template_words, templates.values()))
     known, g = F.array(*rows), F.col("g")
     none = lambda kind: F.array().cast(f"array<{kind}>")
 
     def windows(t: Column) -> Column:
-        mine = lambda i: F.array_contains(t["b"], F.get(g, i))
-        starts = F.filter("at", lambda i: mine(i) & ((F.get(g, i) == t["first"]) | (i == 0) | ~mine(i - 1)))
+        own = F.filter("at", lambda i: F.array_contains(t["b"], F.get(g, i)))
+        # lo places of its own bigrams in a row have to fit into a window: it begins no later than the first of them
+        spans = lambda q: F.filter(F.transform(F.sequence(F.lit(0), F.size(q) - t["lo"]), lambda k: F.struct(F.get(q, k).alias("a"), F.get(q, k + t["lo"] - 1).alias("z"))), lambda s: s["z"] - s["a"] <= t["words"] - 2)
+        starts_of = lambda q: F.when(F.size(q) >= t["lo"], F.array_distinct(F.flatten(F.transform(spans(q), lambda s: F.sequence(F.greatest(F.lit(0), s["z"] - t["words"] + 2), s["a"]))))).otherwise(none("int"))
+        starts = F.flatten(F.transform(F.array(own), starts_of))  # named once, so that it is not made again for each place
         each = F.transform(starts, lambda i: F.struct(i.alias("i"), F.array_distinct(F.slice(g, i + 1, t["words"] - 1)).alias("d")))
         fit = F.filter(each, lambda x: F.size(x["d"]).between(t["lo"], t["hi"]))
         scored = F.transform(fit, lambda x: F.struct(t["id"].alias("license_id"), (2.0 * F.size(F.array_intersect(x["d"], t["b"])) / (F.size(x["d"]) + t["n"])).alias("dice"), x["i"].alias("first_word"), F.least(t["words"], F.size(g) + 1 - x["i"]).alias("n_words")))

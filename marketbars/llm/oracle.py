@@ -20,11 +20,12 @@ def op1_sql() -> str:
     return rf"""WITH tm(id, text) AS (VALUES {texts}),
     tw AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM tm),
     tb AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM tw)),
-    ts AS (SELECT id, len(w) AS words, w[1] || ' ' || w[2] AS first, (SELECT count(*) FROM tb WHERE tb.id = tw.id) AS n FROM tw),
+    ts AS (SELECT id, len(w) AS words, (SELECT count(*) FROM tb WHERE tb.id = tw.id) AS n FROM tw),
     d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
     g AS (SELECT rid, doc_id, i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) > 1)),
     h AS (SELECT rid, id, i, g FROM g JOIN tb USING (g)),
-    s AS (SELECT h.rid, h.id, h.i, words, n FROM h JOIN ts USING (id) LEFT JOIN h p ON p.rid = h.rid AND p.id = h.id AND p.i = h.i - 1 WHERE p.i IS NULL OR h.g = first),
+    c AS (SELECT rid, id, words, n FROM h JOIN ts USING (id) GROUP BY ALL HAVING 2.0 * count(DISTINCT g) / (count(DISTINCT g) + n) >= 0.8),
+    s AS (SELECT DISTINCT rid, id, words, n, unnest(range(greatest(1, i - words + 2), i + 1)) AS i FROM h JOIN c USING (rid, id)),
     x AS (SELECT s.rid, s.id, s.i, any_value(doc_id) AS doc_id, 2.0 * count(DISTINCT tb.g) / (count(DISTINCT g.g) + any_value(n)) AS dice
       FROM s JOIN g ON g.rid = s.rid AND g.i BETWEEN s.i AND s.i + words - 2 LEFT JOIN tb ON tb.id = s.id AND tb.g = g.g GROUP BY 1, 2, 3)
     SELECT doc_id, id AS license_id, round(max(dice), 6) AS dice, count(*) AS n_windows FROM x WHERE dice >= 0.8 GROUP BY 1, 2"""

@@ -629,10 +629,10 @@ def test_license_scan(spark, docs, empty):
     rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(1, "Released   UNDER the (MIT) license", None, None, None)]
     got = {(r.doc_id, r.license_id): r for r in license_scan.op1(spark.createDataFrame(rows, DOCS)).collect()}
     expected = {(i, k): d for i, t in enumerate(texts) for k, d in brute_licenses(t).items()}
-    assert set(got) == set(expected) and all(abs(got[k].dice - expected[k]) < 0.02 for k in got)
+    assert set(got) == set(expected) and all(abs(got[k].dice - expected[k]) < 1e-6 for k in got)
     assert {(0, "MIT"), (1, "MIT-line"), (2, "MIT"), (5, "MIT"), (6, "Apache-2.0"), (7, "GPL-3.0"), (8, "MIT-line"), (9, "MIT-line"), (13, "BSD-3-Clause"), (14, "LGPL-2.1"), (15, "CC0-1.0"), (16, "MIT"), (16, "Apache-2.0"), (17, "EPL-2.0")} <= set(got)
     assert not {i for i, _ in got} & {3, 4, 11, 12}
-    assert got[5, "MIT"].dice == 1.0 and got[1, "MIT-line"].n_windows == 2 and got[16, "MIT"].n_windows >= 2  # windows may overlap
+    assert got[5, "MIT"].dice == 1.0 and got[1, "MIT-line"].n_windows == 3 and got[16, "MIT"].n_windows >= 2  # windows may overlap, and are shorter at the end of a text
     hit = license_scan.license_hits(spark.createDataFrame([rows[8]], DOCS)).collect()
     assert [(h.license_id, h.first_word, h.n_words) for h in hit] == [("MIT-line", 2, 5)]
     assert license_scan.op1(docs).collect() == [] and license_scan.op1(empty).collect() == []
@@ -641,6 +641,33 @@ def test_license_scan(spark, docs, empty):
         assert all((2 * min(n, m) / (n + m) >= 0.8) == (lo <= m <= hi) for m in range(1, 200))
 
 
+def test_license_scan_of_noisy_notices_is_complete(spark):
+    """Words put in, left out, changed and repeated, at both ends, too: every window that reaches the threshold, with its score, as by brute force."""
+    rnd = random.Random(31)
+    kinds, texts = list(license_scan.TEMPLATES.values()), []
+    for i in range(70):
+        words = kinds[i % len(kinds)].split()
+        share = rnd.choice([0.02, 0.05, 0.08])
+        for _ in range(max(1, round(share * len(words)))):
+            k = rnd.randrange(len(words) + 1)
+            words[k : k + rnd.choice([0, 1, 1, 2])] = [rnd.choice(["foo", "bar", "the", "of", "software", "foo bar foo bar"])] * rnd.choice([0, 1, 1, 2])
+        cut = rnd.choice([0, 0, 3, 9])
+        texts.append(" ".join(["x y"] * rnd.randrange(4) + words[cut : len(words) - rnd.choice([0, 0, 4])] + ["x y"] * rnd.randrange(4)))
+    want = {}
+    for i, t in enumerate(texts):
+        w = re.sub(r"[^a-z0-9]+", " ", t.lower()).split()
+        g = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        for k, x in license_scan.TEMPLATES.items():
+            x = license_scan.template_words(x)
+            b = {f"{p} {q}" for p, q in zip(x, x[1:], strict=False)}
+            for at in range(len(g)):
+                d = set(g[at : at + len(x) - 1])
+                if (dice := 2 * len(d & b) / (len(d) + len(b))) >= 0.8:
+                    want[i, k, at] = round(dice, 9)
+    got = license_scan.license_hits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(h.doc_id, h.license_id, h.first_word): round(h.dice, 9) for h in got} == want and len(got) == len(want) > 500
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hello <|assistant|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 70, "ann", "late"), (2, 0, "system", "alone"), (None, None, None, "x"), (3, 0, "ann", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
