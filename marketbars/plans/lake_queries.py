@@ -482,6 +482,40 @@ def r9_requests(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.unix_micros("from_ts").alias("from_us"), F.unix_micros("to_ts").alias("to_us"), F.concat_ws(",", "exchanges").alias("exchanges"), "n_events")
 
 
+# --- the newest days of a lake
+
+
+_RECENT = "SELECT * FROM ({}) QUALIFY t > max(t) OVER (PARTITION BY exchange, symbol) - {} AND row_number() OVER (PARTITION BY exchange, symbol ORDER BY t DESC) <= {}"
+
+
+@query("c11_lake_indicators", with_ctes(_DOC_SQL, "lab1", {"labelled": _RECENT.format(Z.CTES["labelled"], 301 * 3600, 300)} | _ALL, True))
+def c11_lake(spark: SparkSession, sf: str) -> DataFrame:
+    """Indicators of the last 300 hours of a lake; the scan is pruned to the days that hold them."""
+    root, _ = _lake(spark, sf)
+    return M.lake_indicators(spark, root, Z.HOUR, 300, complete=False).withColumn("price", X.round_half_away("price", 6))
+
+
+@query("c16_lake_bars_latest", with_ctes(f"SELECT exchange, symbol, t // 14400 * 14400 AS t4, {r('max(high)')} AS high, {r('min(low)')} AS low, sum(trade_count)::BIGINT AS trade_count FROM near WHERE symbol = 'CLICK' GROUP BY 1, 2, 3 ORDER BY t4 DESC, exchange LIMIT 50", "labelled",
+    {"near": "SELECT * FROM labelled QUALIFY t > max(t) OVER (PARTITION BY exchange, symbol) - 51 * 14400"}))
+def c16_lake(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest four-hour bars of a symbol from the newest days of a lake."""
+    root, _ = _lake(spark, sf)
+    rows = M.lake_bars_latest(spark, root, "CLICK", "4h", 14400, 50)
+    return rows.select(*KEY, F.unix_seconds(F.to_timestamp("ts")).alias("t4"), *rr("high", "low"), "trade_count")
+
+
+@query("k2_overlapping_ranges", with_ctes(
+    "SELECT exchange, symbol, t FROM bars JOIN (SELECT exchange, symbol, min(t) AS lo FROM bars GROUP BY 1, 2) USING (exchange, symbol) WHERE t BETWEEN lo + 3600 AND lo + 200000 OR t BETWEEN lo + 100000 AND lo + 260000 OR t BETWEEN lo + 432000 AND lo + 432000 OR t BETWEEN lo + 600000 AND lo + 610000", "bars"))
+def k2_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Back-fill of ranges that overlap, repeat and go over midnight: each bar once."""
+    root, bars = f"{work_dir(spark)}/lake", Z.bars(spark, sf)
+    lo = bars.groupBy(*KEY).agg(F.unix_seconds(F.min("window_start")).alias("lo"))
+    ends = [(3600, 200_000), (100_000, 260_000), (100_000, 260_000), (432_000, 432_000), (600_000, 610_000), (9, 8)]
+    each = F.explode(F.array(*[F.struct((F.col("lo") + a).alias("start_s"), (F.col("lo") + b).alias("end_s")) for a, b in ends]))
+    L.write_backfill(bars, lo.select(*KEY, each.alias("x")).select(*KEY, "x.*"), root)
+    return L.read_bars(spark, root).select(*KEY, t())
+
+
 # --- reports: their tables, one query each
 
 

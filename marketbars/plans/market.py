@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,6 +13,7 @@ from ..operators import bars as B
 from ..operators import gaps as G
 from ..operators import indicators as I
 from ..schema import KEY
+from ..sources import lake as L
 
 R = X.round_half_away
 
@@ -60,6 +61,26 @@ def indicators(bars: DataFrame, tf: int, limit: int = 500, complete: bool = True
     return describe(I.all_indicators(rows, numbered=True).where("rn = n_rows"))
 
 
+def lake_indicators(spark: SparkSession, root: str, tf: int, limit: int = 500, complete: bool = True, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
+    """indicators() over a lake, newest first: only the days that can hold the last `limit` bars are read."""
+    return indicators(L.read_latest(spark, root, tf, max(limit, 200) + complete, exchange, symbol), tf, limit, complete)
+
+
+def lake_snapshot(spark: SparkSession, root: str, tf: int, derivatives: DataFrame | None = None, limit: int = 500) -> DataFrame:
+    """snapshot() over the newest days of a lake."""
+    return snapshot(L.read_latest(spark, root, tf, max(limit, 200) + 1), tf, derivatives, limit)
+
+
+def lake_scan(spark: SparkSession, root: str, exchange: str, sort: str = "momentum", limit: int = 10, tf: int = 300, n: int = 100) -> DataFrame:
+    """scan() over the newest days of a lake."""
+    return scan(L.read_latest(spark, root, tf, n + 1, exchange), exchange, sort, limit, tf, n)
+
+
+def lake_bars_latest(spark: SparkSession, root: str, symbol: str, tf: str, seconds: int, limit: int, exchange: str | None = None) -> DataFrame:
+    """bars_latest() over the newest days of a lake; seconds: those of tf."""
+    return bars_latest(L.read_latest(spark, root, seconds, limit, exchange, symbol), symbol, tf, limit, exchange)
+
+
 def describe(now: DataFrame, *more: str) -> DataFrame:
     price = F.col("close")
     num = lambda c, other: F.coalesce(F.col(c), other if isinstance(other, Column) else F.lit(other))

@@ -720,27 +720,32 @@ _DOC_SQL = f"""SELECT exchange, symbol, rn AS n_bars, {iso('t')} AS ts, {r('pric
       CASE WHEN (CASE WHEN a > 0 THEN v / a ELSE 1.0 END) > 1.5 THEN 'elevated' WHEN (CASE WHEN a > 0 THEN v / a ELSE 1.0 END) < 0.5 THEN 'low' ELSE 'normal' END AS volume_signal, bullish, total, {_REGIME} AS regime, CASE WHEN greatest(bullish, total - bullish) >= total - 1 THEN 'high' WHEN greatest(bullish, total - bullish) >= floor(total * 0.6) THEN 'medium' ELSE 'low' END AS confidence FROM doc"""
 
 
-@query("c11_indicators", with_ctes(_DOC_SQL, "lab1", _ALL, True))
+#: The newest 500 bars of each series, which is what indicators are asked for by default.
+_NEWEST = {"labelled": f"SELECT * FROM ({Z.CTES['labelled']}) QUALIFY row_number() OVER (PARTITION BY exchange, symbol ORDER BY t DESC) <= 500"}
+_ALL_NEWEST = _NEWEST | _ALL
+
+
+@query("c11_indicators", with_ctes(_DOC_SQL, "lab1", _ALL_NEWEST, True))
 def c11(spark: SparkSession, sf: str) -> DataFrame:
     """The last row of all indicators, signals and the regime, of all series at once."""
-    return M.indicators(Z.labelled(spark, sf), Z.HOUR, 1_000_000, complete=False).withColumn("price", X.round_half_away("price", 6))
+    return M.indicators(Z.labelled(spark, sf), Z.HOUR, complete=False).withColumn("price", X.round_half_away("price", 6))
 
 
 @query("c13_funding_vote", with_ctes(
-    f"""SELECT exchange, symbol, bullish, total, basis, {_REGIME} AS regime FROM (SELECT exchange, symbol, bullish + (rate > 0)::INT AS bullish, total + CASE WHEN rate > 0 THEN 1 ELSE 2 END AS total, CASE WHEN rate > 0 THEN 'positive_funding' ELSE 'negative_funding' END AS basis FROM (SELECT *, m AS rate FROM doc))""", "lab1", _ALL, True))
+    f"""SELECT exchange, symbol, bullish, total, basis, {_REGIME} AS regime FROM (SELECT exchange, symbol, bullish + (rate > 0)::INT AS bullish, total + CASE WHEN rate > 0 THEN 1 ELSE 2 END AS total, CASE WHEN rate > 0 THEN 'positive_funding' ELSE 'negative_funding' END AS basis FROM (SELECT *, m AS rate FROM doc))""", "lab1", _ALL_NEWEST, True))
 def c13(spark: SparkSession, sf: str) -> DataFrame:
     """The funding vote, with the MACD line in the place of a rate."""
-    d = M.indicators(Z.labelled(spark, sf), Z.HOUR, 1_000_000, complete=False)
+    d = M.indicators(Z.labelled(spark, sf), Z.HOUR, complete=False)
     b, n, basis = S.funding_vote(F.col("bullish"), F.col("total"), "macd")
     return d.select(*KEY, b.alias("bullish"), n.alias("total"), basis.alias("basis")).withColumn("regime", S.regime_label(F.col("bullish"), F.col("total")))
 
 
 def _scan_sql(score: str) -> str:
-    return with_ctes(f"SELECT symbol, {r('score', 4)} AS score, rsi, volume_ratio, bb_position, regime, row_number() OVER (ORDER BY {r('score', 4)} DESC, symbol) AS rank FROM (SELECT *, {score} AS score FROM flat WHERE exchange = 'beta' AND n_bars >= 14) ORDER BY rank LIMIT 3", "lab1", _ALL | {"flat": _DOC_SQL}, True)
+    return with_ctes(f"SELECT symbol, {r('score', 4)} AS score, rsi, volume_ratio, bb_position, regime, row_number() OVER (ORDER BY {r('score', 4)} DESC, symbol) AS rank FROM (SELECT *, {score} AS score FROM flat WHERE exchange = 'beta' AND n_bars >= 14) ORDER BY rank LIMIT 3", "lab1", _ALL_NEWEST | {"flat": _DOC_SQL}, True)
 
 
 def _scan(sort: str) -> Query:
-    return lambda spark, sf: M.scan(_with_open_bar(Z.labelled(spark, sf)), "beta", sort, 3, Z.HOUR, 1_000_000).select("symbol", "score", "rsi", "volume_ratio", "bb_position", "regime", F.col("rank").cast("long").alias("rank"))
+    return lambda spark, sf: M.scan(_with_open_bar(Z.labelled(spark, sf)), "beta", sort, 3, Z.HOUR, 500).select("symbol", "score", "rsi", "volume_ratio", "bb_position", "regime", F.col("rank").cast("long").alias("rank"))
 
 
 def _with_open_bar(bars: DataFrame) -> DataFrame:
@@ -772,7 +777,7 @@ def _snapshot_sql(rate: str, more: str, extra: dict[str, str]) -> str:
     return with_ctes(
         f"""SELECT exchange, symbol, {rs(*_STATS_COLS)}, rsi, macd_direction, {_REGIME} AS regime, CASE WHEN greatest(bullish, total - bullish) >= total - 1 THEN 'high' WHEN greatest(bullish, total - bullish) >= floor(total * 0.6) THEN 'medium' ELSE 'low' END AS confidence, {basis} AS basis, 5 AS n_sample{more}
       FROM (SELECT s.*, d.rsi, d.macd_direction, d.price_vs_vwap, rate, mark, d.bullish + CASE WHEN rate > 0 THEN 1 ELSE 0 END AS bullish, d.total + CASE WHEN rate IS NULL THEN 0 WHEN rate > 0 THEN 1 ELSE 2 END AS total FROM stats s JOIN docs d USING (exchange, symbol) LEFT JOIN ({rate}) f USING (exchange, symbol))""",
-        "lab1", _ALL | {"docs": _DOC_SQL, "stats": _STATS} | extra, True)
+        "lab1", _ALL_NEWEST | {"docs": _DOC_SQL, "stats": _STATS} | extra, True)
 
 
 def _snapshot(s: DataFrame, *more: Column) -> DataFrame:
@@ -782,7 +787,7 @@ def _snapshot(s: DataFrame, *more: Column) -> DataFrame:
 @query("c14_snapshot", _snapshot_sql("SELECT '' AS exchange, '' AS symbol, NULL::DOUBLE AS rate, NULL::DOUBLE AS mark", "", {}))
 def c14(spark: SparkSession, sf: str) -> DataFrame:
     """Price, day statistics, indicators and regime of every series as one flat row."""
-    return _snapshot(M.snapshot(_with_open_bar(Z.labelled(spark, sf)), Z.HOUR, limit=1_000_000))
+    return _snapshot(M.snapshot(_with_open_bar(Z.labelled(spark, sf)), Z.HOUR))
 
 
 @query("j4_snapshot_with_derivatives", _snapshot_sql(f"SELECT 'alpha' AS exchange, symbol, rate, mark FROM ({_RATES})", f", {r('rate', 8)} AS rate, {r('mark', 2)} AS mark_price", {}).replace("SELECT exchange, symbol, (sign(price)", "SELECT CASE exchange WHEN 'alpha' THEN 'binance' ELSE exchange END AS exchange, symbol, (sign(price)", 1))
@@ -799,14 +804,14 @@ def j4_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     }
     raw = s.select("symbol", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("x")).select("symbol", "x.*")
     bars = _with_open_bar(Z.labelled(spark, sf)).withColumn("exchange", F.when(F.col("exchange") == "alpha", "binance").otherwise(F.col("exchange")))
-    s = M.snapshot(bars, Z.HOUR, derivatives(raw), limit=1_000_000)
+    s = M.snapshot(bars, Z.HOUR, derivatives(raw))
     return _snapshot(s, *rr("funding_rate", digits=8), F.col("derivatives.mark_price").alias("mark_price")).withColumnRenamed("funding_rate", "rate")
 
 
-@query("c11_document", with_ctes(f"SELECT exchange, symbol, ts, rsi AS rsi_value, rsi_note, macd_hist, macd_direction, bb_position, bb_signal, sma200, sma_trend, ema12, ema_signal, vwap_signal, volume_ratio, regime, confidence FROM ({_DOC_SQL})", "lab1", _ALL, True))
+@query("c11_document", with_ctes(f"SELECT exchange, symbol, ts, rsi AS rsi_value, rsi_note, macd_hist, macd_direction, bb_position, bb_signal, sma200, sma_trend, ema12, ema_signal, vwap_signal, volume_ratio, regime, confidence FROM ({_DOC_SQL})", "lab1", _ALL_NEWEST, True))
 def c11_document(spark: SparkSession, sf: str) -> DataFrame:
     """The indicators as nested documents, some fields of each taken out again."""
-    d = M.indicator_document(M.indicators(Z.labelled(spark, sf), Z.HOUR, 1_000_000, complete=False))
+    d = M.indicator_document(M.indicators(Z.labelled(spark, sf), Z.HOUR, complete=False))
     field = {"rsi_value": "rsi.value", "rsi_note": "rsi.note", "macd_hist": "macd.histogram", "macd_direction": "macd.direction", "bb_position": "bollinger.position", "bb_signal": "bollinger.signal", "sma200": "sma.sma200", "sma_trend": "sma.trend", "ema12": "ema.ema12",
              "ema_signal": "ema.signal", "vwap_signal": "vwap.signal", "volume_ratio": "volume.ratio", "regime": "regime.label", "confidence": "regime.confidence"}
     return d.select(*KEY, "ts", *[F.col(v).alias(k) for k, v in field.items()])

@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions.columns import path_parts
 from ..operators.bars import recent_window, with_source_default
@@ -62,16 +63,30 @@ def read_directories(spark: SparkSession, root: str, names: list[str]) -> DataFr
     return with_source_default(spark.read.schema(LAKE_SCHEMA).option("basePath", root).parquet(*names)).select(*LAKE_SCHEMA.fieldNames())
 
 
-def read_latest(spark: SparkSession, root: str, seconds: int, n: int, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
-    """Bars later than n + 1 buckets before the newest of their series: the newest day of a series is known from its
-    directories, and only the days that can hold such bars are read."""
+def newest_days(spark: SparkSession, root: str, back: int, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
+    """PARTITIONS of the directories of each series that are at most `back` days older than its newest one; known from names, no file is opened."""
     inv = file_inventory(spark, root, "*.parquet").where(F.col("day").isNotNull())
     inv = inv.where(F.col("exchange") == exchange) if exchange else inv
-    inv = inv.where(F.col("symbol") == symbol) if symbol else inv
-    back = (n + 1) * seconds // 86400 + 1
-    newest = inv.groupBy(*KEY).agg(F.max("day").alias("newest"))
-    names = directories(inv.join(newest, list(KEY)).where(F.col("day") >= F.date_sub("newest", back)))
-    return recent_window(read_directories(spark, root, names), seconds, n)
+    days = (inv.where(F.col("symbol") == symbol) if symbol else inv).select(*KEY, F.col("day").alias("date")).distinct()
+    newest = days.groupBy(*KEY).agg(F.max("date").alias("newest"))
+    kept = days.join(newest, list(KEY)).where(F.col("date") >= F.date_sub("newest", back))
+    return kept.select(*KEY, *[F.date_format("date", f).alias(c) for c, f in (("year", "yyyy"), ("month", "MM"), ("day", "dd"))])
+
+
+#: Days of series that may be sent to all tasks; beyond it the join prunes nothing, and gives the same.
+DAYS_SENT = 500_000
+
+
+def read_latest(spark: SparkSession, root: str, seconds: int, n: int, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
+    """Bars later than n + 1 buckets before the newest of their series.
+
+    The days that can hold such bars are known from the directories before the plan; the scan is pruned by them at run
+    time (dynamic partition pruning), so no list of names goes through the driver and no other directory is read.
+    """
+    days = newest_days(spark, root, (n + 1) * seconds // 86400 + 1, exchange, symbol)
+    few = days.limit(DAYS_SENT + 1).count() <= DAYS_SENT
+    rows = read_bars(spark, root, exchange, symbol).join(F.broadcast(days) if few else days, list(PARTITIONS), "left_semi")
+    return recent_window(rows.select(*LAKE_SCHEMA.fieldNames()), seconds, n)
 
 
 def query_symbol(bars: DataFrame, exchange: str, symbol: str, start: str, end: str, cols: list[str] | None = None) -> DataFrame:
@@ -209,12 +224,33 @@ def write_bars(bars: DataFrame, root: str, codec: str = "zstd", mode: str = "app
     rows.write.mode(mode).partitionBy(*PARTITIONS).option("compression", codec if codec in CODECS else "snappy").option("partitionOverwriteMode", "dynamic").parquet(root)
 
 
+def by_days(ranges: DataFrame) -> DataFrame:
+    """Ranges (start_s, end_s, both included) cut at midnight, one row for each day (a number) they reach: `_day`, `_from`, `_to`."""
+    day = F.explode(F.sequence(F.floor(F.col("start_s") / 86400), F.floor(F.col("end_s") / 86400)))
+    cut = ranges.where("start_s <= end_s").withColumn("_day", day)
+    return cut.withColumn("_from", F.greatest("start_s", F.col("_day") * 86400)).withColumn("_to", F.least("end_s", F.col("_day") * 86400 + 86399))
+
+
+def in_ranges(bars: DataFrame, planned: DataFrame) -> DataFrame:
+    """Bars within any of the planned ranges of their series, once each.
+
+    An equal join on series and day: ranges of a series and day that meet or overlap are one first, so a task holds a day
+    of a series and its few ranges, never a whole series.
+    """
+    cut = by_days(planned.select(*KEY, "start_s", "end_s")).select(*KEY, "_day", "_from", "_to").distinct()
+    order = W.partitionBy(*KEY, "_day").orderBy("_from", "_to")
+    reach = F.max("_to").over(order.rowsBetween(W.unboundedPreceding, -1))
+    island = cut.withColumn("_new", F.when(F.col("_from") <= reach + 1, 0).otherwise(1)).withColumn("_k", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    whole = island.groupBy(*KEY, "_day", "_k").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    days = whole.groupBy(*KEY, "_day").agg(F.collect_list(F.struct("_from", "_to")).alias("_ranges"))
+    t = F.unix_seconds("window_start")
+    rows = bars.withColumn("_day", F.floor(t / 86400)).join(days, [*KEY, "_day"])
+    return rows.where(F.exists("_ranges", lambda r: t.between(r["_from"], r["_to"]))).select(*bars.columns)
+
+
 def write_backfill(bars: DataFrame, planned: DataFrame, root: str, codec: str = "zstd") -> None:
     """Append the bars that lie within planned ranges (start_s, end_s) of their series."""
-    t = F.unix_seconds("window_start")
-    ranges = planned.select(*[F.col(k).alias(f"_{k}") for k in KEY], "start_s", "end_s")
-    inside = bars.join(ranges, (F.col("exchange") == F.col("_exchange")) & (F.col("symbol") == F.col("_symbol")) & (t >= F.col("start_s")) & (t <= F.col("end_s")), "left_semi")
-    write_bars(inside, root, codec)
+    write_bars(in_ranges(bars, planned), root, codec)
 
 
 def compaction_plan(inventory: DataFrame, before: Column) -> DataFrame:
