@@ -20,9 +20,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ VOCABULARY_MOST = 4_000_000
 BUCKET, TRIES = 4, 64
 _SEED = 42
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_ALL, _PLACE = (1 << 64) - 1, (1 << 40) - 1
+_ALL = (1 << 64) - 1
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -159,28 +159,36 @@ def merged(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
     heap (rank and place in one number) that a join has overtaken is told by the rank of what stands there now.
     """
     n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [r << 40 | i for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (r := ranks[pair]) >= 0]
-    heapq.heapify(heap)
+    after, before, shift = list(range(1, n + 1)), list(range(-1, n - 1)), max(10, n.bit_length())
+    place, now = (1 << shift) - 1, [ranks[pair] for pair in zip(ids, ids[1:], strict=False)]
+    heap = [r << shift | i for i, r in enumerate(now) if r >= 0]
+    now.append(-1)
+    heapify(heap)
     while heap:
-        x = heapq.heappop(heap)
-        r, i = x >> 40, x & _PLACE
-        j = after[i]
-        if j >= n or ids[i] < 0 or ranks[ids[i], ids[j]] != r:
+        x = heappop(heap)
+        r, i = x >> shift, x & place
+        if now[i] != r:
             continue
-        ids[i], ids[j] = r, -1
+        j = after[i]
+        ids[i], now[j] = r, -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            q = ranks[r, ids[k]]
+            q = now[i] = ranks[r, ids[k]]
             if q >= 0:
-                heapq.heappush(heap, q << 40 | i)
+                heappush(heap, q << shift | i)
+        else:
+            now[i] = -1
         k = before[i]
         if k >= 0:
-            q = ranks[ids[k], r]
+            q = now[k] = ranks[ids[k], r]
             if q >= 0:
-                heapq.heappush(heap, q << 40 | k)
-    return [x for x in ids if x >= 0]
+                heappush(heap, q << shift | k)
+    out, i = [], 0
+    while i < n:
+        out.append(ids[i])
+        i = after[i]
+    return out
 
 
 class PreTokenTable:
