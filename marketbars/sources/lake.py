@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from datetime import date
 
@@ -14,6 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.columns import path_parts
 from ..operators.bars import recent_window, with_source_default
 from ..schema import BARS_SCHEMA, EVENT_SCHEMA, HEALTH_SCHEMA, KEY
+from .upkeep import deleted, planned_directories, whole_day, work_through
 
 PARTITIONS = (*KEY, "year", "month", "day")
 CODECS = ("zstd", "snappy", "gzip")
@@ -51,18 +51,6 @@ def read_day(spark: SparkSession, root: str, day: date, exchange: str | None = N
     return read_range(spark, root, day, day, exchange, symbol)
 
 
-def directories(days: DataFrame) -> list[str]:
-    """The directories of an inventory's files (column path): a name for each series and day that a job is about to read or delete."""
-    return sorted(r[0] for r in days.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1)).distinct().collect())
-
-
-def read_directories(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """Bars of some directories below root; nothing else is listed or read."""
-    if not names:
-        return spark.createDataFrame([], LAKE_SCHEMA)
-    return with_source_default(spark.read.schema(LAKE_SCHEMA).option("basePath", root).parquet(*names)).select(*LAKE_SCHEMA.fieldNames())
-
-
 def newest_days(spark: SparkSession, root: str, back: int, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
     """PARTITIONS of the directories of each series that are at most `back` days older than its newest one; known from names, no file is opened."""
     inv = file_inventory(spark, root, "*.parquet").where(F.col("day").isNotNull())
@@ -259,43 +247,30 @@ def compaction_plan(inventory: DataFrame, before: Column) -> DataFrame:
 
 
 def compact(spark: SparkSession, root: str, before: Column, staging: str, dry_run: bool = False, codec: str = "zstd") -> DataFrame:
-    """Turn each planned day into one sorted file; the rows are staged first, because their own directories are overwritten.
+    """Turn each planned day into one sorted file: the plan is worked through by upkeep.work_through(), which goes on where a killed run stopped.
 
-    Only planned directories are read, and listed again afterwards. Returns the plan; unless dry_run with files_after and bytes_after.
+    Returns the plan; unless dry_run with files_after and bytes_after.
     """
     inv = file_inventory(spark, root, "*.parquet")
     plan = compaction_plan(inv, before)
     if dry_run:
         return plan
-    at = f"{staging.rstrip('/')}/compact-{uuid.uuid4().hex}"
-    plan.write.parquet(f"{at}/plan")
-    plan = spark.read.parquet(f"{at}/plan")
-    names = directories(inv.join(plan.select(*KEY, "day"), [*KEY, "day"], "left_semi"))
-    if not names:
-        return plan.withColumns({"files_after": F.col("files"), "bytes_after": F.col("bytes")})
-    read_directories(spark, root, names).select(*COLUMNS).write.parquet(f"{at}/rows")
-    write_bars(spark.read.schema(BARS_SCHEMA).parquet(f"{at}/rows"), root, codec, mode="overwrite")
-    after = inventory_totals(file_inventory(spark, names, "*.parquet"), (*KEY, "day")).select(*KEY, "day", F.col("files").alias("files_after"), F.col("bytes").alias("bytes_after"))
-    return plan.join(after, [*KEY, "day"])
-
-
-def _copy_days(spark: SparkSession, inventory: DataFrame, days: DataFrame, dst: str, codec: str) -> DataFrame:
-    """Copy the files of some days (exchange, symbol, day, files) into one file a day below dst; files and rows of each day, read back from dst."""
-    found = spark.createDataFrame(days.select(*KEY, "day", "files").collect(), days.select(*KEY, "day", "files").schema)  # a row for each day that is copied
-    names = directories(inventory.join(found, [*KEY, "day"], "left_semi"))
-    if not names:
-        return found.withColumn("rows", F.lit(0).cast("long"))
-    write_bars(read_tolerant(spark, names).drop("path"), dst, codec)
-    copied = file_inventory(spark, dst, "*.parquet").join(found, [*KEY, "day"], "left_semi")
-    rows = read_directories(spark, dst, directories(copied)).groupBy(*KEY, F.to_date("window_start").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
-    return found.join(rows, [*KEY, "day"])
+    done = work_through(spark, f"{staging.rstrip('/')}/compact", planned_directories(inv, plan), whole_day(None, codec))
+    return done.select(*KEY, "day", "files", "bytes", "files_after", "bytes_after")
+
+
+def _copy_days(spark: SparkSession, inventory: DataFrame, days: DataFrame, dst: str, kind: str, codec: str) -> DataFrame:
+    """Copy the files of some days (exchange, symbol, day) into one file a day below dst; files and rows of each day."""
+    done = work_through(spark, f"{dst.rstrip('/')}/_upkeep/{kind}", planned_directories(inventory, days), whole_day(dst.rstrip("/"), codec))
+    return done.groupBy(*KEY, "day").agg(F.sum("files").alias("files"), F.sum("rows").alias("rows"))
 
 
 def stage_copy(spark: SparkSession, src: str, dst: str, today: date, staged: DataFrame | None = None, least_files: dict[str, int] | None = None, codec: str = "zstd") -> DataFrame:
     """Copy whole days from src to dst as one file each; src is left alone, and only the planned directories are read.
 
     Days that are staged, today, and days of an exchange with no more files than least_files says are skipped; files
-    that can't be read are passed over. Returns files and rows per day that was copied.
+    that can't be read are passed over. A run that was killed is finished first, by its own plan. Returns files and rows
+    per day that was copied.
     """
     inv = file_inventory(spark, src, "*.parquet")
     days = inv.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("files")).where(F.col("day") < F.lit(today))
@@ -303,15 +278,15 @@ def stage_copy(spark: SparkSession, src: str, dst: str, today: date, staged: Dat
         days = days.where((F.col("exchange") != exchange) | (F.col("files") > least))
     if staged is not None:
         days = days.join(staged.select(*KEY, "day").distinct(), [*KEY, "day"], "left_anti")
-    return _copy_days(spark, inv, days, dst, codec)
+    return _copy_days(spark, inv, days, dst, "stage", codec)
 
 
 def fill_unstaged(spark: SparkSession, src: str, dst: str, exchanges: list[str], today: date, codec: str = "zstd") -> DataFrame:
     """Copy the days of some exchanges that dst has no files of. Returns files and rows per day that was copied."""
     inv = file_inventory(spark, src, "*.parquet")
-    days = inv.where(F.col("exchange").isin(exchanges) & (F.col("day") < F.lit(today))).groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("files"))
+    days = inv.where(F.col("exchange").isin(exchanges) & (F.col("day") < F.lit(today))).select(*KEY, "day").distinct()
     have = file_inventory(spark, dst, "*.parquet").select(*KEY, "day").distinct()
-    return _copy_days(spark, inv, days.join(have, [*KEY, "day"], "left_anti"), dst, codec)
+    return _copy_days(spark, inv, days.join(have, [*KEY, "day"], "left_anti"), dst, "fill", codec)
 
 
 def retention_plan(inventory: DataFrame, keep_days: int, as_of: Column) -> DataFrame:
@@ -326,20 +301,8 @@ def retain(spark: SparkSession, root: str, keep_days: int, as_of: date, dry_run:
     plan = retention_plan(inv, keep_days, F.lit(as_of))
     if dry_run:
         return plan
-    out = spark.createDataFrame(plan.collect(), plan.schema)  # a row for each directory that goes
-    names = directories(inv.join(out.select(*KEY, "day"), [*KEY, "day"], "left_semi"))
-
-    def delete(rows: Iterator) -> None:
-        from pyarrow import fs
-
-        for r in rows:
-            store, name = fs.FileSystem.from_uri(r[0])
-            if store.get_file_info(name).type != fs.FileType.NotFound:
-                store.delete_dir(name)
-
-    if names:
-        spark.createDataFrame([(x,) for x in names], "name string").repartition(min(len(names), 256)).foreachPartition(delete)
-    return out
+    done = work_through(spark, f"{root.rstrip('/')}/_upkeep/retain", planned_directories(inv, plan), deleted)
+    return done.groupBy(*KEY, "day").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def write_events(events: DataFrame, root: str) -> None:

@@ -540,3 +540,39 @@ def test_the_sink_is_flushed_by_a_closing_trade(spark, tmp_path):
     _arrive(spark, tmp_path, [tuple(r) for r in ST.closing_trade(spark, int((at(20 * 45) - datetime(1970, 1, 1)).total_seconds()) + 60).collect()], TRADE_SCHEMA, start)
     whole, bars = B.trades_to_bars(spark.createDataFrame(rows, TRADE_SCHEMA), 60), L.read_bars(spark, f"file://{tmp_path}/lake")
     assert before < whole.count() and values(bars, "window_start", "trade_count") == values(whole, "window_start", "trade_count")
+
+
+def test_upkeep_goes_on_after_a_kill(spark, make, tmp_path):
+    """A compaction and a copy that break in the middle are finished by the next run, by the same plan: rows are whole, and each once."""
+    from marketbars.sources import upkeep
+
+    root, dst, staging = (f"file://{tmp_path}/{x}" for x in ("lake", "dst", "staging"))
+    bars = make([bar(60 * i, 1.0 + i, series=s) for i in range(0, 6000, 11) for s in ("binance/A-B", "kraken/C-D")])
+    for part in bars.randomSplit([1.0, 1.0], 1):
+        L.write_bars(part, root)
+    rows, inv = values(bars, *bars.columns), L.file_inventory(spark, root, "*.parquet")
+    before = F.lit("2100-01-01").cast("date")
+
+    def broken(task, bad):
+        def run(parts):
+            for pdf in parts:
+                for k in range(len(pdf)):  # directory by directory; one of them breaks the job
+                    if bad in pdf["dir"].iloc[k]:
+                        raise RuntimeError("killed")
+                    yield from task(iter([pdf.iloc[k : k + 1]]))
+
+        return run
+
+    with pytest.raises(Exception, match="killed"):
+        upkeep.work_through(spark, f"{staging}/compact", upkeep.planned_directories(inv, L.compaction_plan(inv, before)), broken(upkeep.whole_day(None, "zstd"), "symbol=C-D/year=2024/month=01/day=03"))
+    plan = upkeep.unfinished(spark, f"{staging}/compact")
+    assert plan is not None
+    done = L.compact(spark, root, before, staging)  # goes on with the plan that it finds
+    assert upkeep.unfinished(spark, f"{staging}/compact") is None and {r.files_after for r in done.collect()} == {1} and done.count() == 10
+    assert values(L.read_bars(spark, root).select(bars.columns), *bars.columns) == rows
+    assert L.compact(spark, root, before, staging).count() == 0
+    inv = L.file_inventory(spark, root, "*.parquet")
+    with pytest.raises(Exception, match="killed"):
+        upkeep.work_through(spark, f"{dst}/_upkeep/stage", upkeep.planned_directories(inv, inv), broken(upkeep.whole_day(dst, "zstd"), "symbol=A-B/year=2024/month=01/day=02"))
+    assert L.stage_copy(spark, root, dst, date(2024, 1, 9)).agg(F.sum("rows")).first()[0] == len(rows)
+    assert values(L.read_bars(spark, dst).select(bars.columns), *bars.columns) == rows == values(L.read_bars(spark, root).select(bars.columns), *bars.columns)
