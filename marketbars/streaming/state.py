@@ -165,7 +165,7 @@ def stream_fill(bars: DataFrame, interval: int, timer: bool = False) -> DataFram
     timer, `bars` must have a watermark on window_start: a hole is filled when the watermark passes it, so bars may be late
     by as much, and a series in which no bar arrives gets its empty bars as event time goes on without it.
     """
-    return bars.select(*_NAMES).groupBy(*KEY).transformWithStateInPandas(Filler(interval, timer), FILLED, "Append", "EventTime" if timer else "None")
+    return bars.select(*_NAMES).where("window_start IS NOT NULL").groupBy(*KEY).transformWithStateInPandas(Filler(interval, timer), FILLED, "Append", "EventTime" if timer else "None")
 
 
 # --- candles that trades amend, and indicators of the open one
@@ -348,7 +348,7 @@ def candle_changes(trades: DataFrame, interval: int, keep: int = 120, history: D
     first = None
     if history is not None:
         first = newest(history, SEED_ROWS).select(*KEY, "window_start", *_PRICES[:7]).groupBy(*KEY)
-    rows = trades.select(*KEY, "ts", "trade_id", "price", "qty")
+    rows = trades.select(*KEY, "ts", "trade_id", "price", "qty").where("ts IS NOT NULL AND price IS NOT NULL")
     return rows.groupBy(*KEY).transformWithStateInPandas(Candles(interval, keep, now), CHANGES, "Append", "None", initialState=first)
 
 
@@ -420,7 +420,7 @@ def disconnect_gap_stream(events: DataFrame, timeout: float = 3600.0) -> DataFra
 
     A gap is sent when the watermark has passed its end; one without a reconnect within timeout seconds with null ends.
     """
-    rows = events.where(F.col("event").isin("disconnect", "reconnect")).select("exchange", "event", "ts")
+    rows = events.where(F.col("event").isin("disconnect", "reconnect") & F.col("ts").isNotNull()).select("exchange", "event", "ts")
     return rows.groupBy("exchange").transformWithStateInPandas(Pairing(timeout), "exchange string, gap_start timestamp, gap_end timestamp, gap_seconds double", "Append", "EventTime")
 
 
