@@ -150,9 +150,13 @@ def expected_bars(interval: Column | str) -> Column:
 
 
 def path_parts(path: Column | str) -> dict[str, Column]:
-    """exchange, symbol and day of a lake path, with or without `key=` before its levels: days as year/month/day, or as one date level as raw archives have."""
+    """exchange, symbol and day of a lake path, with or without `key=` before its levels: days as year/month/day, or as one date level as raw archives have.
+
+    Names are given as they were before the writer escaped them (`%3D` is `=`); what is no escape stays.
+    """
     p = _c(path)
     level = r"(?:exchange=)?([^/=]+)/(?:symbol=)?([^/=]+)/(?:(?:year=)?(\d{4})/(?:month=)?(\d{1,2})/(?:day=)?(\d{1,2})|(?:date=)?(\d{4}-\d{2}-\d{2}))/"
     get = lambda k: F.regexp_extract(p, level, k)
     day = F.make_date(get(3).try_cast("int"), get(4).try_cast("int"), get(5).try_cast("int"))
-    return {"exchange": get(1), "symbol": get(2), "day": F.coalesce(day, get(6).try_cast("date"))}
+    plain = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    return {"exchange": plain(get(1)), "symbol": plain(get(2)), "day": F.coalesce(day, get(6).try_cast("date"))}

@@ -130,6 +130,11 @@ def completeness_report(bars: DataFrame, dim: DataFrame, start: Column, end: Col
     """Per configured series and day: counts, gaps inside the day, times, percent of expected bars and a status. dim: exchange, symbol, interval_sec."""
     stats = day_stats(bars)
     holes = G.find_gaps(bars, 2, within_day=True, dim=dim).groupBy(*KEY, DAY("gap_start").alias("day")).agg(n_rows().alias("gaps"))
+    return report_of_days(stats, holes, dim, start, end, today)
+
+
+def report_of_days(stats: DataFrame, holes: DataFrame, dim: DataFrame, start: Column, end: Column, today: Column) -> DataFrame:
+    """The report from day_stats and the number of gaps (KEY, day, gaps) of each day."""
     rows = calendar(dim, start, end).join(stats, [*KEY, "day"], "left").join(holes, [*KEY, "day"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     share = F.round(zero("bars") * 100.0 / expected_bars("interval_sec"), 1)

@@ -12,7 +12,9 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..functions import columns as X
 from ..operators import audit as A
 from ..operators import bars as B
+from ..operators import daybook as D
 from ..schema import BARS_SCHEMA, KEY
+from ..sources import daybook as K
 from ..sources import lake as L
 from ..sources import trades as R
 from ..streaming import bars as ST
@@ -21,7 +23,7 @@ from ..streaming.state import disconnect_gap_stream, request_stream, rocksdb
 from . import fixtures as Z
 from . import market as M
 from .fixtures import r, with_ctes
-from .registry import PRICES, _ALL, _CAUSE, _CONN, _COVER, _DOC_SQL, _connections, query, rr, rs, t
+from .registry import PRICES, _ALL, _CAUSE, _CONN, _COVER, _DOC_SQL, _REPORT, _connections, query, rr, rs, t
 
 DAYS = "t // 86400"
 
@@ -201,6 +203,70 @@ def k7(spark: SparkSession, sf: str) -> DataFrame:
     return L.read_connection_events(spark, root).select("exchange", "event", F.unix_millis("ts").alias("ms"), F.col("gap_seconds").cast("decimal(2,1)").cast("double").alias("gap_seconds"))
 
 
+# --- day aggregates that are kept beside a lake
+
+
+def _late_day(spark: SparkSession, sf: str) -> tuple[str, str, DataFrame, DataFrame]:
+    """A lake whose day aggregates were kept before one day of an exchange came in, then brought up to date: lake, book, bars, and the plan of the refresh."""
+    base, bars = work_dir(spark), Z.labelled(spark, sf)
+    root, book = f"{base}/lake", f"{base}/book"
+    first = bars.agg(F.to_date(F.min("window_start"))).first()[0]
+    late = (F.to_date("window_start") == F.lit(first + timedelta(2))) & (F.col("exchange") == "gamma")
+    hour = F.hour("window_start")
+    L.write_bars(bars.where(~late), root)
+    K.refresh(spark, root, book)
+    L.write_bars(bars.where(late & (hour < 12)), root)
+    K.refresh(spark, root, book)
+    L.write_bars(bars.where(late & (hour >= 12)), root)
+    return root, book, bars, K.refresh(spark, root, book)
+
+
+@query("a8_kept_day_stats", with_ctes("SELECT * FROM daystats", "daystats"))
+def a8_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Day aggregates after a back-fill in two parts, of which only the touched days were read."""
+    _, book, _, _ = _late_day(spark, sf)
+    return _days(D.day_stats(K.read_daybook(spark, book))).select(*KEY, "day", "bars", t("first_ts", "first_t"), t("last_ts", "last_t"), "live", "backfill", "empty", "trades", "n_sources")
+
+
+@query("a9_kept_fast_stats", with_ctes(f"SELECT exchange, symbol, day, bars, {r('live * 100.0 / bars')} AS live_pct, {r('empty * 100.0 / bars')} AS empty_pct FROM daystats", "daystats"))
+def a9_kept(spark: SparkSession, sf: str) -> DataFrame:
+    _, book, _, _ = _late_day(spark, sf)
+    return _days(D.fast_day_stats(K.read_daybook(spark, book))).select(*KEY, "day", "bars", *rr("live_pct", "empty_pct"))
+
+
+@query("a16_touched_days", with_ctes("SELECT exchange, symbol, t // 86400 AS day, count(DISTINCT t // 43200) AS files, max(CASE WHEN t % 86400 < 43200 THEN 1 END) AS was FROM labelled, clock WHERE exchange = 'gamma' AND t // 86400 = first_day + 2 GROUP BY 1, 2, 3 HAVING count_if(t % 86400 >= 43200) > 0", "clock"))
+def a16_touched(spark: SparkSession, sf: str) -> DataFrame:
+    """The days that the last refresh had to read: those that the second part of the back-fill touched."""
+    return _days(_late_day(spark, sf)[3]).select(*KEY, "day", "files", "was")
+
+
+@query("a20_kept_report", with_ctes(_REPORT, "daystats"))
+def a20_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The completeness report from kept days; no bar is read."""
+    _, book, bars, _ = _late_day(spark, sf)
+    first, last, now = Z.bounds(bars)
+    return _days(D.completeness_report(K.read_daybook(spark, book), Z.dim(spark, sf), first, last, F.to_date(now)))
+
+
+@query("a6_kept_summary", with_ctes(f"SELECT exchange, symbol, count(*) AS total_bars, count_if(source = 'live') AS live_bars, count_if(trade_count = 0) AS empty_bars, sum(trade_count)::BIGINT AS total_trades, min(t) AS earliest, max(t) AS latest, {r('last(close ORDER BY t)')} AS last_close FROM labelled GROUP BY 1, 2", "labelled"))
+def a6_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of each series, merged from its kept days."""
+    _, book, _, _ = _late_day(spark, sf)
+    return D.symbol_summary(K.read_daybook(spark, book)).select(*KEY, "total_bars", "live_bars", "empty_bars", "total_trades", t("earliest", "earliest"), t("latest", "latest"), *rr("last_close"))
+
+
+@query("a22_kept_after_retention", with_ctes("SELECT exchange, symbol, day FROM spine LEFT JOIN daystats USING (exchange, symbol, day), clock WHERE day <> today AND (bars IS NULL OR day < today - 10)", "daystats"))
+def a22_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Days that lack after a compaction and a retention of ten days: what is deleted leaves the book."""
+    root, book, bars, _ = _late_day(spark, sf)
+    first, last, now = Z.bounds(bars)
+    newest = bars.agg(F.to_date(F.max("window_start"))).first()[0]
+    L.compact(spark, root, F.lit(newest), f"{work_dir(spark)}/staging")
+    L.retain(spark, root, 10, newest, dry_run=False)
+    K.refresh(spark, root, book)
+    return _days(D.missing_days(K.read_daybook(spark, book), Z.dim(spark, sf), first, last, F.to_date(now)))
+
+
 # --- exchange messages made from trades
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.columns import path_parts
 from ..operators.bars import recent_window, with_source_default
 from ..schema import BARS_SCHEMA, EVENT_SCHEMA, HEALTH_SCHEMA, KEY
-from .upkeep import deleted, planned_directories, whole_day, work_through
+from .upkeep import deleted, located, planned_directories, whole_day, work_through
 
 PARTITIONS = (*KEY, "year", "month", "day")
 CODECS = ("zstd", "snappy", "gzip")
@@ -65,6 +65,13 @@ def newest_days(spark: SparkSession, root: str, back: int, exchange: str | None
 DAYS_SENT = 500_000
 
 
+def read_directories(spark: SparkSession, root: str, days: DataFrame, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
+    """Bars of the given directories (PARTITIONS, each once); the scan is pruned by them at run time."""
+    few = days.limit(DAYS_SENT + 1).count() <= DAYS_SENT
+    rows = read_bars(spark, root, exchange, symbol).join(F.broadcast(days) if few else days, list(PARTITIONS), "left_semi")
+    return rows.select(*LAKE_SCHEMA.fieldNames())
+
+
 def read_latest(spark: SparkSession, root: str, seconds: int, n: int, exchange: str | None = None, symbol: str | None = None) -> DataFrame:
     """Bars later than n + 1 buckets before the newest of their series.
 
@@ -72,9 +79,7 @@ def read_latest(spark: SparkSession, root: str, seconds: int, n: int, exchange:
     time (dynamic partition pruning), so no list of names goes through the driver and no other directory is read.
     """
     days = newest_days(spark, root, (n + 1) * seconds // 86400 + 1, exchange, symbol)
-    few = days.limit(DAYS_SENT + 1).count() <= DAYS_SENT
-    rows = read_bars(spark, root, exchange, symbol).join(F.broadcast(days) if few else days, list(PARTITIONS), "left_semi")
-    return recent_window(rows.select(*LAKE_SCHEMA.fieldNames()), seconds, n)
+    return recent_window(read_directories(spark, root, days, exchange, symbol), seconds, n)
 
 
 def query_symbol(bars: DataFrame, exchange: str, symbol: str, start: str, end: str, cols: list[str] | None = None) -> DataFrame:
@@ -142,12 +147,10 @@ def file_ts_ranges(inventory: DataFrame, column: str = "window_start") -> DataFr
         return both["min"], both["max"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for pdf in parts:
             found = []
             for p in pdf["path"]:
-                store, name = fs.FileSystem.from_uri(p)
+                store, name = located(p)
                 try:
                     with store.open_input_file(name) as f:
                         low, high = ends(f)
@@ -167,12 +170,10 @@ def parquet_footer_check(inventory: DataFrame) -> DataFrame:
     import pandas as pd
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for pdf in parts:
             ok = []
             for p in pdf["path"]:
-                store, name = fs.FileSystem.from_uri(p)
+                store, name = located(p)
                 size = store.get_file_info(name).size or 0
                 with store.open_input_file(name) as f:
                     ok.append(size >= 12 and f.read_at(4, size - 4) == b"PAR1")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def _folder(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p, store = _folder(spark, path)
     return store.exists(p)
 
@@ -41,7 +42,7 @@ def unfinished(spark: SparkSession, base: str) -> str | None:
     """The folder of a plan below base that was written and not worked through."""
     p, store = _folder(spark, base)
     names = [x.getPath().toString() for x in store.listStatus(p)] if store.exists(p) else []  # a folder for each run
-    return next((n for n in sorted(names) if _there(spark, f"{n}/plan/_SUCCESS") and not _there(spark, f"{n}/done/_SUCCESS")), None)
+    return next((n for n in sorted(names) if exists(spark, f"{n}/plan/_SUCCESS") and not exists(spark, f"{n}/done/_SUCCESS")), None)
 
 
 def work_through(spark: SparkSession, base: str, plan: DataFrame, task: Callable) -> DataFrame:
@@ -56,6 +57,13 @@ def work_through(spark: SparkSession, base: str, plan: DataFrame, task: Callable
     return spark.read.schema(DONE).parquet(f"{at}/done")
 
 
+def located(path: str):
+    """The file system and the name there of a path as Spark gives it: its percent signs, spaces and letters are the name's own."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(quote(path, safe="/:@=,;+&$!'()*~") if re.match("[A-Za-z][A-Za-z0-9+.-]*:/", path) else path)
+
+
 def _escaped(value: str) -> str:
     """A value as a directory's name has it."""
     return re.sub("[\\x00-\\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]", lambda m: f"%{ord(m[0]):02X}", value)
@@ -96,9 +104,9 @@ def whole_day(dst: str | None, codec: str) -> Callable:
         for pdf in parts:
             out = []
             for r in pdf.itertuples(index=False):
-                store, own = fs.FileSystem.from_uri(r.dir)
-                names = [fs.FileSystem.from_uri(p)[1] for p in r.paths]
-                to, into = (store, own) if dst is None else fs.FileSystem.from_uri("/".join([dst, *[f"{k}={_escaped(v)}" for k, v in zip((*KEY, "year", "month", "day"), (r.exchange, r.symbol, *r.day.strftime("%Y-%m-%d").split("-")), strict=True)]]))
+                store, own = located(r.dir)
+                names = [located(p)[1] for p in r.paths]
+                to, into = (store, own) if dst is None else located("/".join([dst, *[f"{k}={_escaped(v)}" for k, v in zip((*KEY, "year", "month", "day"), (r.exchange, r.symbol, *r.day.strftime("%Y-%m-%d").split("-")), strict=True)]]))
                 # two directories of one day (of other layouts) make two files
                 mark = f"{into}/whole-{r.plan}-{uuid.uuid5(uuid.NAMESPACE_URL, r.dir).hex}.parquet"
                 if to.get_file_info(mark).type == fs.FileType.NotFound:
@@ -130,7 +138,7 @@ def deleted(parts: Iterator) -> Iterator:
     for pdf in parts:
         out = []
         for r in pdf.itertuples(index=False):
-            store, name = fs.FileSystem.from_uri(r.dir)
+            store, name = located(r.dir)
             if store.get_file_info(name).type != fs.FileType.NotFound:
                 store.delete_dir(name)
             out.append((r.plan, r.exchange, r.symbol, r.day, r.dir, r.files, r.bytes, 0, 0, 0))
