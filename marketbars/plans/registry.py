@@ -290,13 +290,18 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BROKEN = "CASE WHEN t % 50400 = 0 THEN low - 1 ELSE high END"
-_OHLC = with_ctes(
-    f"""SELECT exchange, symbol, total, v0, v1, v2, {rs('min_open', 'max_open', 'min_volume')}, CASE WHEN v0 + v1 + v2 = 0 THEN 'OK' ELSE 'FAIL: ' || concat_ws(', ', CASE WHEN v0 > 0 THEN 'high<low:' || v0 END, CASE WHEN v1 > 0 THEN 'high<open:' || v1 END, CASE WHEN v2 > 0 THEN 'high<close:' || v2 END) END AS status FROM
-      (SELECT exchange, symbol, count(*) AS total, count_if(h < low) AS v0, count_if(h < open AND source = 'live') AS v1, count_if(h < close AND source = 'live') AS v2, min(open) FILTER (source = 'live') AS min_open, max(open) FILTER (source = 'live') AS max_open, min(volume_base) FILTER (source = 'live') AS min_volume
-       FROM (SELECT *, {_BROKEN} AS h FROM labelled) GROUP BY 1, 2)""", "labelled")
+_ISSUES = ("high<low", "high<open", "high<close", "low>open", "low>close", "neg_vol", "zero_open")
 
 
-@query("a14_ohlcv_violations", _OHLC)
+def _violations(high: str) -> str:
+    """Per series: the count of each violation, extremes of live bars, and the status of all seven. high: that of the bars to be judged."""
+    return f"""SELECT *, CASE WHEN {' + '.join(f'v{i}' for i in range(len(_ISSUES)))} = 0 THEN 'OK' ELSE 'FAIL: ' || concat_ws(', ', {', '.join(f"CASE WHEN v{i} > 0 THEN '{name}:' || v{i} END" for i, name in enumerate(_ISSUES))}) END AS status FROM
+      (SELECT exchange, symbol, count(*) AS total, count_if(h < low) AS v0, count_if(h < open AND source = 'live') AS v1, count_if(h < close AND source = 'live') AS v2, count_if(low > open AND source = 'live') AS v3, count_if(low > close AND source = 'live') AS v4,
+         count_if(volume_base < 0) AS v5, count_if(open <= 0 AND source = 'live') AS v6, min(open) FILTER (source = 'live') AS min_open, max(open) FILTER (source = 'live') AS max_open, min(volume_base) FILTER (source = 'live') AS min_volume
+       FROM (SELECT *, {high} AS h FROM labelled) GROUP BY 1, 2)"""
+
+
+@query("a14_ohlcv_violations", with_ctes(f"SELECT exchange, symbol, total, v0, v1, v2, {rs('min_open', 'max_open', 'min_volume')}, status FROM violations", "labelled", {"violations": _violations(_BROKEN)}))
 def a14(spark: SparkSession, sf: str) -> DataFrame:
     broken = Z.labelled(spark, sf).withColumn("high", F.when(F.unix_seconds("window_start") % 50400 == 0, F.col("low") - 1).otherwise(F.col("high")))
     return A.ohlcv_violations(broken).select(*KEY, "total", "v0", "v1", "v2", *rr("min_open", "max_open", "min_volume"), "status")
