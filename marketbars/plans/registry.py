@@ -301,13 +301,16 @@ def _violations(high: str) -> str:
        FROM (SELECT *, {high} AS h FROM labelled) GROUP BY 1, 2)"""
 
 
+_VALID = {"violations": _violations("high")}
+
+
 @query("a14_ohlcv_violations", with_ctes(f"SELECT exchange, symbol, total, v0, v1, v2, {rs('min_open', 'max_open', 'min_volume')}, status FROM violations", "labelled", {"violations": _violations(_BROKEN)}))
 def a14(spark: SparkSession, sf: str) -> DataFrame:
     broken = Z.labelled(spark, sf).withColumn("high", F.when(F.unix_seconds("window_start") % 50400 == 0, F.col("low") - 1).otherwise(F.col("high")))
     return A.ohlcv_violations(broken).select(*KEY, "total", "v0", "v1", "v2", *rr("min_open", "max_open", "min_volume"), "status")
 
 
-@query("a15_all_ok", with_ctes("SELECT count_if(high < low) = 0 AS all_ok, 0::BIGINT AS failed FROM labelled", "labelled"))
+@query("a15_all_ok", with_ctes("SELECT coalesce(bool_and(status = 'OK'), true) AS all_ok, count_if(status <> 'OK')::BIGINT AS failed FROM violations", "labelled", _VALID))
 def a15(spark: SparkSession, sf: str) -> DataFrame:
     return A.all_ok(A.ohlcv_violations(Z.labelled(spark, sf)))
 
