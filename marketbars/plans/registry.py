@@ -825,7 +825,10 @@ def c11_document(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(*KEY, "ts", *[F.col(v).alias(k) for k, v in field.items()])
 
 
-@query("c20_release_check", with_ctes("SELECT (SELECT count(*) FROM spine, clock WHERE day <> today AND NOT EXISTS (FROM daystats d WHERE d.exchange = spine.exchange AND d.symbol = spine.symbol AND d.day = spine.day)) AS missing_days, 'ok' AS status, (SELECT count_if(high < low) = 0 FROM labelled) AS all_ok, false AS passed", "daystats"))
+@query("c20_release_check", with_ctes(
+    """SELECT *, missing_days = 0 AND status = 'ok' AND all_ok AS passed FROM (SELECT
+      (SELECT count(*) FROM spine, clock WHERE day <> today AND NOT EXISTS (FROM daystats d WHERE d.exchange = spine.exchange AND d.symbol = spine.symbol AND d.day = spine.day)) AS missing_days,
+      (SELECT CASE WHEN max(t) IS NULL THEN 'unknown' WHEN max(now) - max(t) > 300 THEN 'stale' ELSE 'ok' END FROM labelled, clock) AS status, (SELECT coalesce(bool_and(status = 'OK'), true) FROM violations) AS all_ok)""", "daystats", _VALID))
 def c20(spark: SparkSession, sf: str) -> DataFrame:
     bars = Z.labelled(spark, sf)
     first, today, now = Z.bounds(bars)
