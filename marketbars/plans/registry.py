@@ -733,10 +733,10 @@ _NEWEST = {"labelled": f"SELECT * FROM ({Z.CTES['labelled']}) QUALIFY row_number
 _ALL_NEWEST = _NEWEST | _ALL
 
 
-@query("c11_indicators", with_ctes(_DOC_SQL, "lab1", _ALL_NEWEST, True))
+@query("c11_indicators", with_ctes(_DOC_SQL, "lab1", _ALL, True))
 def c11(spark: SparkSession, sf: str) -> DataFrame:
-    """The last row of all indicators, signals and the regime, of all series at once."""
-    return M.indicators(Z.labelled(spark, sf), Z.HOUR, complete=False).withColumn("price", X.round_half_away("price", 6))
+    """The last row of all indicators, signals and the regime, of all series at once, over all their bars."""
+    return M.indicators(Z.labelled(spark, sf), Z.HOUR, None, complete=False).withColumn("price", X.round_half_away("price", 6))
 
 
 @query("c13_funding_vote", with_ctes(
