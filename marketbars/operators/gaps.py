@@ -118,10 +118,11 @@ def internal_file_gaps(ranges: DataFrame, gap: int, as_of: Column | None = None,
 def disconnect_gaps(events: DataFrame, threshold: float = 0.0) -> DataFrame:
     """From connection events (event, exchange, ts): seconds from each disconnect to the next reconnect of the exchange.
 
-    The next reconnect is looked for in the same day; beyond it, in one row a day.
+    The next reconnect is looked for in the same day; beyond it, in one row a day. Order is taken backwards: a frame that
+    ends with the row before grows by a row at a time, one that begins after the row would be gone through again for each.
     """
     rows = events.withColumn("_day", F.to_date("ts")).withColumn("_re", F.when(F.col("event") == "reconnect", F.col("ts")))
-    ahead = lambda by, order: W.partitionBy(*by).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
+    ahead = lambda by, order: W.partitionBy(*by).orderBy(*map(F.desc, order)).rowsBetween(W.unboundedPreceding, -1)
     later = rows.groupBy("exchange", "_day").agg(F.min("_re").alias("first")).select("exchange", "_day", F.min("first").over(ahead(["exchange"], ["_day"])).alias("later"))
     rows = rows.withColumn("inside", F.min("_re").over(ahead(["exchange", "_day"], ["ts", "event"]))).join(later, ["exchange", "_day"], "left")
     d = rows.withColumn("until", F.coalesce("inside", "later")).where("event = 'disconnect' AND until IS NOT NULL")
