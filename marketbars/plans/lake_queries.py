@@ -110,11 +110,10 @@ def k6_raw(spark: SparkSession, sf: str) -> DataFrame:
     """What a retention of ten days leaves of a raw archive by date."""
     root, trades = f"{work_dir(spark)}/raw", Z.trades(spark, sf)
     rows = trades.select(F.col("trade_id").cast("string").alias("value"), *KEY, F.to_date("ts").alias("date"))
-    rows.repartition("date").write.partitionBy(*KEY, "date").option("compression", "gzip").text(root)
+    rows.repartition(*KEY, "date").write.partitionBy(*KEY, "date").option("compression", "gzip").text(root)
     L.retain(spark, root, 10, trades.agg(F.to_date(F.max("ts"))).first()[0], dry_run=False)
-    left = R.read_raw_trades(spark, root)
-    parts = X.path_parts("path")
-    return _days(left.select(*[c.alias(k) for k, c in parts.items()]).groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("lines")))
+    files = R.read_raw_trades(spark, root).groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
+    return _days(files.withColumns(X.path_parts("path")).groupBy(*KEY, "day").agg(F.sum("lines").alias("lines")))
 
 
 @query("k8_write_report", with_ctes(f"SELECT exchange, symbol, count(*) AS total_bars, sum(trade_count)::BIGINT AS total_trades, {r('last(close ORDER BY t)')} AS last_close FROM labelled GROUP BY 1, 2", "labelled"))
@@ -306,9 +305,9 @@ def s7(spark: SparkSession, sf: str) -> DataFrame:
     trades = R.event_trades(table_stream(spark, f"{sf}/events.parquet"))
     raw = trades.select(F.to_json(F.struct("trade_id", X.side_of("is_buyer_maker").alias("side"))).alias("value"), *KEY, "ts")
     ST.raw_archive(raw, f"{at}/raw", f"{at}/state", every=None).start().awaitTermination()
-    lines = R.read_raw_trades(spark, f"{at}/raw").withColumns(X.path_parts("path"))
-    get = lambda k: F.get_json_object("value", f"$.{k}")
-    return _days(lines.groupBy(*KEY, "day").agg(F.count(F.lit(1)).alias("lines"), F.sum(get("trade_id").cast("long")).alias("ids"), F.count_if(get("side") == "sell").alias("sold")))
+    lines = R.read_raw_trades(spark, f"{at}/raw").select("path", F.json_tuple("value", "trade_id", "side").alias("trade_id", "side"))
+    files = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("trade_id").cast("long")).alias("ids"), F.count_if(F.col("side") == "sell").alias("sold"))
+    return _days(files.withColumns(X.path_parts("path")).groupBy(*KEY, "day").agg(*[F.sum(c).alias(c) for c in ("lines", "ids", "sold")]))
 
 
 @query("c12_derivatives", with_ctes(
