@@ -403,10 +403,10 @@ def r6(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _batches_of(spark: SparkSession, trades: DataFrame, parts: list[Column], start: Callable[[DataFrame], DataStreamWriter]) -> None:
-    """Run a stream over some parts of the trades, each a batch of its own: the stream stops and goes on from its checkpoint."""
+    """Run a stream over some parts of the trades, each a batch of its own (of any number of files): the stream stops and goes on from its checkpoint."""
     path = f"{work_dir(spark)}/arriving"
     for part in parts:
-        trades.where(part).coalesce(1).write.mode("append").parquet(path)
+        trades.where(part).write.mode("append").parquet(path)
         _to_end(spark, start(spark.readStream.schema(trades.schema).parquet(path)))
 
 
