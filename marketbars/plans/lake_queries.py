@@ -207,8 +207,10 @@ def k7(spark: SparkSession, sf: str) -> DataFrame:
 
 def _late_day(spark: SparkSession, sf: str) -> tuple[str, str, DataFrame, DataFrame]:
     """A lake whose day aggregates were kept before one day of an exchange came in, then brought up to date: lake, book, bars, and the plan of the refresh."""
-    base, bars = work_dir(spark), Z.labelled(spark, sf)
+    base = work_dir(spark)
     root, book = f"{base}/lake", f"{base}/book"
+    Z.labelled(spark, sf).write.parquet(f"{base}/bars")  # used by five jobs
+    bars = spark.read.schema(BARS_SCHEMA).parquet(f"{base}/bars").select(*BARS_SCHEMA.fieldNames())
     first = bars.agg(F.to_date(F.min("window_start"))).first()[0]
     late = (F.to_date("window_start") == F.lit(first + timedelta(2))) & (F.col("exchange") == "gamma")
     hour = F.hour("window_start")
