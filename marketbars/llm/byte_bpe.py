@@ -159,8 +159,8 @@ def merged(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
     heap (rank and place in one number) that a join has overtaken is told by the rank of what stands there now.
     """
     n = len(ids)
-    after, before, shift = list(range(1, n + 1)), list(range(-1, n - 1)), max(10, n.bit_length())
-    place, now = (1 << shift) - 1, [ranks[pair] for pair in zip(ids, ids[1:], strict=False)]
+    after, before, shift = list(range(1, n + 1)), list(range(-1, n - 1)), 10 if n < 1024 else n.bit_length()
+    place, now = (1 << shift) - 1, list(map(ranks.__getitem__, zip(ids, ids[1:])))  # noqa: B905
     heap = [r << shift | i for i, r in enumerate(now) if r >= 0]
     now.append(-1)
     heapify(heap)
@@ -170,7 +170,7 @@ def merged(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
         if now[i] != r:
             continue
         j = after[i]
-        ids[i], now[j] = r, -1
+        ids[i], ids[j], now[j] = r, -1, -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
@@ -184,11 +184,7 @@ def merged(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
             q = now[k] = ranks[ids[k], r]
             if q >= 0:
                 heappush(heap, q << shift | k)
-    out, i = [], 0
-    while i < n:
-        out.append(ids[i])
-        i = after[i]
-    return out
+    return [x for x in ids if x >= 0]
 
 
 class PreTokenTable:
@@ -197,15 +193,14 @@ class PreTokenTable:
     def __init__(self, tokens: PerfectHash, vocabulary: list[bytes], pattern: str, table_size: int = TABLE_SIZE):
         self.hash, self.vocabulary, self.table_size = tokens, vocabulary, table_size
         self.find_all = regex.compile(pattern).findall
-        self.single = dict(zip(range(256), tokens.find([bytes([b]) for b in range(256)]), strict=True))
+        self.single = tokens.find([bytes([b]) for b in range(256)])
+        self.names = list(map(str, range(len(vocabulary))))
         self.table: dict[str, tuple[int, str, bytes]] = {}
         self.ranks = Ranks(tokens, vocabulary)
 
     def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
-        return [[x] if x >= 0 else merged([self.single[b] for b in p], self.ranks) for p, x in zip(pieces, self.hash.find(pieces), strict=True)]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
+        single = self.single.__getitem__
+        return [[x] if x >= 0 else merged(list(map(single, p)), self.ranks) for p, x in zip(pieces, self.hash.find(pieces), strict=True)]
 
     def learn(self, pieces: set[str]) -> Callable[[str], tuple[int, str, bytes]]:
         """What gives the row of each of the pieces, kept or not."""
@@ -213,9 +208,9 @@ class PreTokenTable:
         if len(self.table) + len(new) > self.table_size:
             self.table.clear()
             new = list(pieces)
-        own = {}
+        own, name, part = {}, self.names.__getitem__, self.vocabulary.__getitem__
         for p, x in zip(new, self.ids_of([p.encode() for p in new]), strict=True):
-            row = (len(x), " ".join(map(str, x)), self.decode(x))
+            row = (len(x), " ".join(map(name, x)), b"".join(map(part, x)))
             (self.table if len(p) <= LONG else own)[p] = row
         return (lambda p: own[p] if p in own else self.table[p]) if own else self.table.__getitem__
 
