@@ -7,9 +7,10 @@ others: the bytes are linked parts, the pairs of neighbours wait on a heap by ra
 joined until none is in the vocabulary. The rank of a joined pair comes from the same hash.
 
 The hash is built once on the driver and broadcast; its size is that of the vocabulary, which is checked (VOCABULARY_MOST).
-A task keeps what it found for distinct pre-tokens in a table, emptied at `table_size` entries, which bounds memory and
-changes no result; longer pre-tokens than LONG bytes aren't kept. There is no shuffle, so no hot word or source; texts
-are taken whole.
+A worker process keeps what it found for distinct pre-tokens in a table, from task to task of one query. The table has
+two halves of `table_size` entries: when the newer one is full it becomes the older one, whose entries were dropped, and
+what is met again moves on to the newer one. That bounds memory and changes no result; longer pre-tokens than LONG
+characters aren't kept. There is no shuffle, so no hot word or source; texts are taken whole.
 
 Cases: null text counts as empty; an empty text has no ids and decodes to nothing; repeated rows each get their row; an
 empty table gives an empty result; other columns of the input are not looked at. A rank file that lacks a single byte
@@ -188,7 +189,10 @@ def merged(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
 
 
 class PreTokenTable:
-    """pre-token -> (number of ids, ids joined by one space, decoded bytes)."""
+    """pre-token -> (number of ids, ids joined by one space, decoded bytes).
+
+    `table` has the newest, `older` those before them: one is used again only by way of `table`, so what stays is what is met often.
+    """
 
     def __init__(self, tokens: PerfectHash, vocabulary: list[bytes], pattern: str, table_size: int = TABLE_SIZE):
         self.hash, self.vocabulary, self.table_size = tokens, vocabulary, table_size
@@ -196,6 +200,7 @@ class PreTokenTable:
         self.single = tokens.find([bytes([b]) for b in range(256)])
         self.names = list(map(str, range(len(vocabulary))))
         self.table: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
         self.ranks = Ranks(tokens, vocabulary)
 
     def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
@@ -204,10 +209,13 @@ class PreTokenTable:
 
     def learn(self, pieces: set[str]) -> Callable[[str], tuple[int, str, bytes]]:
         """What gives the row of each of the pieces, kept or not."""
-        new = [p for p in pieces if p not in self.table]
+        new = pieces.difference(self.table)
         if len(self.table) + len(new) > self.table_size:
-            self.table.clear()
-            new = list(pieces)
+            self.older, self.table, new = self.table, {}, pieces
+        if self.older:
+            self.table.update((p, self.older[p]) for p in new if p in self.older)
+            new = new.difference(self.older)
+        new = list(new)
         own, name, part = {}, self.names.__getitem__, self.vocabulary.__getitem__
         for p, x in zip(new, self.ids_of([p.encode() for p in new]), strict=True):
             row = (len(x), " ".join(map(name, x)), b"".join(map(part, x)))
@@ -234,13 +242,16 @@ def _built(path: str) -> tuple[PerfectHash, list[bytes]]:
 
 
 def _batches(docs: DataFrame, ranks: str, pattern: str, table_size: int, digest: bool):
-    shared = docs.sparkSession.sparkContext.broadcast(_built(ranks))  # of the vocabulary's size, which is checked
+    # of the vocabulary's size, which is checked; the list is filled by each worker process, which keeps it as long as the broadcast
+    shared = docs.sparkSession.sparkContext.broadcast((*_built(ranks), []))
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
+        tokens, vocabulary, kept = shared.value
+        if not kept:
+            kept.append(PreTokenTable(tokens, vocabulary, pattern, table_size))
+        table = kept[0]
         for b in batches:
-            table = table or PreTokenTable(*shared.value, pattern, table_size)
             texts = b.column(1)
             for k in range(0, b.num_rows, DOCS_AT_ONCE):
                 part = [t or "" for t in texts.slice(k, DOCS_AT_ONCE).to_pylist()]

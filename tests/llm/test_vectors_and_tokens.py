@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,31 @@ def test_rank_files_are_checked(tmp_path):
         byte_bpe.read_ranks(str(tmp_path / "r"))
 
 
+def merges(monkeypatch):
+    """A list to which every pre-token that tier two merges from now on is added."""
+    seen, merged = [], byte_bpe.merged
+    monkeypatch.setattr(byte_bpe, "merged", lambda ids, ranks: seen.append(tuple(ids)) or merged(ids, ranks))
+    return seen
+
+
+def test_pre_tokens_met_often_stay_in_the_table(monkeypatch, tiktoken_encoding):
+    seen, table = merges(monkeypatch), byte_bpe.PreTokenTable(*byte_bpe._built(RANKS), P.PATTERN, 12)
+    docs = [f"qzoften qxoften {' '.join(f'qj{chr(97 + i)}{chr(97 + k)}vx' for k in range(4))}" for i in range(20)]
+    for t in docs:
+        ids = tiktoken_encoding.encode_ordinary(t)
+        assert list(table.encode([t])) == [(len(ids), " ".join(map(str, ids)), t.encode())]
+        assert len(table.table) <= 12 and len(table.older) <= 12
+    assert len(seen) == len(set(seen)) == 2 + 20 * 4
+
+
+def test_table_is_kept_from_task_to_task(spark, docs, monkeypatch):
+    seen, run = merges(monkeypatch), byte_bpe._batches(docs, RANKS, P.PATTERN, 1000, True)
+    batch = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array(["qzoften qxoften", None])], ["doc_id", "text"])
+    first, n = list(run(iter([batch]))), len(seen)
+    assert list(run(iter([batch]))) == first and len(seen) == n == 2
+    assert list(byte_bpe._batches(docs, RANKS, P.PATTERN, 1000, True)(iter([batch]))) == first and len(seen) == 2 * n  # another query has a table of its own
+
+
 # --- alignment
 
 
